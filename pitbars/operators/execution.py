@@ -1,8 +1,9 @@
 """Orders to fills, and the cost columns of a fill.
 
-An order's fills are found by position: the first eligible open and the first open at or
-after expiry are as-of lookups, the number of fills follows from quantity and cap, and the
-fills join the opens on ``(instrument, position)``. The join output is exactly the fills;
+An order's fills are found by position: one ordered scan over opens and order instants
+gives the positions of the first eligible open and of the first open at or after expiry,
+the number of fills follows from quantity and cap, and the fills join the opens on
+``(instrument, position)``. The join output is exactly the fills;
 no order meets opens it does not trade at.
 """
 
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import floor_to_increment, instant, shift, time_bucket
-from pitbars.operators.joins import containing_bar, nearest
-from pitbars.operators.ordered import CHUNK_ROWS, rolling, with_position
+from pitbars.operators.joins import nearest
+from pitbars.operators.ordered import CHUNK_ROWS, rolling, running
 from pitbars.types import DAY, micros
 
 FILL_RULES = ("open_of_current_bar", "next_open_after_eligibility")
@@ -163,36 +164,52 @@ def match_orders(
     is dated ``eligible_at``, and is not subject to expiry; what remains (or the whole order
     when no bar holds that instant) waits for later opens like under the other rule.
     """
-    opens = with_position(
-        bars.select("instrument_id", "bar_start", "open"),
-        ["instrument_id"],
-        ["bar_start"],
-        time_bucket("bar_start", micros(step) * CHUNK_ROWS),
-        "pos",
-    )
-    cap = fill_cap(execution.participation_cap, F.col(increment))
-    work = orders.withColumn("__cap", cap).withColumn("__qty", F.col("quantity"))
-    immediate = execution.fill_rule == "open_of_current_bar"
-    if immediate:
-        held = containing_bar(work, opens, at="eligible_at", step=step, name="__bar")
-        taken = F.when(
-            F.col("__bar").isNotNull(),
-            F.when(F.col("__cap").isNull(), F.col("__qty")).otherwise(
-                F.least(F.col("__cap"), F.col("__qty"))
-            ),
-        ).otherwise(0.0)
-        work = held.withColumns({"__now": taken, "__qty": F.col("__qty") - taken})
-        work = work.withColumn("__now_price", F.col("__bar.open")).drop("__bar")
-    else:
-        work = work.withColumns(
-            {"__now": F.lit(0.0), "__now_price": F.lit(None).cast("double")}
-        )
+    width = micros(step) * CHUNK_ROWS
+    work = orders.withColumn("__cap", fill_cap(execution.participation_cap, F.col(increment)))
+    never = F.lit("9999-12-31 00:00:00").cast("timestamp")
     # The first open an order may trade at comes after the signal's own clock step.
     earliest = F.greatest(F.col("eligible_at"), shift("signal_at", 1))
-    work = _position_at(work.withColumn("__from", earliest), opens, "__from", "__first")
-    never = F.lit("9999-12-31 00:00:00").cast("timestamp")
-    work = work.withColumn("__until", F.coalesce("expires_at", never))
-    work = _position_at(work, opens, "__until", "__stop")
+    until = F.coalesce("expires_at", never)
+    # Opens and the order's instants in one ordered scan: an instant that sorts before the
+    # opens at its own time learns how many opens lie strictly before it, which is the
+    # position of the first open at or after it.
+    probe = lambda name, at, side: F.struct(
+        F.lit(name).alias("probe"), at.alias("at"), F.lit(side).alias("side")
+    )
+    probes = work.select(
+        "instrument_id", "order_id",
+        F.inline(
+            F.array(
+                probe("first", earliest, 0), probe("stop", until, 0),
+                probe("held", F.col("eligible_at"), 2),
+            )
+        ),
+    )
+    stacked = probes.unionByName(
+        bars.select(
+            "instrument_id", F.col("bar_start").alias("at"), F.lit(1).alias("side"), "open"
+        ),
+        allowMissingColumns=True,
+    )
+    is_open = F.col("side") == 1
+    scanned = running(
+        stacked, ["instrument_id"], ["at", "side", "order_id", "probe"], time_bucket("at", width),
+        sums={"count": is_open.cast("bigint")},
+        lasts={"bar": F.when(is_open, F.struct(F.col("at").alias("start"), "open"))},
+    )
+    inside = (F.col("probe") == "held") & (
+        F.unix_micros("at") - F.unix_micros("bar.start") < micros(step)
+    )
+    places = scanned.where(~is_open).groupBy("order_id").agg(
+        F.max(F.when(F.col("probe") == "first", F.col("count"))).alias("__first"),
+        F.max(F.when(F.col("probe") == "stop", F.col("count"))).alias("__stop"),
+        F.max(F.when(inside, F.col("bar.open"))).alias("__now_price"),
+    )
+    work = work.join(places, "order_id")
+    immediate = execution.fill_rule == "open_of_current_bar"
+    at_once = F.coalesce(F.least("__cap", "quantity"), F.col("quantity"))
+    taken = F.when(F.lit(immediate) & F.col("__now_price").isNotNull(), at_once).otherwise(0.0)
+    work = work.withColumn("__now", taken).withColumn("__qty", F.col("quantity") - F.col("__now"))
     slices = (
         F.when(F.col("__qty") <= TOLERANCE, 0)
         .when(F.col("__cap").isNull(), 1)
@@ -218,10 +235,10 @@ def match_orders(
             )
         ).alias("__n"),
     )
-    table = opens.select(
+    table = scanned.where(is_open).select(
         F.col("instrument_id").alias("__inst"),
-        F.col("pos").alias("__pos"),
-        F.col("bar_start").alias("__open_at"),
+        (F.col("count") - 1).alias("__pos"),
+        F.col("at").alias("__open_at"),
         F.col("open").alias("__open"),
     )
     joined = listed.withColumn("__want", F.col("__first") + F.col("__n") - 1).join(
@@ -245,22 +262,6 @@ def match_orders(
     )
 
 
-def _position_at(rows: DataFrame, opens: DataFrame, at: str, name: str) -> DataFrame:
-    """Position of the first open at or after ``at``; one past the end when there is none."""
-    found = nearest(
-        rows,
-        opens.select("instrument_id", "bar_start", "pos"),
-        left_on=F.col(at),
-        right_on=shift("bar_start", 1),
-        by=["instrument_id"],
-        tiebreak=["bar_start"],
-        name="__b",
-    )
-    # The last open strictly before ``at``, plus one; a missing one means position zero.
-    place = F.coalesce(F.col("__b.pos") + 1, F.lit(0).cast("bigint"))
-    return found.withColumn(name, F.when(F.col(at).isNotNull(), place)).drop("__b")
-
-
 def unfilled(orders: DataFrame, fills: DataFrame) -> DataFrame:
     """Remaining quantity per order after all fills, where any is left."""
     done = fills.groupBy("order_id").agg(F.sum("quantity").alias("filled"))

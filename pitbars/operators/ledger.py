@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import elapsed, time_bucket
 from pitbars.operators.joins import nearest
-from pitbars.operators.ordered import CHUNK_ROWS, fold_chunks, running
+from pitbars.operators.ordered import Fold, fold_rows, running
 from pitbars.types import DAY, SECOND, micros
 
 FLAT = 1e-9
@@ -51,13 +50,13 @@ def positions(
 
 def average_cost(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
-    width: int = DAY, chunk_rows: int = CHUNK_ROWS,
+    width: int = DAY,
 ) -> DataFrame:
     """Fills with ``position``, ``avg_cost`` after, and ``realized_pnl`` of each fill.
 
     Adding blends the cost, reducing keeps it and realises against it, flipping restarts it
     at the fill price. The position is a prefix sum. The cost basis then follows
-    ``basis' = a * basis + b`` per fill, and a chunk of fills is again one such pair, which
+    ``basis' = a * basis + b`` per fill, and a stretch of fills is again one such pair, which
     is what makes the fold splittable.
     """
     held = positions(fills, keys=keys, order=order, width=width)
@@ -72,34 +71,18 @@ def average_cost(
             .otherwise(0.0),
         }
     )
-    slim = steps.select(*keys, *order, "a", "b")
-
-    def walk(pdf: pd.DataFrame, basis: float) -> list[float]:
-        out = []
-        for a, b in pdf[["a", "b"]].to_numpy():
-            basis = a * basis + b if a else b
-            out.append(basis)
-        return out
-
-    def summarise(pdf: pd.DataFrame) -> list[float]:
-        scale = 1.0
-        for a in pdf["a"].to_numpy():
-            scale *= a
-        return [scale, walk(pdf, 0.0)[-1]]
-
-    def advance(state: list[float], summary: list[float]) -> list[float]:
-        return [summary[0] * state[0] + summary[1]]
-
-    def trace(pdf: pd.DataFrame, state: list[float]) -> pd.DataFrame:
-        after_rows = walk(pdf, state[0])
-        return pd.DataFrame({"basis_before": [state[0], *after_rows[:-1]], "basis": after_rows})
-
-    folded = fold_chunks(
-        slim, list(keys), list(order), time_bucket(order[0], width),
-        initial=[0.0], summarise=summarise, advance=advance, trace=trace,
-        result="basis_before DOUBLE, basis DOUBLE", chunk_rows=chunk_rows,
-    ).drop("a", "b")
-    joined = held.join(folded, [*keys, *order])
+    fold = Fold(
+        inputs=("a", "b"),
+        start=0.0,
+        step=lambda basis, a, b: a * basis + b if a else b,
+        summary_start=(1.0, 0.0),
+        summary_step=lambda s, a, b: (a * s[0], a * s[1] + b) if a else (0.0, b),
+        cross=lambda basis, s: s[0] * basis + s[1],
+    )
+    joined = fold_rows(
+        steps, list(keys), list(order), time_bucket(order[0], width), fold,
+        before="basis_before", after="basis",
+    )
     closed = F.when(adds, 0.0).otherwise(
         -F.signum(before) * F.least(F.abs("signed"), F.abs(before))
     )
@@ -109,7 +92,7 @@ def average_cost(
             "avg_cost": F.when(after == 0, 0.0).otherwise(F.try_divide(F.col("basis"), after)),
             "realized_pnl": -closed * (F.col("price") - cost_before),
         }
-    ).drop("basis", "basis_before")
+    ).drop("basis", "basis_before", "a", "b")
 
 
 def equity_curve(
@@ -151,8 +134,8 @@ def equity_curve(
         sums={"__pos": F.coalesce("signed", F.lit(0.0))},
         lasts={"__mark": F.col("mark")},
         previous_lasts={"__mark0": F.col("mark")},
+        firsts={"__ref1": F.col("reference_price")},
     )
-    scanned = _first_reference(scanned, key, order)
     now = F.coalesce("__mark", "__ref1")
     prior = F.coalesce("__mark0", "__ref1")
     pos = snapped(F.col("__pos"))
@@ -194,14 +177,6 @@ def equity_curve(
     )
 
 
-def _first_reference(scanned: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first fill's reference price per instrument: its value until a mark exists."""
-    firsts = scanned.where(F.col("__kind") == 0).groupBy(*key).agg(
-        F.min_by("reference_price", F.struct(*order)).alias("__ref1")
-    )
-    return scanned.join(firsts, list(key), "left")
-
-
 def curve_with_pnl(
     curve: DataFrame, costed: DataFrame, *, run: Sequence[str] = (), width: int = DAY
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitbars.functions.scalars import bucket_of, elapsed, time_bucket
+from pitbars.functions.scalars import elapsed, time_bucket
 from pitbars.operators.ordered import running
 from pitbars.operators.resample import periodic_equity
 from pitbars.types import DAY, MINUTE, micros
@@ -39,35 +39,30 @@ def in_decision_range(curve: DataFrame, ranges: DataFrame, keys: Sequence[str])
     return joined.where(inside).drop("start", "end")
 
 
-def drawdown(periods: DataFrame, *, keys: Sequence[str], width: int = 30 * DAY) -> DataFrame:
-    """Adds running ``peak``, ``peak_at``, ``drawdown`` and ``under_water_us`` per period.
+def period_path(periods: DataFrame, *, keys: Sequence[str], width: int = 30 * DAY) -> DataFrame:
+    """Per period: ``ret`` and ``previous_gross``, and the running peak with its drawdown.
 
     The peak and its time are one running maximum of ``(equity, period)``: equal equity at a
-    later period moves the peak there.
+    later period moves the peak there. One scan serves all columns.
     """
+    lags = {"__equity0": F.col("equity")}
+    if "gross_exposure" in periods.columns:
+        lags["previous_gross"] = F.col("gross_exposure")
     out = running(
         periods, list(keys), ["period"], time_bucket("period", width),
-        maxs={"__peak": F.struct("equity", "period")},
+        maxs={"__peak": F.struct("equity", "period")}, lags=lags,
     )
     peak = F.col("__peak.equity")
     below = F.col("equity") < peak
     return out.withColumns(
         {
+            "ret": F.try_divide(F.col("equity"), F.col("__equity0")) - 1,
             "peak": peak,
             "peak_at": F.col("__peak.period"),
             "drawdown": F.when(below, 1 - F.col("equity") / peak).otherwise(0.0),
             "under_water_us": F.when(below, elapsed("period", "__peak.period")).otherwise(0),
         }
-    ).drop("__peak")
-
-
-def period_returns(periods: DataFrame, *, keys: Sequence[str], width: int = 30 * DAY) -> DataFrame:
-    """Adds ``ret`` over the previous period and that period's gross exposure."""
-    out = running(
-        periods, list(keys), ["period"], time_bucket("period", width),
-        lags={"__equity0": F.col("equity"), "previous_gross": F.col("gross_exposure")},
-    )
-    return out.withColumn("ret", F.try_divide(F.col("equity"), F.col("__equity0")) - 1).drop("__equity0")
+    ).drop("__peak", "__equity0")
 
 
 def performance(
@@ -90,7 +85,7 @@ def performance(
         curve.select(*keys, "at", "equity", "gross_exposure", "net_exposure"),
         keys=keys, bar_size=bar_size,
     )
-    rows = drawdown(period_returns(periods, keys=keys), keys=keys)
+    rows = period_path(periods, keys=keys)
     ppy = float(annualization.periods_per_year)
     rf = annualization.risk_free_rate / ppy
     exposed = F.col("previous_gross") > 0

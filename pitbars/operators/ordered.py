@@ -18,8 +18,11 @@ into contiguous buckets of its order instead:
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -42,6 +45,7 @@ def running(
     previous_lasts: Mapping[str, Column] | None = None,
     maxs: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
+    firsts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add running columns per key in ``order``.
 
@@ -53,9 +57,10 @@ def running(
         previous_lasts: last non-null value strictly before the row.
         maxs: running maximum including the row.
         lags: the value on the row just before, null included.
+        firsts: first non-null value up to and including the row.
     """
     sums, lasts, previous_lasts = dict(sums or {}), dict(lasts or {}), dict(previous_lasts or {})
-    maxs, lags = dict(maxs or {}), dict(lags or {})
+    maxs, lags, firsts = dict(maxs or {}), dict(lags or {}), dict(firsts or {})
     columns = df.columns
     work = df.withColumns(
         {
@@ -68,15 +73,21 @@ def running(
             },
             **{f"__m_{n}": e for n, e in maxs.items()},
             **{f"__g_{n}": F.struct(e.alias("v")) for n, e in lags.items()},
+            **{
+                f"__f_{n}": F.when(e.isNotNull(), F.struct(e.alias("v")))
+                for n, e in firsts.items()
+            },
         }
     )
     held = [f"__l_{n}" for n in lasts] + [f"__p_{n}" for n in previous_lasts]
     held += [f"__g_{n}" for n in lags]
+    heads = [f"__f_{n}" for n in firsts]
     position = F.struct(*order)
 
     totals = work.groupBy(*keys, _BUCKET).agg(
         *[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums],
         *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in held],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in heads],
         *[F.max(f"__m_{n}").alias(f"__m_{n}") for n in maxs],
     )
     earlier = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(
@@ -87,6 +98,7 @@ def running(
         _BUCKET,
         *[F.sum(f"__s_{n}").over(earlier).alias(f"__s_{n}") for n in sums],
         *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in held],
+        *[F.first(c, ignorenulls=True).over(earlier).alias(c) for c in heads],
         *[F.max(f"__m_{n}").over(earlier).alias(f"__m_{n}") for n in maxs],
         F.lit(0).alias(_DATA),
     )
@@ -106,10 +118,11 @@ def running(
                 },
                 **{n: F.max(f"__m_{n}").over(upto) for n in maxs},
                 **{n: F.lag(f"__g_{n}", 1).over(spot)["v"] for n in lags},
+                **{n: F.first(f"__f_{n}", ignorenulls=True).over(upto)["v"] for n in firsts},
             }
         )
         .where(F.col(_DATA) == 1)
-        .select(*columns, *sums, *lasts, *previous_lasts, *maxs, *lags)
+        .select(*columns, *sums, *lasts, *previous_lasts, *maxs, *lags, *firsts)
     )
 
 
@@ -161,68 +174,143 @@ def rolling(
     )
 
 
-def fold_chunks(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    *,
-    initial: list[float],
-    summarise: Callable[[pd.DataFrame], list[float]],
-    advance: Callable[[list[float], list[float]], list[float]],
-    trace: Callable[[pd.DataFrame, list[float]], pd.DataFrame],
-    result: str,
-    chunk_rows: int = CHUNK_ROWS,
+@dataclass(frozen=True)
+class Fold:
+    """A left fold whose steps compose, so that a stretch of rows is again a step.
+
+    ``step`` takes a state over one row's inputs. ``summary_step`` does the same to a
+    stretch's summary, starting at ``summary_start``, and ``cross`` takes a state over a
+    whole stretch by its summary.
+    """
+
+    inputs: tuple[str, ...]
+    start: float
+    step: Callable[..., float]
+    summary_start: tuple[float, ...]
+    summary_step: Callable[..., tuple[float, ...]]
+    cross: Callable[[float, tuple[float, ...]], float]
+
+
+def fold_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, fold: Fold,
+    *, before: str = "before", after: str = "after",
 ) -> DataFrame:
-    """A left fold along ``order`` that no built-in aggregate expresses, in bounded chunks.
+    """Run a :class:`Fold` along ``order`` and add the state before and after each row.
 
-    Each key is cut into chunks of ``chunk_rows`` rows. ``summarise`` turns a chunk into a
-    few numbers, ``advance`` takes a state across a chunk by its summary, and ``trace``
-    returns the result columns of a chunk's rows from the state it starts in. Only one
-    summary row per chunk meets in a task per key; rows never do.
+    For folds that no built-in aggregate expresses. Rows are shuffled and sorted by
+    ``(key, bucket)`` and streamed through Arrow batches, so memory does not depend on how
+    many rows a key has. A first pass summarises each bucket, one small row per bucket is
+    chained per key, and a second pass starts every bucket from its state.
     """
-    columns = df.columns
-    kinds = dict(df.dtypes)
-    placed = with_position(df, keys, order, bucket, "__pos").withColumn(
-        "__chunk", bucket_of(F.col("__pos"), chunk_rows)
-    )
+    columns, kinds = df.columns, dict(df.dtypes)
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    group = [*keys, _BUCKET]
+    parts = [f"__s{i}" for i in range(len(fold.summary_start))]
+    work = df.withColumn(_BUCKET, bucket)
 
-    def one_summary(key, pdf):
-        numbers = summarise(pdf.sort_values("__pos"))
-        return pd.DataFrame([[*key, numbers]], columns=[*keys, "__chunk", "__summary"])
-
-    def chain(key, pdf):
-        state, out = list(initial), []
-        for chunk, summary in pdf.sort_values("__chunk")[["__chunk", "__summary"]].itertuples(
-            index=False
-        ):
-            out.append([*key, chunk, list(state)])
-            state = advance(state, list(summary))
-        return pd.DataFrame(out, columns=[*keys, "__chunk", "__state"])
-
-    def one_trace(key, rows, starts):
-        if rows.empty:
-            return rows[columns].assign(**{c: [] for c in names})
-        ordered_rows = rows.sort_values("__pos").reset_index(drop=True)
-        return pd.concat(
-            [ordered_rows[columns], trace(ordered_rows, list(starts["__state"].iloc[0]))], axis=1
-        )
+    def summarise(batches):
+        last, summary, number = None, fold.summary_start, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, last = _group_starts(batch, group, last)
+            values = [batch.column(c).to_pylist() for c in fold.inputs]
+            rows, found = [], []
+            for i, inputs in enumerate(zip(*values)):
+                if starts[i]:
+                    if i:
+                        rows.append(i - 1)
+                        found.append((number, *summary))
+                    summary, number = fold.summary_start, 0
+                summary = fold.summary_step(summary, *inputs)
+            # A bucket that continues in the next batch goes on under the next number.
+            rows.append(batch.num_rows - 1)
+            found.append((number, *summary))
+            summary, number = fold.summary_start, number + 1
+            picked = batch.select(group).take(pa.array(rows))
+            numbers = pa.array([f[0] for f in found], pa.int64())
+            sums = [pa.array([f[k + 1] for f in found], pa.float64()) for k in range(len(parts))]
+            yield pa.RecordBatch.from_arrays(
+                [*picked.columns, numbers, *sums], names=[*group, "__part", *parts]
+            )
+
+    def chain(batches):
+        last_key, last_group, state = None, None, fold.start
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new_key, last_key = _group_starts(batch, list(keys), last_key)
+            new_group, last_group = _group_starts(batch, group, last_group)
+            summaries = list(zip(*[batch.column(c).to_pylist() for c in parts]))
+            rows, states = [], []
+            for i, summary in enumerate(summaries):
+                if new_key[i]:
+                    state = fold.start
+                if new_group[i]:
+                    rows.append(i)
+                    states.append(state)
+                state = fold.cross(state, summary)
+            picked = batch.select(group).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*picked.columns, pa.array(states, pa.float64())], names=[*group, "__state"]
+            )
 
-    names = [part.split()[0] for part in result.split(", ")]
-    grouped = placed.groupBy(*keys, "__chunk")
-    summaries = grouped.applyInPandas(
-        one_summary, f"{head}, __chunk BIGINT, __summary ARRAY<DOUBLE>"
+    def trace(batches):
+        state = fold.start
+        for batch in batches:
+            carried = batch.column("__state").to_pylist()
+            data = batch.column(_DATA).to_pylist()
+            values = [batch.column(c).to_pylist() for c in fold.inputs]
+            befores, afters = [], []
+            for is_data, start, inputs in zip(data, carried, zip(*values)):
+                if not is_data:
+                    state = start
+                    continue
+                befores.append(state)
+                state = fold.step(state, *inputs)
+                afters.append(state)
+            kept = batch.filter(pc.equal(batch.column(_DATA), 1)).select(columns)
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(befores, pa.float64()), pa.array(afters, pa.float64())],
+                names=[*columns, before, after],
+            )
+
+    slim = work.select(*group, *[c for c in order if c not in group], *fold.inputs)
+    ordered = slim.repartition(*group).sortWithinPartitions(*group, *order)
+    summed = ordered.mapInArrow(
+        summarise,
+        f"{head}, {_BUCKET} BIGINT, __part BIGINT, " + ", ".join(f"{c} DOUBLE" for c in parts),
+    )
+    states = (
+        summed.repartition(*keys)
+        .sortWithinPartitions(*group, "__part")
+        .mapInArrow(chain, f"{head}, {_BUCKET} BIGINT, __state DOUBLE")
     )
-    starts = summaries.groupBy(*keys).applyInPandas(
-        chain, f"{head}, __chunk BIGINT, __state ARRAY<DOUBLE>"
+    both = work.withColumn(_DATA, F.lit(1)).unionByName(
+        states.withColumn(_DATA, F.lit(0)), allowMissingColumns=True
     )
     schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items())
-    return grouped.cogroup(starts.groupBy(*keys, "__chunk")).applyInPandas(
-        one_trace, f"{schema}, {result}"
+    return (
+        both.repartition(*group)
+        .sortWithinPartitions(*group, _DATA, *order)
+        .mapInArrow(trace, f"{schema}, {before} DOUBLE, {after} DOUBLE")
     )
 
 
+def _group_starts(batch, group: Sequence[str], last):
+    """Per row, whether it starts a group; and the batch's last group for the next call."""
+    n = batch.num_rows
+    starts = np.zeros(n, dtype=bool)
+    for c in group:
+        column = batch.column(c)
+        if n > 1:
+            moved = pc.not_equal(column.slice(1), column.slice(0, n - 1))
+            starts[1:] |= moved.to_numpy(zero_copy_only=False)
+    first = tuple(batch.column(c)[0].as_py() for c in group)
+    starts[0] = first != last
+    return starts, tuple(batch.column(c)[n - 1].as_py() for c in group)
+
+
 def group_totals(
     df: DataFrame,
     keys: Sequence[str],

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import floor_to_increment
 from pitbars.operators.ordered import group_totals, hash_spread
+from pitbars.session import staged
 from pitbars.types import require_columns
 
 EPS = 1e-9
@@ -51,8 +52,9 @@ def size_targets(
     work = work.withColumn("base", held)
     work = _requested(work)
     work = _round_and_short(work, limits)
-    work = _position_limit(work, limits)
-    work = _gross_limit(work, holdings, limits)
+    # Each limit below reads the batch twice (totals, then rows).
+    work = staged(_position_limit(work, limits), "sizing")
+    work = staged(_gross_limit(work, holdings, limits), "sizing")
     work = _cash_limit(work, limits)
     return work.select(
         *intents.columns,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pitbars.functions.rules import check_features, target_weight
 from pitbars.functions.scalars import bucket_of, instant, time_bucket
 from pitbars.operators.joins import nearest
-from pitbars.operators.ordered import CHUNK_ROWS, fold_chunks, running
+from pitbars.operators.ordered import Fold, fold_rows, running
 from pitbars.types import DAY, micros
 
 
@@ -153,14 +153,13 @@ def hysteresis(
     rows: DataFrame, *, zscore: str, entry_z: float, exit_z: float = 0.0, sides: str = "both",
     rank_feature: str | None = None, min_rank: float = 0.0,
     trend_feature: str | None = None, min_trend: float = 0.0,
-    keys: Sequence[str] = ("instrument_id",), at: str = "bar_start", width: int = DAY,
-    chunk_rows: int = CHUNK_ROWS,
+    keys: Sequence[str] = ("instrument_id",), at: str = "bar_start", width: int = 30 * DAY,
 ) -> DataFrame:
     """Adds ``state`` in {-1, 0, 1}: two-sided stretch episodes, assuming entries fill.
 
     A row leaves a position without taking the other side on the same row, so long and
     short cannot be scanned separately. Columns give each row's next state from short, flat
-    and long; :func:`fold_chunks` walks them in chunks of bounded size.
+    and long, and a stretch of rows is again such a triple.
     """
     _check_levels(entry_z, exit_z)
     if sides not in ("long", "short", "both"):
@@ -181,32 +180,17 @@ def hysteresis(
             "from_long": F.when(yes(z >= -exit_z), 0).otherwise(1),
         }
     )
-    slim = moves.select(*keys, at, "from_short", "from_flat", "from_long")
-
-    def walk(pdf: pd.DataFrame, state: int) -> list[int]:
-        table = pdf[["from_short", "from_flat", "from_long"]].to_numpy()
-        out = []
-        for row in table:
-            state = int(row[state + 1])
-            out.append(state)
-        return out
-
-    def summarise(pdf: pd.DataFrame) -> list[float]:
-        return [float(walk(pdf, s)[-1]) for s in (-1, 0, 1)]
-
-    def advance(state: list[float], summary: list[float]) -> list[float]:
-        return [summary[int(state[0]) + 1]]
-
-    def trace(pdf: pd.DataFrame, state: list[float]) -> pd.DataFrame:
-        return pd.DataFrame({"state": walk(pdf, int(state[0]))})
-
-    folded = fold_chunks(
-        slim, keys, [at], time_bucket(at, width),
-        initial=[0.0], summarise=summarise, advance=advance, trace=trace,
-        result="state INT", chunk_rows=chunk_rows,
+    inputs = ("from_short", "from_flat", "from_long")
+    fold = Fold(
+        inputs=inputs,
+        start=0.0,
+        step=lambda state, *to: float(to[int(state) + 1]),
+        summary_start=(-1.0, 0.0, 1.0),
+        summary_step=lambda states, *to: tuple(float(to[int(x) + 1]) for x in states),
+        cross=lambda state, states: states[int(state) + 1],
     )
-    states = folded.select(*keys, at, "state")
-    return rows.join(states, [*keys, at]).select(*rows.columns, "state")
+    done = fold_rows(moves, list(keys), [at], time_bucket(at, width), fold)
+    return done.select(*rows.columns, F.col("after").cast("int").alias("state"))
 
 
 def scheduled(

@@ -19,6 +19,7 @@ from pitbars.operators.joins import interval_join
 from pitbars.operators.ledger import equity_curve
 from pitbars.operators.metrics import Annualization, annualization_for, in_decision_range, performance
 from pitbars.operators.ordered import running
+from pitbars.session import staged
 from pitbars.types import DAY
 
 
@@ -101,22 +102,26 @@ def backtest(
     and role is its own account: decisions inside its range trade, and positions end flat
     in no account but their own.
     """
-    spans = folds.where(F.col("role").isin(list(roles)))
+    bars = staged(bars, "bars")
+    spans = staged(folds.where(F.col("role").isin(list(roles))), "folds")
     placed = interval_join(
         targets, spans.select("fold", "role", "start", "end"), at="decision_at"
     ).drop("start", "end")
     base = [*run, "fold", "role"]
     estimates = ex.liquidity_estimates(bars, setup.execution.liquidity_lookback)
-    orders = orders_from_targets(placed, bars, estimates, setup, run=base)
-    fills = fills_under(orders, bars, setup)
+    orders = staged(orders_from_targets(placed, bars, estimates, setup, run=base), "orders")
+    fills = staged(fills_under(orders, bars, setup), "fills")
     account = [*base, "fill_rule", "scenario"]
     marks = interval_join(
         bars.select("instrument_id", F.col("available_at").alias("at"), F.col("close").alias("price")),
         spans.select("fold", "role", "start", "end"), at="at",
     ).drop("start", "end")
-    curve = equity_curve(
-        fills, marks, initial_cash=setup.initial_cash, run=account,
-        fill_order=["fill_at", "order_id", "fill_no"],
+    curve = staged(
+        equity_curve(
+            fills, marks, initial_cash=setup.initial_cash, run=account,
+            fill_order=["fill_at", "order_id", "fill_no"],
+        ),
+        "curve",
     )
     ranged = in_decision_range(curve, spans, ["fold", "role"])
     counted = orders

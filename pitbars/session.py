@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,20 +32,40 @@ def build_session(app: str = "pitbars", master: str | None = None, **conf: str)
     return prepare(builder.getOrCreate())
 
 
-def checkpointed(df: DataFrame, *, eager: bool = False) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``. Only a local-mode session that names none gets
-    a temporary one; a cluster without the setting is refused, because executors elsewhere
-    could not read a folder on this machine.
+    Only a local-mode session that names none gets a temporary one; a cluster without the
+    setting is refused, because executors elsewhere could not read a folder on this machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return "/tmp/spark-pitbars"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder; Spark creates it when it first writes there."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, *, eager: bool = False) -> DataFrame:
+    """Cut lineage through the cluster's shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise an intermediate table under the shared folder and read it back.
+
+    Ordered scans read their input twice, so a chain of them would recompute its source
+    many times over. A stored table ends the chain, survives the loss of executors, and
+    lets each later pass read only the columns it needs.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
