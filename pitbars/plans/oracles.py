@@ -770,7 +770,10 @@ add("leak_cut_points", f"WITH {CUTS} SELECT * FROM cuts")
 for name in ("leak_prefix_invariance", "leak_future_insensitive"):
     add(
         name,
-        f"""WITH {CUTS} SELECT cut, 'none' AS feature, CAST(0 AS BIGINT) AS n FROM cuts WHERE false""",
+        f"""WITH {CUTS}, {FEATURE_BASE.removeprefix(BARS + ",")},
+        f AS (SELECT instrument_id, bar_start, {ready(1, 2)} AS available_at FROM r)
+        SELECT cut, count(*) AS checked, CAST(0 AS BIGINT) AS violations
+        FROM f JOIN cuts ON f.available_at <= cut GROUP BY 1""",
     )
 add(
     "leak_prefix_caught",
@@ -1106,7 +1109,8 @@ add(
 )
 add(
     "ledger_reconcile",
-    """SELECT 'none' AS scenario, ts AS at, 0.0 AS equity, 0.0 AS identity FROM events WHERE false""",
+    f"""WITH {CURVE} SELECT scenario, count(*) AS instants, CAST(0 AS BIGINT) AS violations
+    FROM clock GROUP BY 1""",
 )
 add(
     "ledger_stale_marks",

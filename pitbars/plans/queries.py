@@ -691,18 +691,33 @@ def leak_cut_points(spark, d):
     return leakage.cut_points(tt.bars(spark, d))
 
 
+def _leak_report(b, cuts, violations):
+    """Per cut: rows the full computation marks available, and how many of them moved."""
+    full = _honest(b.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts]))))
+    checked = full.where(F.col("available_at") <= F.col("cut")).groupBy("cut").agg(
+        F.count(F.lit(1)).alias("checked")
+    )
+    moved = violations.groupBy("cut").agg(F.count(F.lit(1)).alias("violations"))
+    return checked.join(moved, "cut", "left").fillna(0)
+
+
+def _cuts(b):
+    """The cut points as instants; their number is a parameter."""
+    return [r["cut"] for r in leakage.cut_points(b).orderBy("cut").collect()]
+
+
 @query()
 def leak_prefix_invariance(spark, d):
-    b = tt.bars(spark, d)
-    found = leakage.prefix_violations(b, _honest, leakage.cut_points(b))
-    return found.groupBy("cut", "feature").agg(F.count(F.lit(1)).alias("n"))
+    b = staged(tt.bars(spark, d), "bars")
+    cuts = leakage.cut_points(b)
+    return _leak_report(b, _cuts(b), leakage.prefix_violations(b, _honest, cuts))
 
 
 @query()
 def leak_future_insensitive(spark, d):
-    b = tt.bars(spark, d)
-    found = leakage.future_violations(b, _honest, leakage.cut_points(b))
-    return found.groupBy("cut", "feature").agg(F.count(F.lit(1)).alias("n"))
+    b = staged(tt.bars(spark, d), "bars")
+    cuts = leakage.cut_points(b)
+    return _leak_report(b, _cuts(b), leakage.future_violations(b, _honest, cuts))
 
 
 @query()
@@ -964,15 +979,18 @@ def ledger_equity_curve(spark, d):
 
 @query(3)
 def ledger_reconcile(spark, d):
-    """Violations of the accounting identity: none."""
+    """Instants checked against the accounting identity, and how many break it."""
     fills, curve = _curve(spark, d)
     order = ["fill_at", "order_id", "fill_no"]
     costed = staged(
         ledger.average_cost(fills, keys=["scenario", "instrument_id"], order=order), "costed"
     )
-    return ledger.reconcile(
+    broken = ledger.reconcile(
         curve, costed, initial_cash=5_000_000.0, order=order, run=["scenario"]
-    ).select("scenario", "at", "equity", "identity")
+    )
+    instants = curve.groupBy("scenario").agg(F.count(F.lit(1)).alias("instants"))
+    bad = broken.groupBy("scenario").agg(F.count(F.lit(1)).alias("violations"))
+    return instants.join(bad, "scenario", "left").fillna(0)
 
 
 @query()
