@@ -36,17 +36,12 @@ def cut_points(bars: DataFrame, count: int = 5) -> DataFrame:
     placed = running(
         one, ["__one"], ["available_at"], time_bucket("available_at", DAY), sums={"upto": F.col("n")}
     )
-    total = counts.agg(F.sum("n").alias("total"))
-    picks = F.array_distinct(
-        F.array(
-            *[F.floor(F.col("total") * (i + 1) / (count + 1)).cast("bigint") for i in range(count)]
-        )
+    total = counts.agg(F.sum("n")).scalar()
+    spots = F.array(
+        *[F.floor(F.col("__total") * (i + 1) / (count + 1)).cast("bigint") for i in range(count)]
     )
-    hit = F.exists(
-        F.col("picks"), lambda p: (p >= F.col("upto") - F.col("n")) & (p < F.col("upto"))
-    )
-    one_row = total.select(picks.alias("picks"))
-    return placed.crossJoin(F.broadcast(one_row)).where(hit).select(F.col("available_at").alias("cut"))
+    hit = F.exists(spots, lambda p: (p >= F.col("upto") - F.col("n")) & (p < F.col("upto")))
+    return placed.withColumn("__total", total).where(hit).select(F.col("available_at").alias("cut"))
 
 
 def _cut_array(cuts: DataFrame | Sequence[dt.datetime]):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import elapsed, time_bucket
-from pitbars.operators.ordered import running
+from pitbars.operators.ordered import group_totals, running
 from pitbars.operators.resample import periodic_equity
 from pitbars.types import DAY, MINUTE, micros
 
@@ -255,16 +255,17 @@ def histogram(rows: DataFrame, value: str, *, bins: int = 31, keys: Sequence[str
     named = list(keys) or ["__all"]
     data = (rows if keys else rows.withColumn("__all", F.lit(0))).where(F.col(value).isNotNull())
     v = F.col(value)
-    span = data.groupBy(*named).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    span = span.select(
-        *named,
-        F.when(flat, F.col("lo") - 1).otherwise(F.col("lo")).alias("__lo"),
-        F.when(flat, F.col("hi") + 1).otherwise(F.col("hi")).alias("__hi"),
+    spanned = group_totals(
+        data, named, F.pmod(F.xxhash64(v), F.lit(64)), maxs={"__top": v, "__bottom": -v}
+    )
+    flat = F.col("__top") == -F.col("__bottom")
+    margin = F.when(flat, 1.0).otherwise(0.0)
+    spanned = spanned.withColumns(
+        {"__lo": -F.col("__bottom") - margin, "__hi": F.col("__top") + margin}
     )
     step = (F.col("__hi") - F.col("__lo")) / bins
     index = F.least(F.floor((v - F.col("__lo")) / step), F.lit(bins - 1)).cast("int")
-    counted = data.join(span, named).groupBy(*named, "__lo", "__hi", index.alias("bin")).agg(
+    counted = spanned.groupBy(*named, "__lo", "__hi", index.alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return counted.select(
@@ -286,8 +287,9 @@ def downsample(
     placed = running(
         rows, named, [at], time_bucket(at, width), sums={"__n": F.lit(1).cast("bigint")}
     )
-    total = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("__total"))
-    joined = placed.join(total, named).withColumn("__i", F.col("__n") - 1)
+    joined = group_totals(
+        placed, named, time_bucket(at, width), sums={"__total": F.lit(1).cast("bigint")}
+    ).withColumn("__i", F.col("__n") - 1)
     buckets = max(limit // 2, 1)
     # Bucket b holds positions from int(b * total / buckets); integers keep that exact.
     bucket = bucket_of_ratio("__i", "__total", buckets)

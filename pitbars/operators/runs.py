@@ -8,6 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pitbars.functions.scalars import time_bucket
+from pitbars.operators.metrics import period_path
+from pitbars.operators.ordered import running
+from pitbars.operators.resample import periodic_equity
+from pitbars.types import DAY
+
 ROLES = ("validation", "test")
 METRICS = (
     "periods",
@@ -108,8 +114,8 @@ def grid_table(spark: SparkSession, grid: Mapping[str, Sequence], schema: str) -
 
 def rank_trials(table: DataFrame, *, by: str = "validation_total_return", trial: str = "trial") -> DataFrame:
     """Trials from best to worst on validation, with how many were tried."""
-    tried = table.agg(F.count(F.lit(1)).alias("trials"))
-    return table.join(tried, F.lit(True)).orderBy(F.col(by).desc_nulls_last(), trial)
+    tried = table.agg(F.count(F.lit(1))).scalar()
+    return table.withColumn("trials", tried).orderBy(F.col(by).desc_nulls_last(), trial)
 
 
 def best_and_worst(trades: DataFrame, *, k: int = 5, keys: Sequence[str] = (),
@@ -126,6 +132,27 @@ def best_and_worst(trades: DataFrame, *, k: int = 5, keys: Sequence[str] = (),
     return ranked(F.col(value).desc()).unionByName(ranked(F.col(value).asc())).distinct()
 
 
+def report_series(curve: DataFrame, *, keys: Sequence[str], bar_size: str) -> DataFrame:
+    """Equity from one, drawdown from zero down, and gross exposure over equity, per period.
+
+    One series per key, so that folds do not run into each other.
+    """
+    periods = periodic_equity(
+        curve.select(*keys, "at", "equity", "gross_exposure"), keys=list(keys), bar_size=bar_size
+    )
+    path = running(
+        period_path(periods, keys=list(keys)), list(keys), ["period"],
+        time_bucket("period", 30 * DAY), firsts={"__base": F.col("equity")},
+    )
+    return path.select(
+        *keys,
+        "period",
+        F.try_divide(F.col("equity"), F.col("__base")).alias("equity_index"),
+        (-F.col("drawdown")).alias("drawdown"),
+        F.try_divide(F.col("gross_exposure"), F.col("equity")).alias("exposure"),
+    )
+
+
 def preview(folds: DataFrame, *, scenarios: int = 1, fill_rules: int = 1, trials: int = 1) -> DataFrame:
     """How much work a plan asks for: folds, evaluated roles, and simulated passes."""
     passes = scenarios * fill_rules * trials

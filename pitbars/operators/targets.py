@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions.rules import check_features, target_weight
 from pitbars.functions.scalars import bucket_of, instant, time_bucket
-from pitbars.operators.joins import nearest
+from pitbars.operators.joins import interval_join
 from pitbars.operators.ordered import Fold, fold_rows, running
 from pitbars.types import DAY, micros
 
@@ -26,29 +26,43 @@ def decision_instants(published: DataFrame, *, start=None, end=None) -> DataFram
     return rows.distinct()
 
 
+def validity(
+    published: DataFrame, *, entity: str = "instrument_id", width: int = DAY
+) -> DataFrame:
+    """Each published row with the span in which it is its instrument's latest.
+
+    ``valid_from`` is its own publication and ``valid_to`` the next one (null for the last
+    row): the compact form of every decision batch at once.
+    """
+    latest_first = published.withColumn("__back", -F.unix_micros("available_at"))
+    order = ["__back", "__later"]
+    ranked = latest_first.withColumn("__later", -F.unix_micros("bar_start"))
+    out = running(
+        ranked, [entity], order, bucket_of(F.col("__back"), width),
+        lags={"valid_to": F.col("available_at")},
+    )
+    kept = out.withColumn("valid_from", F.col("available_at")).drop(*order)
+    return kept.where(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+
+
 def decision_batches(
-    published: DataFrame, instants: DataFrame, *, entity: str = "instrument_id"
+    published: DataFrame, instants: DataFrame, *, entity: str = "instrument_id", width: int = DAY
 ) -> DataFrame:
     """For each instant and instrument, the latest row published by then.
 
-    Only instruments that have published appear. The instants are listed per instrument
-    because the batch itself has that size.
+    Only instruments that have published appear. Instants meet rows through the spans in
+    which rows are the latest, bucketed by time.
     """
-    names = published.select(entity).distinct()
-    grid = instants.join(names, F.lit(True))
-    found = nearest(
-        grid,
-        published,
-        left_on=F.col("decision_at"),
-        right_on=F.col("available_at"),
-        by=[entity],
-        tiebreak=["bar_start"],
-        name="__row",
+    last = instants.agg(F.timestamp_micros(F.max(F.unix_micros("decision_at")) + 1)).scalar()
+    spans = validity(published, entity=entity, width=width)
+    closed = spans.withColumn("valid_to", F.coalesce("valid_to", last)).withColumnRenamed(
+        "available_at", "__available_at"
     )
+    found = interval_join(
+        instants, closed, at="decision_at", start="valid_from", end="valid_to", width=width
+    ).withColumnRenamed("__available_at", "available_at")
     rest = [c for c in published.columns if c != entity]
-    return found.where(F.col("__row").isNotNull()).select(
-        "decision_at", entity, *[F.col("__row")[c].alias(c) for c in rest]
-    )
+    return found.select("decision_at", entity, *rest)
 
 
 def recent_rows(published: DataFrame, as_of, n: int, *, entity: str = "instrument_id") -> DataFrame:
@@ -262,9 +276,11 @@ def scheduled(
 def weights_at(instants: DataFrame, published: DataFrame, weights: Mapping[str, float], *,
                at: str = "decision_at") -> DataFrame:
     """Target weights at each instant for the listed names that have published by then."""
-    firsts = _first_published(published, weights)
-    due = instants.join(firsts, F.col(at) >= F.col("first_at"))
-    return due.select(*instants.columns, "instrument_id", "target")
+    named = instants.withColumn("instrument_id", F.explode(F.array(*map(F.lit, weights))))
+    due = named.join(_first_published(published, weights), "instrument_id")
+    return due.where(F.col(at) >= F.col("first_at")).select(
+        *instants.columns, "instrument_id", "target"
+    )
 
 
 def _first_published(published: DataFrame, weights: Mapping[str, float]) -> DataFrame:
@@ -283,11 +299,9 @@ def initial_allocation(
 ) -> DataFrame:
     """Targets at each decision until the first at which every listed name has a price."""
     firsts = _first_published(published, weights)
-    complete = firsts.agg(F.max("first_at").alias("__all_at"), F.count(F.lit(1)).alias("__k"))
-    full_at = F.when(F.col("__k") == len(weights), F.col("__all_at"))
-    done = (
-        instants.join(complete.select(full_at.alias("__full")), F.lit(True))
-        .agg(F.min(F.when(F.col("decision_at") >= F.col("__full"), F.col("decision_at"))).alias("__done"))
-    )
-    until = instants.join(done, F.col("__done").isNull() | (F.col("decision_at") <= F.col("__done")))
+    complete = firsts.agg(
+        F.when(F.count(F.lit(1)) == len(weights), F.max("first_at"))
+    ).scalar()
+    done = instants.where(F.col("decision_at") >= complete).agg(F.min("decision_at")).scalar()
+    until = instants.where(F.col("decision_at") <= F.coalesce(done, F.col("decision_at")))
     return weights_at(until.select("decision_at"), published, weights)

@@ -59,7 +59,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per key over any number of values."""
     from pitbars.operators.crosssection import value_bucket
-    from pitbars.operators.ordered import running
+    from pitbars.operators.ordered import group_totals, running
 
     counts = (
         rows.where(F.col(value).isNotNull())
@@ -69,8 +69,9 @@ def exact_quantiles(
     placed = running(
         counts, keys, ["__v"], value_bucket(F.col("__v")), sums={"__upto": F.col("__n")}
     )
-    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    joined = placed.join(total, list(keys))
+    joined = group_totals(
+        placed, list(keys), value_bucket(F.col("__v")), sums={"__total": F.col("__n")}
+    )
     first = F.col("__upto") - F.col("__n")
     picks, mixes = [], []
     for name, p in wanted.items():

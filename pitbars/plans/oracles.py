@@ -1077,30 +1077,40 @@ add(
     "position avg_cost realized_pnl",
     4,
 )
-CURVE = f"""{COSTED},
-bk AS (SELECT *, CASE WHEN side = 'buy' THEN quantity ELSE -quantity END AS signed FROM costed
-  WHERE scenario IN ('base', 'stressed')),
-clock AS (SELECT DISTINCT scenario, at FROM (SELECT scenario, fill_at AS at FROM bk
-  UNION ALL SELECT s.scenario, available_at FROM bars, (SELECT DISTINCT scenario FROM bk) s)),
-names AS (SELECT scenario, instrument_id, arg_min(reference_price, (fill_at, order_id, n)) AS ref1
+
+
+def curve_sql(key: str, cash: float) -> str:
+    """Needs ``bk`` (costed fills, signed) and ``mk`` (marks), both with the key; defines ``curve``."""
+    return f"""
+clock AS (SELECT DISTINCT {key}, at FROM (SELECT {key}, fill_at AS at FROM bk
+  UNION ALL SELECT {key}, at FROM mk)),
+names AS (SELECT {key}, instrument_id, arg_min(reference_price, (fill_at, order_id, n)) AS ref1
   FROM bk GROUP BY 1, 2),
-grid AS (SELECT c.scenario, c.at, n.instrument_id, n.ref1 FROM clock c JOIN names n USING (scenario)),
-pos AS (SELECT scenario, instrument_id, fill_at, sum(sum(signed)) OVER (PARTITION BY scenario, instrument_id
+grid AS (SELECT c.{key}, c.at, n.instrument_id, n.ref1 FROM clock c JOIN names n USING ({key})),
+pos AS (SELECT {key}, instrument_id, fill_at, sum(sum(signed)) OVER (PARTITION BY {key}, instrument_id
   ORDER BY fill_at) AS qty FROM bk GROUP BY 1, 2, 3),
-lastbar AS (SELECT instrument_id, available_at, arg_max(close, bar_start) AS close FROM bars GROUP BY 1, 2),
-g1 AS (SELECT g.*, p.qty FROM grid g ASOF LEFT JOIN pos p ON g.scenario = p.scenario
+lastbar AS (SELECT {key}, instrument_id, at, arg_max(close, bar_start) AS close FROM mk GROUP BY 1, 2, 3),
+g1 AS (SELECT g.*, p.qty FROM grid g ASOF LEFT JOIN pos p ON g.{key} = p.{key}
   AND g.instrument_id = p.instrument_id AND g.at >= p.fill_at),
 g2 AS (SELECT g.*, coalesce(m.close, ref1) AS mark FROM g1 g ASOF LEFT JOIN lastbar m
-  ON g.instrument_id = m.instrument_id AND g.at >= m.available_at),
-val AS (SELECT scenario, at, sum(CASE WHEN abs(qty) > 1e-9 THEN qty * mark ELSE 0 END) AS net,
+  ON g.{key} = m.{key} AND g.instrument_id = m.instrument_id AND g.at >= m.at),
+val AS (SELECT {key}, at, sum(CASE WHEN abs(qty) > 1e-9 THEN qty * mark ELSE 0 END) AS net,
     sum(CASE WHEN abs(qty) > 1e-9 THEN abs(qty * mark) ELSE 0 END) AS gross,
     CAST(count(*) FILTER (abs(qty) > 1e-9) AS INTEGER) AS position_count FROM g2 GROUP BY 1, 2),
-flow AS (SELECT scenario, fill_at AS at, sum(-signed * price - fee) AS c, sum(fee) AS f FROM bk GROUP BY 1, 2),
-curve AS (SELECT v.scenario, v.at, 5000000.0 + coalesce(sum(c) OVER w, 0) AS cash,
-    5000000.0 + coalesce(sum(c) OVER w, 0) + net AS equity, gross AS gross_exposure, net AS net_exposure,
+flow AS (SELECT {key}, fill_at AS at, sum(-signed * price - fee) AS c, sum(fee) AS f FROM bk GROUP BY 1, 2),
+curve AS (SELECT v.{key}, v.at, {cash} + coalesce(sum(c) OVER w, 0) AS cash,
+    {cash} + coalesce(sum(c) OVER w, 0) + net AS equity, gross AS gross_exposure, net AS net_exposure,
     coalesce(sum(f) OVER w, 0) AS fees_paid, position_count
-  FROM val v LEFT JOIN flow USING (scenario, at)
-  WINDOW w AS (PARTITION BY v.scenario ORDER BY v.at))"""
+  FROM val v LEFT JOIN flow USING ({key}, at)
+  WINDOW w AS (PARTITION BY v.{key} ORDER BY v.at))"""
+
+
+SIGNED = "CASE WHEN side = 'buy' THEN quantity ELSE -quantity END AS signed"
+CURVE = f"""{COSTED},
+bk AS (SELECT *, {SIGNED} FROM costed WHERE scenario IN ('base', 'stressed')),
+mk AS (SELECT scenario, instrument_id, available_at AS at, close, bar_start
+  FROM bars, (SELECT DISTINCT scenario FROM bk)),
+{curve_sql('scenario', 5000000.0)}"""
 add(
     "ledger_equity_curve",
     f"WITH {CURVE} SELECT * FROM curve",
@@ -1224,6 +1234,13 @@ add(
       CASE WHEN equity < peak THEN epoch_us(period) - epoch_us(peak_at) ELSE 0 END AS under_water_us FROM dd""",
     "drawdown",
 )
+add(
+    "report_series",
+    f"""WITH {CURVE}, {HOURLY} SELECT scenario, period,
+      equity / first_value(equity) OVER (PARTITION BY scenario ORDER BY period) AS equity_index,
+      CASE WHEN equity < peak THEN equity / peak - 1 ELSE 0.0 END AS drawdown, g / equity AS exposure FROM dd""",
+    "equity_index drawdown exposure",
+)
 add(
     "metrics_cost_split",
     f"""WITH {FILLS} SELECT CAST(year(fill_at) AS INTEGER) AS year, side, {SPLIT},
@@ -1324,6 +1341,57 @@ add(
       count(*) FILTER (role IN ('validation', 'test')) * 48 AS passes FROM folds""",
 )
 
+# -- the open-loop backtest for one parameter point
+
+BT = f"""{FEATURE_BASE},{EST.removeprefix(BARS + ",")}, {folds_sql(168, ROLLING_PARTS, 96, warm=24)},
+sig AS (SELECT instrument_id, bar_start, {RET_1} AS ret_1, {ready(1, 5)} AS decision_at, close FROM r),
+plc AS (SELECT s.*, CAST(fold AS VARCHAR) || '|' || role AS acct FROM sig s JOIN folds f
+  ON role IN ('validation', 'test') AND decision_at >= f."start" AND decision_at < f."end"
+  WHERE ret_1 IS NOT NULL),
+want AS (SELECT *, CASE WHEN ret_1 > 0 THEN floor(0.2 * 100000.0 / close / 1e-6 + 1e-9) * 1e-6 ELSE 0.0 END AS w
+  FROM plc),
+chg AS (SELECT *, w - coalesce(lag(w) OVER (PARTITION BY acct, instrument_id
+  ORDER BY decision_at, bar_start), 0) AS c FROM want),
+ords AS (SELECT acct, instrument_id, decision_at AS signal_at, CASE WHEN c > 0 THEN 'buy' ELSE 'sell' END AS side,
+    abs(c) AS quantity, decision_at + INTERVAL 1 SECOND AS eligible_at,
+    decision_at + INTERVAL 6 HOUR AS expires_at, liquidity_estimate,
+    floor(0.1 * liquidity_estimate / 1e-6 + 1e-12) * 1e-6 AS cap,
+    acct || '|' || instrument_id || '|' || CAST(epoch_us(decision_at) AS VARCHAR) || '|'
+      || CAST(epoch_us(bar_start) AS VARCHAR) AS order_id
+  FROM chg JOIN est USING (instrument_id, bar_start) WHERE abs(c) > 5e-7),
+{NEXT_OPEN.removeprefix(ORDERS + ",")},
+c1 AS (SELECT *, reference_price * 2.5 / 1e4 AS half_spread, quantity / liquidity_estimate AS participation,
+    coalesce(reference_price * 25.0 / 1e4 * (quantity / liquidity_estimate), reference_price * 10.0 / 1e4)
+      AS slippage FROM matched),
+c2 AS (SELECT *, reference_price + CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (half_spread + slippage) AS price
+  FROM c1),
+bk AS (SELECT *, greatest(quantity * price * 1.0 / 1e4, 0.0) AS fee, {SIGNED} FROM c2),
+mk AS (SELECT CAST(fold AS VARCHAR) || '|' || role AS acct, instrument_id, available_at AS at, close, bar_start
+  FROM bars JOIN folds f ON role IN ('validation', 'test') AND available_at >= f."start" AND available_at < f."end"),
+{curve_sql('acct', 100000.0).replace('curve AS (', 'whole AS (')},
+curve AS (SELECT w.* FROM whole w JOIN folds f ON w.acct = CAST(f.fold AS VARCHAR) || '|' || f.role
+  AND w.at >= f."start" AND w.at < f."end"),
+{performance_sql('acct', H, 8766.0)},
+ft AS (SELECT acct, sum(quantity * (half_spread + slippage) + fee) AS total_costs,
+    sum(quantity * price) AS notional, count(*) AS fill_count, avg(participation) AS mean_participation
+  FROM bk GROUP BY 1),
+oc AS (SELECT acct, count(*) AS order_count FROM ords GROUP BY 1)"""
+add(
+    "backtest_open_loop",
+    f"""WITH {BT} SELECT 0 AS trial, CAST(split_part(acct, '|', 1) AS INTEGER) AS fold,
+      split_part(acct, '|', 2) AS role, 'next_open_after_eligibility' AS fill_rule, 'base' AS scenario,
+      periods, start_equity, end_equity, total_return, ln(annualized_return + 1) AS annualized_log_growth, annualized_volatility, sharpe,
+      max_drawdown, max_drawdown_us, notional / mean_equity * 8766.0 / periods AS turnover_annualized,
+      avg_gross_exposure, avg_net_exposure, order_count, fill_count, period_hit_rate, total_costs,
+      total_costs / start_equity AS cost_fraction, mean_participation, CAST(0 AS BIGINT) AS warning_count,
+      8766.0 AS periods_per_year, 'initial_capital' AS sizing
+    FROM perf JOIN ft USING (acct) JOIN oc USING (acct)""",
+    "start_equity end_equity total_return annualized_log_growth annualized_volatility sharpe max_drawdown "
+    "turnover_annualized avg_gross_exposure avg_net_exposure period_hit_rate total_costs cost_fraction "
+    "mean_participation periods_per_year",
+    4,
+)
+
 # -- streaming: only windows that closed before the watermark of the last event
 
 CLOSED = f"""{BARS},

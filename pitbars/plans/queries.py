@@ -1058,6 +1058,12 @@ def metrics_drawdown(spark, d):
     return out.select("scenario", "period", "peak_at", "drawdown", "under_water_us")
 
 
+@query()
+def report_series(spark, d):
+    _, curve = _curve(spark, d)
+    return runs.report_series(curve, keys=["scenario"], bar_size="1h")
+
+
 @query(2)
 def metrics_cost_split(spark, d):
     f = tt.fills(spark, d).withColumn("year", F.year("fill_at"))
@@ -1188,7 +1194,10 @@ def backtest_open_loop(spark, d):
         bar_size="1h", execution=BOOK.execution, scenarios=("base",),
         fill_rules=("next_open_after_eligibility",),
     )
-    return _sweep(spark, d, {"threshold": [0.0], "weight": [0.2]}, single)["metrics"]
+    m = _sweep(spark, d, {"threshold": [0.0], "weight": [0.2]}, single)["metrics"]
+    # Two days annualised can reach 1e17; its logarithm has digits that mean something.
+    growth = F.ln(F.col("annualized_return") + 1).alias("annualized_log_growth")
+    return m.select(*[growth if c == "annualized_return" else c for c in m.columns])
 
 
 @query(4)
