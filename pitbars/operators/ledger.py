@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import elapsed, time_bucket
 from pitbars.operators.joins import nearest
-from pitbars.operators.ordered import Fold, fold_rows, running
+from pitbars.operators.ordered import HOT_ROWS, Fold, fold_rows, running, split_hot_keys
 from pitbars.types import DAY, SECOND, micros
 
 FLAT = 1e-9
@@ -32,13 +32,24 @@ def snapped(value: Column) -> Column:
 
 def positions(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
-    width: int = DAY,
+    width: int = DAY, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Fills with the position before and after each.
+
+    Keys above ``hot_rows`` fills are split into buckets of ``width``.
+    """
+    return _positions(fills, keys, order, width, hot_rows).drop("__split")
+
+
+def _positions(
+    fills: DataFrame, keys: Sequence[str], order: Sequence[str], width: int, hot_rows: int
 ) -> DataFrame:
-    """Fills with the position before and after each."""
+    split = split_hot_keys(
+        fills.withColumn("signed", signed_quantity()), list(keys),
+        time_bucket(order[0], width), hot_rows=hot_rows,
+    )
     out = running(
-        fills.withColumn("signed", signed_quantity()),
-        list(keys), list(order), time_bucket(order[0], width),
-        sums={"position": F.col("signed")},
+        split, list(keys), list(order), F.col("__split"), sums={"position": F.col("signed")}
     )
     return out.withColumns(
         {
@@ -50,7 +61,7 @@ def positions(
 
 def average_cost(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
-    width: int = DAY,
+    width: int = DAY, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Fills with ``position``, ``avg_cost`` after, and ``realized_pnl`` of each fill.
 
@@ -59,7 +70,7 @@ def average_cost(
     ``basis' = a * basis + b`` per fill, and a stretch of fills is again one such pair, which
     is what makes the fold splittable.
     """
-    held = positions(fills, keys=keys, order=order, width=width)
+    held = _positions(fills, keys, order, width, hot_rows)
     before, after = F.col("position_before"), F.col("position")
     adds = (before == 0) | ((before > 0) == (F.col("signed") > 0))
     flips = ~adds & (after != 0) & ((after > 0) != (before > 0))
@@ -80,7 +91,7 @@ def average_cost(
         cross=lambda basis, s: s[0] * basis + s[1],
     )
     joined = fold_rows(
-        steps, list(keys), list(order), time_bucket(order[0], width), fold,
+        steps, list(keys), list(order), F.col("__split"), fold,
         before="basis_before", after="basis",
     )
     closed = F.when(adds, 0.0).otherwise(
@@ -92,7 +103,7 @@ def average_cost(
             "avg_cost": F.when(after == 0, 0.0).otherwise(F.try_divide(F.col("basis"), after)),
             "realized_pnl": -closed * (F.col("price") - cost_before),
         }
-    ).drop("basis", "basis_before", "a", "b")
+    ).drop("basis", "basis_before", "a", "b", "__split")
 
 
 def equity_curve(
@@ -266,14 +277,14 @@ def warning_counts(warnings: DataFrame, keys: Sequence[str] = ("code", "instrume
 
 def trades(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
-    marks: DataFrame | None = None, width: int = DAY,
+    marks: DataFrame | None = None, width: int = DAY, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Flat-to-flat trades: from leaving zero to the return, a flip being both.
 
     A fill that crosses zero is split in two legs with its friction shared by size. An open
     trade is valued at ``marks`` (``keys, price``) or has null P&L.
     """
-    held = positions(fills, keys=keys, order=order, width=width)
+    held = _positions(fills, keys, order, width, hot_rows)
     before, after, signed = F.col("position_before"), F.col("position"), F.col("signed")
     crosses = (before != 0) & (after != 0) & ((before > 0) != (after > 0))
     legs = F.when(
@@ -293,11 +304,11 @@ def trades(
     spread = F.coalesce("half_spread", F.lit(0.0)) + F.coalesce("slippage", F.lit(0.0))
     friction = F.col("fee") + F.col("quantity") * spread
     split = held.where(F.abs(signed) > FLAT).select(
-        *keys, *order, "price", "reference_price", "quantity", friction.alias("friction"),
+        *keys, *order, "__split", "price", "reference_price", "quantity", friction.alias("friction"),
         F.inline(legs),
     )
     numbered = running(
-        split, list(keys), [*order, "leg"], time_bucket(order[0], width),
+        split, list(keys), [*order, "leg"], F.col("__split"),
         sums={"trade_no": (F.col("p0") == 0).cast("bigint")},
     )
     at, applied = F.col(order[0]), F.col("applied")

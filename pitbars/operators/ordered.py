@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pitbars.functions.scalars import bucket_of
 
 CHUNK_ROWS = 8192
+HOT_ROWS = 1_000_000
 
 _BUCKET = "__bucket"
 _DATA = "__is_data"
@@ -126,6 +127,28 @@ def running(
     )
 
 
+def split_hot_keys(
+    df: DataFrame, keys: Sequence[str], fine: Column, *, hot_rows: int = HOT_ROWS,
+    name: str = "__split",
+) -> DataFrame:
+    """Add a bucket that is ``fine`` for keys above ``hot_rows`` rows and 0 for all others.
+
+    For tables with very many short keys and a few long ones: splitting every key finely
+    would make the bucket totals as large as the data. The count is a map-side combined
+    pass over the key columns. The hot list has at most ``rows / hot_rows`` entries, and
+    Spark broadcasts it when its measured size is under the session's threshold.
+    """
+    hot = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > hot_rows)
+        .select(*keys, F.lit(True).alias("__hot"))
+    )
+    joined = df.join(hot, list(keys), "left")
+    bucket = F.when(F.col("__hot"), fine).otherwise(F.lit(0).cast("bigint"))
+    return joined.select(*df.columns, bucket.alias(name))
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "pos"
 ) -> DataFrame:

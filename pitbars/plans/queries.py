@@ -1016,6 +1016,11 @@ def ledger_short_positions(spark, d):
 
 
 def _trades(spark, d):
+    """Stored trades: reports over them read them more than once."""
+    return staged(_trade_rows(spark, d), "trades")
+
+
+def _trade_rows(spark, d):
     f = tt.fills(spark, d)
     last = ledger.last_marks(f.select("instrument_id", F.col("fill_at").alias("at"), F.lit(1000.0).alias("price")))
     return ledger.trades(f, order=ORDERING, marks=last, width=90 * DAY)
@@ -1023,7 +1028,8 @@ def _trades(spark, d):
 
 @query(4)
 def ledger_flat_to_flat_trades(spark, d):
-    return _trades(spark, d).withColumn("is_open", F.col("is_open").cast("int"))
+    t = _trade_rows(spark, d)
+    return t.withColumn("is_open", F.col("is_open").cast("int"))
 
 
 @query(2)
