@@ -1380,7 +1380,7 @@ add(
     "backtest_open_loop",
     f"""WITH {BT} SELECT 0 AS trial, CAST(split_part(acct, '|', 1) AS INTEGER) AS fold,
       split_part(acct, '|', 2) AS role, 'next_open_after_eligibility' AS fill_rule, 'base' AS scenario,
-      periods, start_equity, end_equity, total_return, ln(annualized_return + 1) AS annualized_log_growth, annualized_volatility, sharpe,
+      periods, start_equity, end_equity, total_return, ln(end_equity / start_equity) * 8766.0 / periods AS annualized_log_growth, annualized_volatility, sharpe,
       max_drawdown, max_drawdown_us, notional / mean_equity * 8766.0 / periods AS turnover_annualized,
       avg_gross_exposure, avg_net_exposure, order_count, fill_count, period_hit_rate, total_costs,
       total_costs / start_equity AS cost_fraction, mean_participation, CAST(0 AS BIGINT) AS warning_count,
