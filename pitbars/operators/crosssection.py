@@ -67,15 +67,21 @@ def value_bucket(value: Column, per_e: int = 4) -> Column:
     )
 
 
-def _rank(df: DataFrame, rank: CrossRank, at: str, tiebreak: str) -> DataFrame:
-    """Add one rank column; null values get a null rank and count for nobody."""
+def _rank(df: DataFrame, base: DataFrame, rank: CrossRank, at: str, tiebreak: str) -> DataFrame:
+    """Add one rank column; null values get a null rank and count for nobody.
+
+    The bucket summary reads ``base``, not the frame built so far, so several ranks read
+    the source once each instead of doubling it every time.
+    """
     value = F.col(rank.column).cast("double")
     if rank.descending:
         value = -value
     work = df.withColumn("__v", value).withColumn("__vb", value_bucket(F.col("__v")))
-    summary = work.groupBy(at, "__vb").agg(
-        F.count("__v").alias("__n"), F.count_distinct("__v").alias("__d")
-    ) if rank.method == "dense" else work.groupBy(at, "__vb").agg(F.count("__v").alias("__n"))
+    counted = base.select(at, value.alias("__v")).withColumn("__vb", value_bucket(F.col("__v")))
+    counts = [F.count("__v").alias("__n")]
+    if rank.method == "dense":
+        counts.append(F.count_distinct("__v").alias("__d"))
+    summary = counted.groupBy(at, "__vb").agg(*counts)
     below = Window.partitionBy(at).orderBy("__vb").rowsBetween(Window.unboundedPreceding, -1)
     carried = {
         "__below": F.coalesce(F.sum("__n").over(below), F.lit(0)),
@@ -140,6 +146,6 @@ def cross_section(
     out = out.withColumn("available_at", F.col("__ready")).drop("__ready", *sums)
     for f in features:
         if isinstance(f, CrossRank):
-            out = _rank(out, f, at, entity)
+            out = _rank(out, frame, f, at, entity)
     kept = [c for c in frame.columns if c not in (entity, at, "available_at")]
     return out.select(entity, at, *kept, *names, "available_at")

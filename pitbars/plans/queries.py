@@ -1125,7 +1125,7 @@ def run_compare(spark, d):
 
 @query()
 def run_agreement(spark, d):
-    m = _role_metrics(spark, d)
+    m = staged(_role_metrics(spark, d), "metrics")
     columns = ["total_return", "sharpe", "periods"]
     a = m.where("role = 'validation'").select("run_id", *columns)
     b = m.where("role = 'test'").select(
