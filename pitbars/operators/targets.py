@@ -233,7 +233,7 @@ def scheduled(
             chosen.append(i)
         return chosen
 
-    def entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         moments = np.sort(pdf["us"].to_numpy())
         limit = int(key[-1]) * width + gap
         count = min(int(np.searchsorted(moments, limit)) + 1, len(moments))
@@ -243,7 +243,7 @@ def scheduled(
             out[name] = value
         return out[[*named, "stretch", "us", "last"]]
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, free = [], None
         for stretch, part in pdf.sort_values(["stretch", "us"]).groupby("stretch", sort=True):
             open_now = part if free is None else part[part["us"] >= free]
@@ -253,7 +253,7 @@ def scheduled(
                 free = int(first["last"]) + gap
         return pd.DataFrame(out, columns=[*named, "stretch", "entry"])
 
-    def expand(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def expand(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         moments = np.sort(pdf["us"].to_numpy())
         start = int(np.searchsorted(moments, int(pdf["entry"].iloc[0])))
         out = pd.DataFrame({"us": moments[replay(moments, start)]})

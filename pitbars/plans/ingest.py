@@ -31,7 +31,10 @@ def ingest(
 
     The normalised bars are checkpointed once; checks, digest and write read that copy.
     """
-    settled = checkpointed(apply_duplicate_policy(bars, duplicates), eager=True)
+    if duplicates == "error":  # looks for repeats at once, so it reads the settled copy
+        settled = apply_duplicate_policy(checkpointed(bars, eager=True), duplicates)
+    else:
+        settled = checkpointed(apply_duplicate_policy(bars, duplicates), eager=True)
     findings = checkpointed(
         validate(
             settled, bar_size=bar_size, latency=latency, expect_grid=expect_grid,

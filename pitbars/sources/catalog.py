@@ -98,12 +98,15 @@ class BarCatalog:
             stored.groupBy("date", "instrument_id").agg(F.count(F.lit(1)).alias("row_count"))
             .write.mode("overwrite").parquet(self._path("dataset_instruments", dataset))
         )
-        sizes = sorted(r[0] for r in stored.select("bar_size").distinct().limit(2).collect())
-        rows = stored.count()
+        total = stored.agg(
+            F.count(F.lit(1)).alias("rows"), F.min("bar_size").alias("lo"), F.max("bar_size").alias("hi")
+        ).first()
+        if total["lo"] != total["hi"]:
+            raise ValueError(f"a dataset has one bar size, found {total['lo']} and {total['hi']}")
         text = json.dumps(identity, sort_keys=True, default=str)
         self.spark.createDataFrame(
-            [(text, ",".join(sizes), content, rows)], DATASET_SCHEMA
-        ).write.mode("errorifexists").parquet(self._path("datasets", dataset))
+            [(text, total["lo"], content, total["rows"])], DATASET_SCHEMA
+        ).coalesce(1).write.mode("errorifexists").parquet(self._path("datasets", dataset))
         return dataset, False
 
     def file_hashes(self, dataset: str) -> DataFrame:
