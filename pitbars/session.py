@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +39,23 @@ def build_session(app: str = "pitbars", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor reaches: ``spark.checkpoint.dir``.
 
-    Only a local-mode session that names none gets a temporary one; a cluster without the
-    setting is refused, because executors elsewhere could not read a folder on this machine.
+    Only a local-mode session that names none, as in tests, gets a folder of its own, which
+    goes when the process ends. A cluster without the setting is refused, because executors
+    elsewhere could not read a folder on this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is not None:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return "/tmp/spark-pitbars"
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
