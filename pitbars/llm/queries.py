@@ -4,16 +4,54 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitbars.llm import winnowing
+from pitbars.llm import langid, mixing, sharding, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _utf8(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(
+        _table(spark, sf_dir, "documents"),
+        F.col("doc_id"),
+        F.md5(_utf8("text")),
+        F.octet_length(_utf8("text")) + 1,
+        shards=8,
+        text_crc32=F.crc32(_utf8("text")),
+    )
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op6_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    taught = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    model = langid.fit(taught, F.col("text"), F.col("lang"), F.col("doc_id"))
+    told = langid.predict(docs, F.col("doc_id"), F.col("text"), model, held_out=_held_out())
+    return told.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
+
+
+def op7_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mixing.mix(
+        _table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"), mixing.word_count(F.col("text"))
+    )
+    return made.docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -24,6 +62,9 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_sampled_splitters": op5_sampled_splitters,
+    "op6_compression_langid": op6_compression_langid,
+    "op7_source_schedule": op7_source_schedule,
     "op9_winnowing": op9_winnowing,
 }
 
