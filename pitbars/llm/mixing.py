@@ -115,7 +115,7 @@ def _pieces(docs: DataFrame, n_rows: int, block: int, most: int) -> DataFrame:
     ``start`` is the first word's place in its row. Places in the stream are running totals
     in hash order; a source is split into buckets of that order, so no task holds a source.
     """
-    buckets = max(16, min(65536, -(-n_rows // _BUCKET_ROWS)))
+    buckets = max(256, min(65536, -(-n_rows // _BUCKET_ROWS)))
     laps = docs.where("size > 0").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     laps = laps.withColumn(
         "order", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("lap").cast("string")))

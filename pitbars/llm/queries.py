@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitbars.llm import langid, mixing, sharding, winnowing
+from pitbars.llm import dartminhash, hostrep, langid, mixing, packing, pii, rpforest, sharding, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,35 @@ def _utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def op1_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rpforest.near_vectors(
+        _table(spark, sf_dir, "embeddings"), row_id=F.col("vec_id"), embedding=F.col("embedding")
+    )
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = packing.pack(_table(spark, sf_dir, "documents"), vocabulary=packing.vocabulary_path(spark))
+    return packing.read_segments(manifest).drop("path", "path_row")
+
+
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    terms = F.array_join(
+        F.transform("terms", lambda t: F.concat_ws(":", F.lit(pii.TERM), t["start"].cast("string"), t["end"].cast("string"))), ","
+    )
+    return found.select(
+        "doc_id", *[F.get("counts", F.lit(i)).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
+        F.sha2("base", 256).alias("base_sha256"),
+        F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif(terms, F.lit(""))).alias("spans"),
+        F.size("terms").cast("bigint").alias("n_term"),
+    )
+
+
+def op4_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(
         _table(spark, sf_dir, "documents"),
@@ -52,6 +81,24 @@ def op7_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a number takes the outcome that ``labels`` has for that number."""
+    labels = _table(spark, sf_dir, "labels")
+    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    judged = hostrep.judge(_table(spark, sf_dir, "pages"), outcomes, RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -61,11 +108,203 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    page = r"^<urn:page:(-?[0-9]+)>$"
+
+    def number(name: str) -> Column:
+        return F.nullif(F.regexp_extract(name, page, 1), F.lit("")).cast("bigint")
+
+    return read.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), number("refers_to").alias("refers_to"),
+    )
+
+
 QUERIES = {
+    "op1_projection_forest": op1_projection_forest,
+    "op2_packing": op2_packing,
+    "op3_disclosure": op3_disclosure,
+    "op4_dartminhash": op4_dartminhash,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_compression_langid": op6_compression_langid,
     "op7_source_schedule": op7_source_schedule,
+    "op8_host_reputation": op8_host_reputation,
     "op9_winnowing": op9_winnowing,
+    "op10_warc_normaliser": op10_warc_normaliser,
 }
 
-ORACLES: dict[str, str] = {}
+_OP7 = """
+WITH sized AS (
+  SELECT doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
+  FROM documents
+), named AS (
+  SELECT source, sum(size)::BIGINT AS source_size, min(source IS NULL) AS nothing FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, source_size,
+         [5, 2, 1][(row_number() OVER (ORDER BY nothing, encode(source)) - 1) % 3 + 1]::DOUBLE AS w,
+         row_number() OVER (ORDER BY nothing, encode(source)) AS i,
+         2.0 * source_size AS cap
+  FROM named
+), ordered AS (
+  SELECT *, sum(w) OVER later AS w_left,
+         1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0) AS left_over
+  FROM weighed
+  WINDOW later AS (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+         earlier AS (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT arg_min(left_over / w_left, w_left * -1) AS per_weight, min(cap / w) AS first_ratio
+  FROM ordered WHERE cap * w_left > w * left_over
+), aimed AS (
+  SELECT source, source_size,
+         CASE WHEN cap * w_left > w * left_over THEN w * per_weight ELSE cap END AS target
+  FROM ordered, level
+), laid AS (
+  SELECT s.doc_id, s.size, a.source_size, a.target, floor(a.target) AS quota,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id || ':0'), s.doc_id) - s.size AS first,
+         a.source_size
+           + sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id || ':1'), s.doc_id) - s.size AS second
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (greatest(0, least(size, quota - first)) + greatest(0, least(size, quota - second)))::BIGINT AS taken
+FROM laid
+"""
+
+_OP8 = """
+WITH parsed AS (
+  SELECT page_id,
+         CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), pages_in AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parsed
+), outcomes AS (
+  SELECT doc_id AS page_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT) AS bad
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), hosts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+         regexp_replace(host, ':[0-9]*$', '') AS bare
+  FROM pages_in LEFT JOIN outcomes USING (page_id) GROUP BY host
+), placed AS (
+  SELECT *, CASE WHEN regexp_matches(bare, '^[0-9.]+$|^\\[') OR len(string_split(bare, '.')) < 3 THEN bare
+                 ELSE array_to_string(string_split(bare, '.')[-2:], '.') END AS domain
+  FROM hosts
+), named AS (
+  SELECT *, CASE WHEN regexp_matches(domain, '^[0-9.]+$|^\\[') THEN '' ELSE string_split(domain, '.')[-1] END AS suffix
+  FROM placed
+), domains AS (
+  SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM named WHERE host <> '' GROUP BY ALL
+), suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
+), stacked AS (
+  SELECT 1 AS level, n, bad FROM suffixes UNION ALL SELECT 2, n, bad FROM domains
+  UNION ALL SELECT 3, n, bad FROM named WHERE host <> ''
+), sums AS (
+  SELECT level, count(*) AS g, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(n * n)::DOUBLE AS nn,
+         sum(bad * bad / n::DOUBLE) AS bb
+  FROM stacked WHERE n > 0 GROUP BY level
+), spread AS (
+  SELECT level, g, n, (bb - bad * bad / n) / nullif(g - 1, 0) AS between_g,
+         (bad - bb) / nullif(n - g, 0) AS within_g, (n - nn / n) / nullif(g - 1, 0) AS typical
+  FROM sums
+), rho AS (
+  SELECT level, CASE WHEN g >= 2 AND n > g AND between_g + (typical - 1) * within_g > 0
+                     THEN (between_g - within_g) / (between_g + (typical - 1) * within_g) ELSE 0 END AS rho
+  FROM spread
+), weights AS (
+  SELECT level, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1.0), 1000.0) ELSE 1000.0 END AS w FROM rho
+), w AS (
+  SELECT coalesce(max(w) FILTER (level = 1), 1000.0) AS w1, coalesce(max(w) FILTER (level = 2), 1000.0) AS w2,
+         coalesce(max(w) FILTER (level = 3), 1000.0) AS w3
+  FROM weights
+), base AS (
+  SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS base FROM suffixes
+), suffix_rate AS (
+  SELECT suffix, (bad + w1 * base) / (n + w1) AS prior FROM suffixes, w, base
+), domain_rate AS (
+  SELECT d.suffix, d.domain, (d.bad + w2 * s.prior) / (d.n + w2) AS prior
+  FROM domains d JOIN suffix_rate s USING (suffix), w
+), posterior AS (
+  SELECT h.host, h.bad + w3 * p.prior AS a, h.n - h.bad + w3 * (1 - p.prior) AS b
+  FROM (
+    SELECT h.host, h.n, h.bad, CASE WHEN h.host = '' THEN base ELSE coalesce(d.prior, base) END AS prior
+    FROM named h LEFT JOIN domain_rate d ON h.suffix = d.suffix AND h.domain = d.domain, base
+  ) p JOIN named h USING (host), w
+), judged AS (
+  SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bound FROM posterior
+), rules AS (
+  SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                        ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(act, rhost, rpath)
+), ruled AS (
+  SELECT page_id, host, path, arg_max(rhost || rpath, len(rhost || rpath)) AS rule,
+         arg_max(act, len(rhost || rpath)) AS act
+  FROM pages_in LEFT JOIN rules
+    ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY page_id, host, path
+)
+SELECT page_id, host, path, rule,
+       coalesce(act, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN judged USING (host)
+"""
+
+_OP9 = """
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS words
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT k FROM windows
+), places AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, lengths WHERE len(w) >= k)
+), hits AS (
+  SELECT doc_id, k, i, item_id FROM places JOIN windows USING (k, words)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM worded LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+_OP10 = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha
+  FROM pages
+), topped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY sha, payload_bytes) AS top FROM hashed
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda j:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(sha, (j // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31)::BIGINT + 1, 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM topped
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_source_schedule": _OP7,
+    "op8_host_reputation": _OP8,
+    "op9_winnowing": _OP9,
+    "op10_warc_normaliser": _OP10,
+}
