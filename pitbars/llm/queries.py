@@ -66,10 +66,14 @@ def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def taught(docs: DataFrame) -> DataFrame:
+    """The documents that a language model may learn from."""
+    return docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
 def op6_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    taught = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    model = langid.fit(taught, F.col("text"), F.col("lang"), F.col("doc_id"))
+    model = langid.fit(taught(docs), F.col("text"), F.col("lang"), F.col("doc_id"))
     told = langid.predict(docs, F.col("doc_id"), F.col("text"), model, held_out=_held_out())
     return told.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
 
@@ -99,12 +103,17 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def contaminated() -> Column:
+    """Whether hits cover at least a twentieth of a document's words."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 
