@@ -53,12 +53,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     # Rows that repeat an id share the larger number.
     taken = staged(
-        made.docs.where("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.max(copies).cast("int").alias("copies")),
+        made.docs.where("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.max(copies).cast("int").alias("__copies")),
         "copies",
     )
     joined = join_checked(docs, taken, ["doc_id"], "left")
-    times = F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))
-    repeated = joined.where("copies is null or copies > 0").withColumn("copy", F.explode(times))
+    times = F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1)))
+    repeated = joined.where("__copies is null or __copies > 0").withColumn("__copy", F.explode(times))
     return repeated.select(*docs.columns)
 
 

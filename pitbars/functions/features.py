@@ -73,7 +73,7 @@ def rolling_volatility(
     name = f"vol_{window}" if kind == "simple" else f"vol_{kind}_{window}"
     return FeatureSpec(
         name, ("close",), window,
-        # The return of each row is materialised first (see ``needs``); windows do not nest.
+        # The return of each row is materialised first; windows do not nest.
         lambda w: _full(f"__ret_{kind}", F.stddev_samp(f"__ret_{kind}"), w, window), contiguous,
         kind="rolling_volatility", params=(("window", window), ("kind", kind)),
     )

@@ -9,15 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import elapsed, time_bucket
 from pitbars.operators.joins import nearest
-from pitbars.operators.ordered import HOT_ROWS, Fold, fold_rows, running, split_hot_keys
+from pitbars.operators.ordered import Fold, fold_rows, running
 from pitbars.types import DAY, SECOND, micros
 
+#: How much of its history a key has in one task: coarse, since a ledger has many short keys
+#: and every bucket costs a carried row. A ledger with denser keys states a finer width.
+LEDGER_BUCKET = 30 * DAY
 FLAT = 1e-9
+SPREADS = 64
 RECONCILE_RTOL = 1e-9
 
 
@@ -32,24 +37,12 @@ def snapped(value: Column) -> Column:
 
 def positions(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
-    width: int = DAY, hot_rows: int = HOT_ROWS,
+    width: int = LEDGER_BUCKET,
 ) -> DataFrame:
-    """Fills with the position before and after each.
-
-    Keys above ``hot_rows`` fills are split into buckets of ``width``.
-    """
-    return _positions(fills, keys, order, width, hot_rows).drop("__split")
-
-
-def _positions(
-    fills: DataFrame, keys: Sequence[str], order: Sequence[str], width: int, hot_rows: int
-) -> DataFrame:
-    split = split_hot_keys(
-        fills.withColumn("signed", signed_quantity()), list(keys),
-        time_bucket(order[0], width), hot_rows=hot_rows,
-    )
+    """Fills with the position before and after each; keys are split into ``width`` of time."""
     out = running(
-        split, list(keys), list(order), F.col("__split"), sums={"position": F.col("signed")}
+        fills.withColumn("signed", signed_quantity()), list(keys), list(order),
+        time_bucket(order[0], width), sums={"position": F.col("signed")},
     )
     return out.withColumns(
         {
@@ -61,7 +54,7 @@ def _positions(
 
 def average_cost(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
-    width: int = DAY, hot_rows: int = HOT_ROWS,
+    width: int = LEDGER_BUCKET,
 ) -> DataFrame:
     """Fills with ``position``, ``avg_cost`` after, and ``realized_pnl`` of each fill.
 
@@ -70,7 +63,7 @@ def average_cost(
     ``basis' = a * basis + b`` per fill, and a stretch of fills is again one such pair, which
     is what makes the fold splittable.
     """
-    held = _positions(fills, keys, order, width, hot_rows)
+    held = positions(fills, keys=keys, order=order, width=width)
     before, after = F.col("position_before"), F.col("position")
     adds = (before == 0) | ((before > 0) == (F.col("signed") > 0))
     flips = ~adds & (after != 0) & ((after > 0) != (before > 0))
@@ -85,13 +78,13 @@ def average_cost(
     fold = Fold(
         inputs=("a", "b"),
         start=0.0,
-        step=lambda basis, a, b: a * basis + b if a else b,
-        summary_start=(1.0, 0.0),
-        summary_step=lambda s, a, b: (a * s[0], a * s[1] + b) if a else (0.0, b),
-        cross=lambda basis, s: s[0] * basis + s[1],
+        identity=(1.0, 0.0),
+        step=lambda a, b: np.stack([a, b], axis=1),
+        compose=lambda x, y: np.stack([x[:, 0] * y[:, 0], x[:, 1] * y[:, 0] + y[:, 1]], axis=1),
+        apply=lambda basis, s: s[:, 0] * basis + s[:, 1],
     )
     joined = fold_rows(
-        steps, list(keys), list(order), F.col("__split"), fold,
+        steps, list(keys), list(order), time_bucket(order[0], width), fold,
         before="basis_before", after="basis",
     )
     closed = F.when(adds, 0.0).otherwise(
@@ -103,7 +96,7 @@ def average_cost(
             "avg_cost": F.when(after == 0, 0.0).otherwise(F.try_divide(F.col("basis"), after)),
             "realized_pnl": -closed * (F.col("price") - cost_before),
         }
-    ).drop("basis", "basis_before", "a", "b", "__split")
+    ).drop("basis", "basis_before", "a", "b")
 
 
 def equity_curve(
@@ -114,9 +107,13 @@ def equity_curve(
     run: Sequence[str] = (),
     fill_order: Sequence[str] = ("fill_at",),
     width: int = DAY,
+    accounts: DataFrame | None = None,
 ) -> DataFrame:
     """Cash, equity and exposure at every instant where a fill or a mark occurs.
 
+    ``accounts`` lists the runs (the run columns); each has a curve, also one that never
+    traded. Without it the runs are those that have fills.
+
     ``marks`` carry ``instrument_id, at, price`` (and the run columns); at equal instants a
     fill comes before a mark. Each event contributes the change it makes to its own
     instrument's value; the changes are summed per instant and accumulated over time, so
@@ -162,11 +159,17 @@ def equity_curve(
         ((pos != 0).cast("int") - (pos0 != 0).cast("int")).alias("count"),
     )
     # Every publication is a snapshot, also of instruments that never trade.
-    clock = marks.select(*[c for c in run if c in marks.columns], "at").distinct()
-    if run and not set(run) <= set(marks.columns):
-        runs = fills.select(*run).distinct()
-        held = [c for c in run if c in marks.columns]
-        clock = clock.join(runs, held) if held else clock.join(runs, F.lit(True))
+    held = [c for c in run if c in marks.columns]
+    clock = marks.select(*held, "at").distinct()
+    if run:
+        listed = (fills if accounts is None else accounts).select(*run).distinct()
+        # Each account gets every instant of its marks: the list is repeated once per spread,
+        # so that instants meet it in many tasks.
+        spread = listed.withColumn("__spread", F.explode(F.sequence(F.lit(0), F.lit(SPREADS - 1))))
+        clock = (
+            clock.withColumn("__spread", F.pmod(F.xxhash64("at"), F.lit(SPREADS)).cast("int"))
+            .join(spread, [*held, "__spread"]).select(*run, "at")
+        )
     deltas = deltas.unionByName(clock, allowMissingColumns=True).fillna(0)
     per_instant = deltas.groupBy(*run, "at").agg(
         *[F.sum(c).alias(f"__d_{c}") for c in ("cash", "fee", "net", "gross", "count")]
@@ -277,14 +280,14 @@ def warning_counts(warnings: DataFrame, keys: Sequence[str] = ("code", "instrume
 
 def trades(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
-    marks: DataFrame | None = None, width: int = DAY, hot_rows: int = HOT_ROWS,
+    marks: DataFrame | None = None, width: int = LEDGER_BUCKET,
 ) -> DataFrame:
     """Flat-to-flat trades: from leaving zero to the return, a flip being both.
 
     A fill that crosses zero is split in two legs with its friction shared by size. An open
     trade is valued at ``marks`` (``keys, price``) or has null P&L.
     """
-    held = _positions(fills, keys, order, width, hot_rows)
+    held = positions(fills, keys=keys, order=order, width=width)
     before, after, signed = F.col("position_before"), F.col("position"), F.col("signed")
     crosses = (before != 0) & (after != 0) & ((before > 0) != (after > 0))
     legs = F.when(
@@ -304,11 +307,11 @@ def trades(
     spread = F.coalesce("half_spread", F.lit(0.0)) + F.coalesce("slippage", F.lit(0.0))
     friction = F.col("fee") + F.col("quantity") * spread
     split = held.where(F.abs(signed) > FLAT).select(
-        *keys, *order, "__split", "price", "reference_price", "quantity", friction.alias("friction"),
+        *keys, *order, "price", "reference_price", "quantity", friction.alias("friction"),
         F.inline(legs),
     )
     numbered = running(
-        split, list(keys), [*order, "leg"], F.col("__split"),
+        split, list(keys), [*order, "leg"], time_bucket(order[0], width),
         sums={"trade_no": (F.col("p0") == 0).cast("bigint")},
     )
     at, applied = F.col(order[0]), F.col("applied")

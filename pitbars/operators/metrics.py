@@ -175,7 +175,7 @@ def cost_split(fills: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def trade_statistics(
-    trades: DataFrame, keys: Sequence[str] = (), *, width_per_e: int = 4
+    trades: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Statistics of closed trades per key; open ones are only counted.
 
@@ -223,9 +223,9 @@ def trade_statistics(
 def stitch(curves: DataFrame, *, keys: Sequence[str] = ("role",), fold: str = "fold") -> DataFrame:
     """Chain fold curves so that each starts where the one before ended.
 
-    Every fold is reduced to its start and end (one row), the running product of end/start
-    over earlier folds is its scale, and the scale joins back. A fold starting at zero
-    keeps its own numbers and ends the chain's scale at its own end, as stated in the tests.
+    Every fold is reduced to its start and end (one row); its scale is the product of end
+    over start of the folds before it. A fold that starts at zero cannot be scaled: it keeps
+    its own numbers, and the folds after it chain from its end.
     """
     keys = list(keys)
     ends = curves.groupBy(*keys, fold).agg(
@@ -234,42 +234,51 @@ def stitch(curves: DataFrame, *, keys: Sequence[str] = ("role",), fold: str = "f
         F.max_by("equity", "at").alias("__end"),
     )
     w = Window.partitionBy(*keys).orderBy("__t0", fold)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    ratio = F.when(F.col("__start") != 0, F.col("__end") / F.col("__start")).otherwise(F.col("__end"))
-    scaled = ends.withColumn("__ratio", ratio).withColumns(
-        {
-            "__scale": F.coalesce(F.product("__ratio").over(earlier), F.lit(1.0)),
-            "__base": F.first("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        }
+    zero = F.col("__start") == 0
+    chains = ends.withColumn("__chain", F.sum(zero.cast("int")).over(w))
+    within = Window.partitionBy(*keys, "__chain").orderBy("__t0", fold)
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    # A chain begins at its first start, or at the end of the fold that started at zero.
+    opening = F.first(F.when(zero, F.col("__end")).otherwise(F.col("__start"))).over(
+        within.rowsBetween(Window.unboundedPreceding, 0)
+    )
+    ratio = F.when(zero, F.lit(1.0)).otherwise(F.try_divide(F.col("__end"), F.col("__start")))
+    scaled = chains.withColumn("__ratio", ratio).withColumns(
+        {"__scale": F.coalesce(F.product("__ratio").over(earlier), F.lit(1.0)), "__base": opening}
+    )
+    factor = F.when(zero, F.lit(1.0)).otherwise(
+        F.try_divide(F.col("__scale") * F.col("__base"), F.col("__start"))
     )
-    factor = F.when(
-        F.col("__start") != 0, F.col("__scale") / F.col("__start") * F.col("__base")
-    ).otherwise(F.col("__base"))
     joined = curves.join(scaled.select(*keys, fold, factor.alias("__f")), [*keys, fold])
     money = [c for c in ("equity", "gross_exposure", "net_exposure", "cash") if c in curves.columns]
     return joined.withColumns({c: F.col(c) * F.col("__f") for c in money}).drop("__f")
 
 
 def histogram(rows: DataFrame, value: str, *, bins: int = 31, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts in equal-width bins over ``[min, max]``; the maximum falls in the last bin."""
-    named = list(keys) or ["__all"]
-    data = (rows if keys else rows.withColumn("__all", F.lit(0))).where(F.col(value).isNotNull())
-    v = F.col(value)
-    spanned = group_totals(
-        data, named, F.pmod(F.xxhash64(v), F.lit(64)), maxs={"__top": v, "__bottom": -v}
-    )
-    flat = F.col("__top") == -F.col("__bottom")
-    margin = F.when(flat, 1.0).otherwise(0.0)
-    spanned = spanned.withColumns(
-        {"__lo": -F.col("__bottom") - margin, "__hi": F.col("__top") + margin}
+    """Counts in equal-width bins over ``[min, max]``, empty bins included.
+
+    The maximum falls in the last bin. Missing and NaN values are left out. Ranges are one row
+    per key and meet the rows by an equi-join; counts combine before their shuffle.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    data = rows.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull())
+    ranges = data.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    margin = F.when(F.col("__lo") == F.col("__hi"), 1.0).otherwise(0.0)
+    ranges = ranges.where(F.col("__lo").isNotNull()).select(
+        *keys, (F.col("__lo") - margin).alias("__lo"), (F.col("__hi") + margin).alias("__hi")
     )
     step = (F.col("__hi") - F.col("__lo")) / bins
-    index = F.least(F.floor((v - F.col("__lo")) / step), F.lit(bins - 1)).cast("int")
-    counted = spanned.groupBy(*named, "__lo", "__hi", index.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return counted.select(
-        *keys, "bin", (F.col("__lo") + step * F.col("bin")).alias("bin_low"), "n"
+    if keys:
+        spanned = data.join(ranges, list(keys))
+    else:
+        low, high = (ranges.select(c).scalar() for c in ("__lo", "__hi"))
+        spanned = data.withColumns({"__lo": low, "__hi": high})
+    index = F.least(F.floor((F.col("__v") - F.col("__lo")) / step), F.lit(bins - 1)).cast("int")
+    counted = spanned.groupBy(*keys, index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    empty = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return empty.join(counted, [*keys, "bin"], "left").select(
+        *keys, "bin", (F.col("__lo") + step * F.col("bin")).alias("bin_low"),
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
     )
 
 

@@ -141,7 +141,3 @@ def contract_violations(bars: DataFrame) -> DataFrame:
     """One row per bar and broken rule, found in a single pass without a shuffle."""
     broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in contract_rules().items()]
     return bars.withColumn("rule", F.explode(F.array_compact(F.array(*broken))))
-
-
-def span_matches(bars: DataFrame, bar_size: str) -> Column:
-    return F.unix_micros("bar_end") - F.unix_micros("bar_start") == micros(bar_size)

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pitbars.functions.scalars import bucket_of
 
 CHUNK_ROWS = 8192
-HOT_ROWS = 1_000_000
 
 _BUCKET = "__bucket"
 _DATA = "__is_data"
@@ -127,28 +126,6 @@ def running(
     )
 
 
-def split_hot_keys(
-    df: DataFrame, keys: Sequence[str], fine: Column, *, hot_rows: int = HOT_ROWS,
-    name: str = "__split",
-) -> DataFrame:
-    """Add a bucket that is ``fine`` for keys above ``hot_rows`` rows and 0 for all others.
-
-    For tables with very many short keys and a few long ones: splitting every key finely
-    would make the bucket totals as large as the data. The count is a map-side combined
-    pass over the key columns. The hot list has at most ``rows / hot_rows`` entries, and
-    Spark broadcasts it when its measured size is under the session's threshold.
-    """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > hot_rows)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    joined = df.join(hot, list(keys), "left")
-    bucket = F.when(F.col("__hot"), fine).otherwise(F.lit(0).cast("bigint"))
-    return joined.select(*df.columns, bucket.alias(name))
-
-
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "pos"
 ) -> DataFrame:
@@ -201,17 +178,49 @@ def rolling(
 class Fold:
     """A left fold whose steps compose, so that a stretch of rows is again a step.
 
-    ``step`` takes a state over one row's inputs. ``summary_step`` does the same to a
-    stretch's summary, starting at ``summary_start``, and ``cross`` takes a state over a
-    whole stretch by its summary.
+    A step is a row of a float matrix. All functions work on whole columns: ``step`` makes
+    the steps of a batch from its input columns, ``compose`` joins two steps row by row, the
+    first argument coming first, and ``apply`` takes states over steps. ``identity`` is the
+    step that changes nothing.
     """
 
     inputs: tuple[str, ...]
     start: float
-    step: Callable[..., float]
-    summary_start: tuple[float, ...]
-    summary_step: Callable[..., tuple[float, ...]]
-    cross: Callable[[float, tuple[float, ...]], float]
+    identity: tuple[float, ...]
+    step: Callable[..., np.ndarray]
+    compose: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    apply: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _scan(fold: Fold, steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per row, the composition of all steps of its segment up to and including it.
+
+    Rows look back 1, 2, 4, ... places, as far as their segment goes.
+    """
+    rows = np.arange(len(steps))
+    begin = np.maximum.accumulate(np.where(starts, rows, 0))
+    out, reach = steps, 1
+    longest = int((rows - begin).max(initial=0))
+    while reach <= longest:
+        joined = out.copy()
+        far = np.flatnonzero(rows - begin >= reach)
+        joined[far] = fold.compose(out[far - reach], out[far])
+        out, reach = joined, reach * 2
+    return out
+
+
+def _shifted(fold: Fold, scanned: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What comes before each row of its segment: the scan one row earlier."""
+    before = np.empty_like(scanned)
+    before[1:] = scanned[:-1]
+    before[starts] = fold.identity
+    if len(before):
+        before[0] = fold.identity
+    return before
+
+
+def _columns(batch, names: Sequence[str]) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
 def fold_rows(
@@ -222,79 +231,72 @@ def fold_rows(
 
     For folds that no built-in aggregate expresses. Rows are shuffled and sorted by
     ``(key, bucket)`` and streamed through Arrow batches, so memory does not depend on how
-    many rows a key has. A first pass summarises each bucket, one small row per bucket is
-    chained per key, and a second pass starts every bucket from its state.
+    many rows a key has. A first pass composes each bucket's steps, one small row per bucket
+    is chained per key, and a second pass starts every bucket from its state.
     """
     columns, kinds = df.columns, dict(df.dtypes)
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     group = [*keys, _BUCKET]
-    parts = [f"__s{i}" for i in range(len(fold.summary_start))]
+    parts = [f"__s{i}" for i in range(len(fold.identity))]
     work = df.withColumn(_BUCKET, bucket)
 
     def summarise(batches):
-        last, summary, number = None, fold.summary_start, 0
+        last, number = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             starts, last = _group_starts(batch, group, last)
-            values = [batch.column(c).to_pylist() for c in fold.inputs]
-            rows, found = [], []
-            for i, inputs in enumerate(zip(*values)):
-                if starts[i]:
-                    if i:
-                        rows.append(i - 1)
-                        found.append((number, *summary))
-                    summary, number = fold.summary_start, 0
-                summary = fold.summary_step(summary, *inputs)
-            # A bucket that continues in the next batch goes on under the next number.
-            rows.append(batch.num_rows - 1)
-            found.append((number, *summary))
-            summary, number = fold.summary_start, number + 1
-            picked = batch.select(group).take(pa.array(rows))
-            numbers = pa.array([f[0] for f in found], pa.int64())
-            sums = [pa.array([f[k + 1] for f in found], pa.float64()) for k in range(len(parts))]
+            number = 0 if starts[0] else number + 1
+            scanned = _scan(fold, fold.step(*_columns(batch, fold.inputs)), starts)
+            ends = np.flatnonzero(np.append(starts[1:], True))
+            # A bucket that continues from the batch before goes on under the next number.
+            numbers = np.zeros(len(ends), dtype=np.int64)
+            numbers[0] = number
+            if len(ends) > 1:
+                number = 0
+            picked = batch.select(group).take(pa.array(ends))
             yield pa.RecordBatch.from_arrays(
-                [*picked.columns, numbers, *sums], names=[*group, "__part", *parts]
+                [*picked.columns, pa.array(numbers), *[pa.array(c) for c in scanned[ends].T]],
+                names=[*group, "__part", *parts],
             )
 
     def chain(batches):
-        last_key, last_group, state = None, None, fold.start
+        last_key, last_group, state = None, None, np.array([fold.start])
         for batch in batches:
             if not batch.num_rows:
                 continue
             new_key, last_key = _group_starts(batch, list(keys), last_key)
             new_group, last_group = _group_starts(batch, group, last_group)
-            summaries = list(zip(*[batch.column(c).to_pylist() for c in parts]))
-            rows, states = [], []
-            for i, summary in enumerate(summaries):
-                if new_key[i]:
-                    state = fold.start
-                if new_group[i]:
-                    rows.append(i)
-                    states.append(state)
-                state = fold.cross(state, summary)
-            picked = batch.select(group).take(pa.array(rows, pa.int64()))
+            steps = np.stack(_columns(batch, parts), axis=1)
+            scanned = _scan(fold, steps, new_key)
+            carried = np.cumsum(new_key) == 0
+            base = np.where(carried, state[0], fold.start)
+            states = fold.apply(base, _shifted(fold, scanned, new_key))
+            state = fold.apply(base[-1:], scanned[-1:])
+            rows = np.flatnonzero(new_group)
+            picked = batch.select(group).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [*picked.columns, pa.array(states, pa.float64())], names=[*group, "__state"]
+                [*picked.columns, pa.array(states[rows])], names=[*group, "__state"]
             )
 
     def trace(batches):
-        state = fold.start
+        state = np.array([fold.start])
         for batch in batches:
-            carried = batch.column("__state").to_pylist()
-            data = batch.column(_DATA).to_pylist()
-            values = [batch.column(c).to_pylist() for c in fold.inputs]
-            befores, afters = [], []
-            for is_data, start, inputs in zip(data, carried, zip(*values)):
-                if not is_data:
-                    state = start
-                    continue
-                befores.append(state)
-                state = fold.step(state, *inputs)
-                afters.append(state)
-            kept = batch.filter(pc.equal(batch.column(_DATA), 1)).select(columns)
+            if not batch.num_rows:
+                continue
+            # A bucket begins with a row that only brings its state.
+            data = batch.column(_DATA).to_numpy(zero_copy_only=False) == 1
+            steps = np.tile(np.array(fold.identity), (len(data), 1))
+            steps[data] = fold.step(*_columns(batch.filter(pa.array(data)), fold.inputs))
+            scanned = _scan(fold, steps, ~data)
+            brought = batch.column("__state").to_numpy(zero_copy_only=False)
+            begin = np.maximum.accumulate(np.where(~data, np.arange(len(data)), -1))
+            base = np.where(begin < 0, state[0], brought[np.maximum(begin, 0)])
+            befores, afters = fold.apply(base, _shifted(fold, scanned, ~data)), fold.apply(base, scanned)
+            state = afters[-1:]
+            kept = batch.filter(pa.array(data)).select(columns)
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(befores, pa.float64()), pa.array(afters, pa.float64())],
+                [*kept.columns, pa.array(befores[data]), pa.array(afters[data])],
                 names=[*columns, before, after],
             )
 

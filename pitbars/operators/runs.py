@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import time_bucket
@@ -15,6 +14,7 @@ from pitbars.operators.resample import periodic_equity
 from pitbars.types import DAY
 
 ROLES = ("validation", "test")
+# The metric names of a run table.
 METRICS = (
     "periods",
     "total_return",
@@ -89,33 +89,32 @@ def agreement(a: DataFrame, b: DataFrame, *, on: Sequence[str], columns: Sequenc
     return joined.select(*on, "metric", verdict.alias("agreement"))
 
 
-def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
-    """The cartesian product of a parameter grid.
+def with_grid(df: DataFrame, axes: Sequence[Sequence[Column]], *, trial: str = "trial") -> DataFrame:
+    """Every row once per combination of the axes, numbered by ``trial``.
 
-    A key that starts with ``linked`` holds mappings whose entries move together.
+    An axis is a list of structs; its fields move together. Later axes vary fastest, and the
+    number of combinations is that of the configuration, not of the data.
     """
-    keys = sorted(grid)
-    points = []
-    for values in itertools.product(*(grid[k] for k in keys)):
-        point: dict = {}
-        for key, value in zip(keys, values):
-            point.update(value if key.startswith("linked") else {key: value})
-        points.append(point)
-    return points
-
-
-def grid_table(spark: SparkSession, grid: Mapping[str, Sequence], schema: str) -> DataFrame:
-    """Grid points as rows with a ``trial`` number; one evaluation job serves them all."""
-    points = grid_points(grid)
-    names = [part.split()[0] for part in schema.split(", ")]
-    rows = [(i, *[p[n] for n in names]) for i, p in enumerate(points)]
-    return spark.createDataFrame(rows, f"trial INT, {schema}")
-
-
-def rank_trials(table: DataFrame, *, by: str = "validation_total_return", trial: str = "trial") -> DataFrame:
-    """Trials from best to worst on validation, with how many were tried."""
-    tried = table.agg(F.count(F.lit(1))).scalar()
-    return table.withColumn("trials", tried).orderBy(F.col(by).desc_nulls_last(), trial)
+    sizes = [len(axis) for axis in axes]
+    number = F.lit(0)
+    out = df
+    for i, axis in enumerate(axes):
+        kept = [c for c in out.columns if not c.startswith("__at")]
+        out = out.select(*kept, *[f"__at{j}" for j in range(i)], F.posexplode(F.array(*axis)).alias(f"__at{i}", "__point"))
+        out = out.select(*kept, *[f"__at{j}" for j in range(i + 1)], "__point.*")
+        number = number * sizes[i] + F.col(f"__at{i}")
+    plain = [c for c in out.columns if not c.startswith("__at")]
+    return out.select(number.cast("int").alias(trial), *plain)
+
+
+def rank_trials(
+    table: DataFrame, *, by: str = "validation_total_return", trial: str = "trial",
+    ties: Sequence[str] = ("trial", "fill_rule", "scenario"),
+) -> DataFrame:
+    """Rows from best to worst on validation, with how many trials were tried."""
+    tried = table.agg(F.count_distinct(trial)).scalar()
+    order = [c for c in ties if c in table.columns]
+    return table.withColumn("trials", tried).orderBy(F.col(by).desc_nulls_last(), *order)
 
 
 def best_and_worst(trades: DataFrame, *, k: int = 5, keys: Sequence[str] = (),

@@ -120,7 +120,7 @@ def top_k(
         raise ValueError("k must be at least 1")
     order: list[Column] = []
     if rank_by is not None:
-        score = F.col(rank_by)
+        score = _number(rank_by)
         order.append(score.asc_nulls_last() if ascending else score.desc_nulls_last())
     order.append(F.col(entity).desc())
     w = Window.partitionBy(at).orderBy(*order)
@@ -151,13 +151,18 @@ def hysteresis_long(
     running last value is exact. ``gate`` restricts entries only; a missing score holds.
     """
     _check_levels(entry_z, exit_z)
-    z = F.col(zscore)
+    z = _number(zscore)
     enter = (z <= -entry_z) if gate is None else ((z <= -entry_z) & F.coalesce(gate, F.lit(False)))
     event = F.when(enter, 1).when(z >= -exit_z, 0)
     out = running(rows, list(keys), [at], time_bucket(at, width), lasts={"state": event})
     return out.withColumn("state", F.coalesce("state", F.lit(0)))
 
 
+def _number(name: str) -> Column:
+    """A score with NaN as missing; Spark sorts NaN above every number."""
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+
+
 def _check_levels(entry_z: float, exit_z: float) -> None:
     if entry_z <= 0 or exit_z >= entry_z:
         raise ValueError("need 0 < entry_z and exit_z < entry_z")
@@ -178,13 +183,14 @@ def hysteresis(
     _check_levels(entry_z, exit_z)
     if sides not in ("long", "short", "both"):
         raise ValueError(f"unknown sides {sides!r}")
-    z = F.col(zscore)
+    z = _number(zscore)
     yes = lambda c: F.coalesce(c, F.lit(False))
-    ok = F.lit(True) if rank_feature is None else yes(F.col(rank_feature) >= min_rank)
+    ok = F.lit(True) if rank_feature is None else yes(_number(rank_feature) >= min_rank)
     up = down = ok
     if trend_feature is not None:
-        up = up & yes(F.col(trend_feature) > min_trend)
-        down = down & yes(-F.col(trend_feature) > min_trend)
+        trend = _number(trend_feature)
+        up = up & yes(trend > min_trend)
+        down = down & yes(-trend > min_trend)
     go_long = yes(z <= -entry_z) & up & F.lit(sides != "short")
     go_short = yes(z >= entry_z) & down & F.lit(sides != "long")
     moves = rows.withColumns(
@@ -198,10 +204,10 @@ def hysteresis(
     fold = Fold(
         inputs=inputs,
         start=0.0,
-        step=lambda state, *to: float(to[int(state) + 1]),
-        summary_start=(-1.0, 0.0, 1.0),
-        summary_step=lambda states, *to: tuple(float(to[int(x) + 1]) for x in states),
-        cross=lambda state, states: states[int(state) + 1],
+        identity=(-1.0, 0.0, 1.0),
+        step=lambda *to: np.stack(to, axis=1).astype(float),
+        compose=lambda x, y: np.take_along_axis(y, x.astype(int) + 1, axis=1),
+        apply=lambda state, s: np.take_along_axis(s, state.astype(int)[:, None] + 1, axis=1)[:, 0],
     )
     done = fold_rows(moves, list(keys), [at], time_bucket(at, width), fold)
     return done.select(*rows.columns, F.col("after").cast("int").alias("state"))
