@@ -3,7 +3,8 @@
 A node of a tree projects unit vectors on a random direction and splits at the median; what
 falls within a band around the split goes to both sides (spill). Vectors close to each other
 part at a node only if they straddle its whole band, and must do so in every tree to be
-missed. Leaves are compared exactly, in double precision.
+missed. The band is never narrower than a linked pair's typical projected distance, so a cloud
+of vectors that all link is not cut apart. Leaves are compared exactly, in double precision.
 
 The trees are grown on a bounded sample down to leaves of the size wanted for the whole table;
 leaves that turn out overfull are grown further from a sample of their own. Every row is then
@@ -34,6 +35,8 @@ TREES = 6
 LEAF_ROWS = 512
 #: Half the band's width, as a share of the projections' standard deviation.
 SPILL = 0.15
+#: A node is split only if each part is left with at most this share of its rows.
+SPLIT_SHARE = 0.7
 SAMPLE_ROWS = 16_384
 DEPTH = 48
 _OVERFULL = 4
@@ -50,6 +53,7 @@ class Tree:
     """
 
     directions: np.ndarray
+    least_band: float = 0.0
     level: list[int] = field(default_factory=lambda: [0])
     split: list[float] = field(default_factory=lambda: [0.0])
     band: list[float] = field(default_factory=lambda: [0.0])
@@ -76,9 +80,9 @@ class Tree:
                 continue
             for level in range(self.level[at], len(self.directions)):
                 values = projected[:, level]
-                split, band = float(np.median(values)), SPILL * float(values.std())
+                split, band = float(np.median(values)), max(SPILL * float(values.std()), self.least_band)
                 left, right = values <= split + band, values > split - band
-                if not left.all() and not right.all():
+                if max(left.sum(), right.sum()) <= SPLIT_SHARE * len(values):
                     break
             else:
                 continue
@@ -198,7 +202,9 @@ def compare_leaf(
     return counts, spans
 
 
-def grow_forest(rows: DataFrame, n_rows: int, *, trees: int, leaf_rows: int, seed: int = 1) -> tuple[list[Tree], int]:
+def grow_forest(
+    rows: DataFrame, n_rows: int, *, similarity: float, trees: int, leaf_rows: int, seed: int = 1
+) -> tuple[list[Tree], int]:
     """Grow the trees on a sample of about ``SAMPLE_ROWS`` rows, drawn by a hash of their id.
 
     The vectors' width is that of the sampled row of the smallest id.
@@ -209,11 +215,13 @@ def grow_forest(rows: DataFrame, n_rows: int, *, trees: int, leaf_rows: int, see
     sizes = [n for n in column.value_lengths().to_pylist() if n]
     width = sizes[0] if sizes else 0
     unit, _ = vectors(column, width)
+    # Vectors of that cosine lie so far apart; a random direction sees this share of it.
+    band = 0.5 * math.sqrt(max(2 - 2 * similarity, 0.0) / max(width, 1))
     rng = np.random.default_rng(seed)
     forest = []
     for _ in range(trees):
         directions = rng.standard_normal((DEPTH, width))
-        tree = Tree(directions / np.maximum(np.linalg.norm(directions, axis=1), 1e-300)[:, None])
+        tree = Tree(directions / np.maximum(np.linalg.norm(directions, axis=1), 1e-300)[:, None], band)
         tree.grow(0, unit, leaf_rows * len(unit) / max(n_rows, 1))
         forest.append(tree)
     return forest, width
@@ -244,7 +252,7 @@ def near_vectors(
         ), "vector-classes",
     )
     n_rows = equal.count()
-    forest, width = grow_forest(equal, n_rows, trees=trees, leaf_rows=leaf_rows)
+    forest, width = grow_forest(equal, n_rows, similarity=similarity, trees=trees, leaf_rows=leaf_rows)
     most = _OVERFULL * leaf_rows
     while True:
         sizes = _leaf_sizes(equal, forest, width).where(F.col("n") > most)
