@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitbars.llm.text import Block, _Powers, blocks, grams, grams_at, lists, signed
+from pitbars.llm.text import Block, _Powers, blocks, grams, grams_at, lists, signed, small_batches
 from pitbars.session import staged
 
 WINDOW = 13
@@ -50,10 +50,12 @@ def winnow(hashes: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     for j in range(1, w):
         np.minimum(least, hashes[j : j + n], out=least)
     top = np.zeros(len(hashes), dtype=np.uint64)
+    framed = np.zeros(len(hashes), dtype=bool)
     chosen = np.where(whole, least, 0)
     for j in range(w):
         np.maximum(top[j : j + n], chosen, out=top[j : j + n])
-    return np.flatnonzero(valid & (top == hashes))
+        framed[j : j + n] |= whole
+    return np.flatnonzero(framed & (top == hashes))
 
 
 def fingerprints(
@@ -174,6 +176,7 @@ def contamination(
     benchmark's lengths (at most ``window`` numbers), its bit table and one stored table of
     fingerprints that passed it.
     """
+    small_batches(documents.sparkSession)
     counts = _word_counts(benchmark, item_text)
     sizes = counts.select(F.least("n", F.lit(window)).alias("n")).where("n > 0").distinct()
     lengths = sorted(int(r.n) for r in sizes.collect())
