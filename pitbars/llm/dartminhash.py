@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.llm.graph import components, join_checked
-from pitbars.llm.text import Block, _Powers, blocks, grams, lists, mixed, salted, signed
+from pitbars.llm.text import Block, _Powers, blocks, grams, lists, mixed, salted, signed, small_batches
 from pitbars.session import staged
 
 SHINGLE_WORDS = 5
@@ -163,6 +163,7 @@ def sketch(
     ``weighting`` is ``"set"`` (every distinct shingle weighs 1) or ``"count"`` (it weighs as
     often as it occurs). Null texts have null hashes; wordless texts have no bands.
     """
+    small_batches(df.sparkSession)
     if weighting not in ("set", "count"):
         raise ValueError(f"unknown weighting {weighting!r}")
 

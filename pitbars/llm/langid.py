@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitbars.llm.text import small_batches
+
 #: Bytes of labelled text a dictionary holds at most, and the texts it may be made of.
 DICTIONARY_BYTES = 96 * 1024
 SAMPLE_TEXTS = 200
@@ -118,6 +120,7 @@ def predict(df: DataFrame, row_id: Column, text: Column, model: Model, **extra:
     Null texts, texts without a letter and any text of an empty model are ``und`` with score
     0 and rejected. The model, a bounded number of bytes a language, travels with the task.
     """
+    small_batches(df.sparkSession)
     inputs = df.select(row_id.alias("id"), text.alias("text"), *[c.alias(n) for n, c in extra.items()])
     names = [n for n in inputs.columns if n != "text"]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields if f.name != "text")

@@ -13,8 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: An Arrow batch of texts ends at the first of these; one text may be larger.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -23,6 +26,12 @@ _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python in small batches, to bound what a task holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the whole 64-bit result (a fixed public finaliser)."""
     x = x ^ (x >> _U(33))
