@@ -94,15 +94,15 @@ def fills_under(orders: DataFrame, bars: DataFrame, setup: Setup) -> DataFrame:
 
 def backtest(
     targets: DataFrame, bars: DataFrame, folds: DataFrame, setup: Setup, *, run: Sequence[str] = (),
-    roles: Sequence[str] = ("test",),
+    roles: Sequence[str] = ("test",), accounts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Ledgers and metrics per run, fill rule, scenario, fold and role.
 
     ``targets``: run columns, ``instrument_id, decision_at, bar_start, target``. Every fold
-    and role is its own account: decisions inside its range trade, and positions end flat
-    in no account but their own.
+    and role is its own account: decisions inside its range trade, and positions stay as they
+    are at its end. ``accounts`` (run columns, ``fold, role``) lists those that get a curve and
+    a metric row although they may never trade; without it, they are the ones with fills.
     """
-    bars = staged(bars, "bars")
     spans = staged(folds.where(F.col("role").isin(list(roles))), "folds")
     placed = interval_join(
         targets, spans.select("fold", "role", "start", "end"), at="decision_at"
@@ -116,20 +116,24 @@ def backtest(
         bars.select("instrument_id", F.col("available_at").alias("at"), F.col("close").alias("price")),
         spans.select("fold", "role", "start", "end"), at="at",
     ).drop("start", "end")
+    rules = F.explode(F.array(*[F.lit(r) for r in setup.fill_rules]))
+    scenarios = F.explode(F.array(*[F.lit(s) for s in (setup.scenarios or ex.SCENARIOS)]))
+
+    def under_each(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("fill_rule", rules).withColumn("scenario", scenarios)
+
+    if accounts is not None:
+        accounts = under_each(accounts.where(F.col("role").isin(list(roles))).select(*base))
     curve = staged(
         equity_curve(
             fills, marks, initial_cash=setup.initial_cash, run=account,
-            fill_order=["fill_at", "order_id", "fill_no"],
+            fill_order=["fill_at", "order_id", "fill_no"], accounts=accounts,
         ),
         "curve",
     )
     ranged = in_decision_range(curve, spans, ["fold", "role"])
-    counted = orders
-    rules = F.explode(F.array(*[F.lit(r) for r in setup.fill_rules]))
-    scenarios = F.explode(F.array(*[F.lit(s) for s in (setup.scenarios or ex.SCENARIOS)]))
-    counted = counted.withColumn("fill_rule", rules).withColumn("scenario", scenarios)
     metrics = performance(
         ranged, keys=account, bar_size=setup.bar_size, annualization=setup.annualization(),
-        fills=fills, orders=counted,
+        fills=fills, orders=under_each(orders),
     ).withColumn("sizing", F.lit("initial_capital"))
     return {"orders": orders, "fills": fills, "equity_curve": curve, "metrics": metrics}

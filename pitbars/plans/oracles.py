@@ -1392,6 +1392,82 @@ add(
     4,
 )
 
+# -- the whole sweep: six parameter points, two fill rules, eight cost scenarios
+
+SWEEP = f"""{FEATURE_BASE},{EST.removeprefix(BARS + ",")}, {folds_sql(168, ROLLING_PARTS, 96, warm=24)}, {SCENARIOS},
+trial AS (SELECT i * 2 + j AS trial, threshold, weight
+  FROM (VALUES (0, 0.0), (1, 0.5), (2, 1.0)) t(i, threshold), (VALUES (0, 0.1), (1, 0.2)) w(j, weight)),
+sig AS (SELECT instrument_id, bar_start, {RET_1} AS ret_1, {ready(1, 5)} AS decision_at, close FROM r),
+plc AS (SELECT s.*, trial, threshold, weight,
+    CAST(trial AS VARCHAR) || '|' || CAST(fold AS VARCHAR) || '|' || role AS book
+  FROM sig s JOIN folds f ON role IN ('validation', 'test')
+    AND decision_at >= f."start" AND decision_at < f."end", trial
+  WHERE ret_1 IS NOT NULL),
+want AS (SELECT *, CASE WHEN ret_1 > threshold THEN floor(weight * 100000.0 / close / 1e-6 + 1e-9) * 1e-6
+  ELSE 0.0 END AS w FROM plc),
+chg AS (SELECT *, w - coalesce(lag(w) OVER (PARTITION BY book, instrument_id
+  ORDER BY decision_at, bar_start), 0) AS c FROM want),
+ords AS (SELECT book, instrument_id, decision_at AS signal_at, CASE WHEN c > 0 THEN 'buy' ELSE 'sell' END AS side,
+    abs(c) AS quantity, decision_at + INTERVAL 1 SECOND AS eligible_at,
+    decision_at + INTERVAL 6 HOUR AS expires_at, liquidity_estimate,
+    floor(0.1 * liquidity_estimate / 1e-6 + 1e-12) * 1e-6 AS cap,
+    book || '|' || instrument_id || '|' || CAST(epoch_us(decision_at) AS VARCHAR) || '|'
+      || CAST(epoch_us(bar_start) AS VARCHAR) AS order_id
+  FROM chg JOIN est USING (instrument_id, bar_start) WHERE abs(c) > 5e-7),
+ruled AS (SELECT o.*, 'next_open_after_eligibility' AS fill_rule, 0.0 AS took, CAST(NULL AS DOUBLE) AS now_price
+  FROM ords o
+  UNION ALL
+  SELECT o.*, 'open_of_current_bar', CASE WHEN b.open IS NULL THEN 0.0 WHEN cap IS NULL THEN quantity
+    ELSE least(cap, quantity) END, b.open
+  FROM ords o LEFT JOIN bars b ON o.instrument_id = b.instrument_id
+    AND o.eligible_at >= b.bar_start AND o.eligible_at < b.bar_end),
+cand AS (SELECT o.*, quantity - took AS rest, b.bar_start AS fill_at, b.open AS reference_price,
+    row_number() OVER (PARTITION BY o.order_id, fill_rule ORDER BY b.bar_start) AS n
+  FROM ruled o JOIN bars b ON o.instrument_id = b.instrument_id AND b.bar_start >= o.eligible_at
+    AND b.bar_start > o.signal_at AND b.bar_start < o.expires_at),
+matched AS (
+  SELECT book, fill_rule, instrument_id, side, order_id, liquidity_estimate, 0 AS n, eligible_at AS fill_at,
+    now_price AS reference_price, took AS quantity FROM ruled WHERE took > 0
+  UNION ALL
+  SELECT book, fill_rule, instrument_id, side, order_id, liquidity_estimate, n, fill_at, reference_price,
+    CASE WHEN cap IS NULL THEN rest ELSE least(cap, rest - (n - 1) * cap) END
+  FROM cand WHERE rest > 1e-12 AND ((cap IS NULL AND n = 1) OR (cap > 0 AND n - 1 < rest / cap - 1e-9))),
+c1 AS (SELECT m.*, s.*, reference_price * hs / 1e4 AS half_spread,
+    CASE WHEN kind = 'fixed_bps' THEN reference_price * coef / 1e4
+         ELSE coalesce(reference_price * coef / 1e4 * (quantity / liquidity_estimate),
+                       reference_price * fall / 1e4) END AS slippage
+  FROM matched m, scen s),
+c2 AS (SELECT *, reference_price + CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (half_spread + slippage) AS price
+  FROM c1),
+account AS (SELECT trial, fill_rule, scenario, fold, role, "start", "end",
+    CAST(trial AS VARCHAR) || '|' || CAST(fold AS VARCHAR) || '|' || role AS book,
+    CAST(trial AS VARCHAR) || '|' || CAST(fold AS VARCHAR) || '|' || role || '|' || fill_rule || '|' || scenario AS acct
+  FROM trial, folds, scen, (VALUES ('next_open_after_eligibility'), ('open_of_current_bar')) v(fill_rule)
+  WHERE role IN ('validation', 'test')),
+bk AS (SELECT *, book || '|' || fill_rule || '|' || scenario AS acct,
+    greatest(quantity * price * com / 1e4, 0.0) AS fee, {SIGNED} FROM c2),
+mk AS (SELECT acct, instrument_id, available_at AS at, close, bar_start
+  FROM bars JOIN account f ON available_at >= f."start" AND available_at < f."end"),
+{curve_sql('acct', 100000.0).replace('curve AS (', 'whole AS (')},
+curve AS (SELECT w.* FROM whole w JOIN account f USING (acct) WHERE w.at >= f."start" AND w.at < f."end"),
+{performance_sql('acct', H, 8766.0)},
+ft AS (SELECT acct, count(*) AS fill_count FROM bk GROUP BY 1),
+mean AS (SELECT trial, fill_rule, scenario, role, avg(coalesce(total_return, 0.0)) AS total_return,
+    CAST(sum(coalesce(fill_count, 0)) AS BIGINT) AS fill_count
+  FROM account LEFT JOIN perf USING (acct) LEFT JOIN ft USING (acct) GROUP BY 1, 2, 3, 4)"""
+add(
+    "sweep_parameter_grid",
+    f"""WITH {SWEEP} SELECT trial, fill_rule, scenario,
+      max(total_return) FILTER (role = 'validation') AS validation_total_return,
+      max(fill_count) FILTER (role = 'validation') AS validation_fill_count,
+      max(total_return) FILTER (role = 'test') AS test_total_return,
+      max(fill_count) FILTER (role = 'test') AS test_fill_count,
+      (SELECT count(*) FROM trial) AS trials
+    FROM mean GROUP BY 1, 2, 3""",
+    "validation_total_return test_total_return",
+    4,
+)
+
 # -- streaming: only windows that closed before the watermark of the last event
 
 CLOSED = f"""{BARS},

@@ -556,7 +556,10 @@ def cross_batch_availability(spark, d):
 
 
 def _span(spark, d):
-    b = tt.bars(spark, d)
+    return _span_of(tt.bars(spark, d))
+
+
+def _span_of(b):
     return b.agg(
         floor_time(F.min("bar_start"), DAY).alias("start"),
         shift(floor_time(F.max("bar_start"), DAY), DAY).alias("end"),
@@ -1170,25 +1173,24 @@ def fold_preview(spark, d):
 # -- whole pipelines -------------------------------------------------------------------------
 
 
-def _sweep(spark, d, grid, setup):
-    b = tt.bars(spark, d)
-    made = _features(spark, d, [ft.lagged_return(1), ft.rolling_volatility(5)])
-    trials = F.array(
-        *[
-            F.struct(F.lit(i).alias("trial"), F.lit(p["threshold"]).alias("threshold"),
-                     F.lit(p["weight"]).alias("weight"))
-            for i, p in enumerate(runs.grid_points(grid))
-        ]
-    )
-    signal = made.where(F.col("ret_1").isNotNull()).select("*", F.inline(trials)).select(
+def _sweep(spark, d, axes, setup):
+    b = staged(tt.bars(spark, d), "bars")
+    made = compute_features(b, [ft.lagged_return(1), ft.rolling_volatility(5)], bar_size="1h")
+    folds = splits.walk_forward(_span_of(b), PLAN)
+    signal = runs.with_grid(made.where(F.col("ret_1").isNotNull()), axes).select(
         "trial", "instrument_id", F.col("available_at").alias("decision_at"), "bar_start",
         F.when(F.col("ret_1") > F.col("threshold"), F.col("weight")).otherwise(0.0).alias("target"),
     )
     return bt.backtest(
-        signal, b, _folds(spark, d), setup, run=["trial"], roles=("validation", "test")
+        signal, b, folds, setup, run=["trial"], roles=("validation", "test"),
+        accounts=runs.with_grid(folds.select("fold", "role"), axes),
     )
 
 
+def _axis(name: str, values) -> list[F.Column]:
+    return [F.struct(F.lit(v).alias(name)) for v in values]
+
+
 BOOK = bt.Setup(
     bar_size="1h", execution=ex.Execution(expire_after="6h", liquidity_lookback=5)
 )
@@ -1200,7 +1202,7 @@ def backtest_open_loop(spark, d):
         bar_size="1h", execution=BOOK.execution, scenarios=("base",),
         fill_rules=("next_open_after_eligibility",),
     )
-    m = _sweep(spark, d, {"threshold": [0.0], "weight": [0.2]}, single)["metrics"]
+    m = _sweep(spark, d, [_axis("threshold", [0.0]), _axis("weight", [0.2])], single)["metrics"]
     # Two days annualised run from -1 to 1e17; the logarithm has digits that mean something.
     growth = F.ln(F.col("end_equity") / F.col("start_equity")) * F.col("periods_per_year")
     growth = (growth / F.col("periods")).alias("annualized_log_growth")
@@ -1209,8 +1211,8 @@ def backtest_open_loop(spark, d):
 
 @query(4)
 def sweep_parameter_grid(spark, d):
-    grid = {"threshold": [0.0, 0.5, 1.0], "weight": [0.1, 0.2]}
-    m = _sweep(spark, d, grid, BOOK)["metrics"]
+    axes = [_axis("threshold", [0.0, 0.5, 1.0]), _axis("weight", [0.1, 0.2])]
+    m = _sweep(spark, d, axes, BOOK)["metrics"]
     mean = m.groupBy("trial", "fill_rule", "scenario", "role").agg(
         F.avg("total_return").alias("total_return"), F.sum("fill_count").alias("fill_count")
     )

@@ -305,5 +305,9 @@ def test_agreement_and_grid(spark):
     got = runs.agreement(a, b, on=["k"], columns=list("abcde"))
     assert {r.metric: r.agreement for r in got.collect()} == {
         "a": "exact", "b": "within_tolerance", "c": "missing", "d": "different", "e": "exact"}
-    points = runs.grid_points({"x": [1, 2], "linked.w": [{"p": 1, "q": 2}, {"p": 3, "q": 4}]})
-    assert len(points) == 4 and {(p["p"], p["q"]) for p in points} == {(1, 2), (3, 4)}
+    axes = [
+        [F.struct(F.lit(x).alias("x")) for x in (1, 2)],
+        [F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in ((1, 2), (3, 4))],
+    ]
+    points = runs.with_grid(a.select("k"), axes).collect()
+    assert sorted((r.trial, r.x, r.p, r.q) for r in points) == [(0, 1, 1, 2), (1, 1, 3, 4), (2, 2, 1, 2), (3, 2, 3, 4)]
