@@ -10,6 +10,7 @@ from pitbars.functions.rules import check_features, condition, referenced, targe
 from pitbars.operators import execution as ex
 from pitbars.operators import ledger, metrics, runs, targets
 from pitbars.operators.sizing import Limits, size_targets
+from pitbars.types import DAY, MINUTE
 
 UTC = dt.timezone.utc
 
@@ -215,14 +216,14 @@ def test_a_flip_is_two_trades_that_share_the_fee(spark):
     assert t[0].closed_at == t[1].opened_at
 
 
-def test_hot_keys_give_the_same_ledgers(spark):
+def test_bucket_width_does_not_change_ledgers(spark):
     rows = [(i % 50 + i // 50, "HOT" if i % 3 else "C", "buy" if i * 7 % 5 < 2 else "sell", i % 4 + 1, 90 + i % 21, 0.1, 0.2)
             for i in range(120)]
     f = fills(spark, *rows)
     cols = ["instrument_id", "trade_no", "direction", "fill_count", "net_pnl", "is_open"]
-    calm, split = (ledger.trades(f, order=ORD, width=5 * 60 * 10**6, hot_rows=h).select(*cols) for h in (10**6, 20))
+    calm, split = (ledger.trades(f, order=ORD, width=w).select(*cols) for w in (30 * DAY, 5 * MINUTE))
     assert [str(r) for r in calm.orderBy(*cols[:2]).collect()] == [str(r) for r in split.orderBy(*cols[:2]).collect()]
-    a, b = (ledger.average_cost(f, order=ORD, width=5 * 60 * 10**6, hot_rows=h).orderBy("n").collect() for h in (10**6, 20))
+    a, b = (ledger.average_cost(f, order=ORD, width=w).orderBy("n").collect() for w in (30 * DAY, 5 * MINUTE))
     assert [r.avg_cost for r in a] == pytest.approx([r.avg_cost for r in b])
     assert sum(r.realized_pnl for r in a) == pytest.approx(sum(r.realized_pnl for r in b))
 
