@@ -19,7 +19,7 @@ from pitbars.session import staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language: without letters, or with no lead for any language.
+    """Drop documents of no language: without letters, or with a narrow lead (``langid.MARGIN``).
 
     The model is fitted on the documents of the stage's input that may teach it.
     """

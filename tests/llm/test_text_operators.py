@@ -150,6 +150,22 @@ def test_equal_sizes_are_a_narrow_lead(documents):
     assert [(r.lang_pred, r.rejected) for r in told(documents([(1, "ba ko")]), model)] == [("aa", True)]
 
 
+def test_mixed_and_unlearned_texts_have_a_narrow_lead(documents):
+    rng = random.Random(8)
+    mixed = ["ba", "ko", "ti", "schr", "ung", "keit", "ção", "nho", "lhe"]
+    unlearned = ["bad", "kos", "tir", "ungo", "keta", "nhi"]
+    rows = [
+        (i, " ".join("".join(rng.choice((mixed, unlearned)[i % 2]) for _ in range(rng.randrange(1, 4))) for _ in range(3000)))
+        for i in range(40)
+    ]
+    model = fitted(documents(sample_texts(300, 1)))
+    found = told(documents(rows), model)
+    assert all(r.rejected for r in found) and sum(r.score > 0 for r in found) >= 38
+    labelled = told(documents(sample_texts(300, 1)), model)
+    # Of the 300, five tie and five lead by a byte or two.
+    assert sum(not r.rejected for r in labelled) >= 285
+
+
 URLS = {
     "http://A.Example.COM/en/x?q#f": ("a.example.com", "/en/x"),
     "https://h": ("h", ""),
