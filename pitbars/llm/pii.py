@@ -1,7 +1,7 @@
 """Personal data by pattern, and what reveals it by information content.
 
-Patterns find protected entities (addresses, numbers). Around them, single words can give an
-entity away although they match no pattern: a name beside a phone number. How strongly a word
+Patterns find protected entities (addresses, numbers). In their documents, single words can give
+an entity away although they match no pattern: a name and a phone number. How strongly a word
 reveals an entity is estimated from the corpus: the pointwise mutual information of the two,
 as a share of the entity's own information content,
 
@@ -9,7 +9,7 @@ as a share of the entity's own information content,
 
 where ``n`` count documents of the whole corpus. It is 1 for a word that occurs nowhere but
 with the entity. Words at or over the threshold are generalised, or removed, wherever they
-stand near the entity.
+stand in a document that holds the entity.
 """
 
 from __future__ import annotations
@@ -20,15 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitbars.llm.graph import join_checked
 from pitbars.session import staged
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words looked at on either side of an entity.
-REACH = 8
 #: Share of an entity's information a word may give away, and the documents it takes to tell.
 THRESHOLD = 0.9
 SUPPORT = 3
@@ -99,57 +98,41 @@ def _entity(kind: int, text: str) -> int:
     return _hash(f"{KINDS[kind]}:{plain}")
 
 
-def near_words(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans of up to ``REACH`` words on either side, from whole words within reach."""
-    # A window of characters bounds the search; it grows until it holds the words asked for.
-    width, size = 256, len(text)
-    while True:
-        low = max(0, start - width)
-        before = [(m.start() + low, m.end() + low) for m in _WORD.finditer(text[low:start])]
-        if low and before and before[0][0] == low:
-            before.pop(0)  # may be the end of a word
-        if low == 0 or len(before) >= REACH:
-            break
-        width *= 4
-    width = 256
-    while True:
-        high = min(size, end + width)
-        after = [(m.start() + end, m.end() + end) for m in _WORD.finditer(text[end:high])]
-        if high < size and after and after[-1][1] == high:
-            after.pop()
-        if high == size or len(after) >= REACH:
-            break
-        width *= 4
-    return before[-REACH:] + after[:REACH]
-
-
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """``entity, term, start, end`` of the words near each entity, outside all base spans."""
+def distinct_words(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``term, start, end`` of the words outside all base spans."""
     taken = sorted((a, b) for _, a, b in spans)
-    starts = np.array([a for a, _ in taken])
-    reach = np.maximum.accumulate(np.array([b for _, b in taken])) if taken else starts
-    out = []
-    for kind, a, b in spans:
-        entity = _entity(kind, text[a:b])
-        for x, y in near_words(text, a, b):
-            before = int(np.searchsorted(starts, y))  # spans that start before the word's end
-            if before and reach[before - 1] > x:
-                continue
-            out.append((entity, _hash(text[x:y].lower()), x, y))
+    out, at, reach = [], 0, 0
+    hashes: dict[str, int] = {}
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while at < len(taken) and taken[at][0] < y:  # spans that start before the word's end
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= x:
+            word = m.group()
+            if word not in hashes:
+                hashes[word] = _hash(word.lower())
+            out.append((hashes[word], x, y))
     return out
 
 
 _FOUND = pa.schema(
     [("id", pa.int64()), ("counts", pa.list_(pa.int64())), ("base", pa.string()),
-     ("entities", pa.list_(pa.int64())),
-     ("near", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))]
+     ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64())),
+     ("words", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))]
 )
+#: A batch of scanned rows is passed on at so many rows, or so many words.
+_FULL = 2000, 20_000
 
 
 def _scan(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for number, value in zip(batch.column(0), batch.column(1)):
                 body = value.as_py() or ""
                 spans = base_spans(body)
@@ -160,19 +143,21 @@ def _scan(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                     {
                         "id": number.as_py(), "counts": counts, "base": joined(spans),
                         "entities": sorted({_entity(k, body[a:b]) for k, a, b in spans}),
-                        "near": [dict(zip(("entity", "term", "start", "end"), c)) for c in contexts(body, spans)] if spans else [],
+                        "terms": [_hash(w) for w in distinct_words(body)] if spans else [],
+                        "words": [dict(zip(("term", "start", "end"), w)) for w in free_words(body, spans)] if spans else [],
                     }
                 )
-                if len(rows) == 2000:
+                held += len(rows[-1]["words"])
+                if len(rows) >= _FULL[0] or held >= _FULL[1]:
                     yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
-                    rows = []
+                    rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
 
     narrow = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     return narrow.mapInArrow(
         run,
-        "id bigint, counts array<bigint>, base string, entities array<bigint>, "
-        "near array<struct<entity: bigint, term: bigint, start: int, end: int>>",
+        "id bigint, counts array<bigint>, base string, entities array<bigint>, terms array<bigint>, "
+        "words array<struct<term: bigint, start: int, end: int>>",
     )
 
 
@@ -200,7 +185,7 @@ def _term_documents(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
         held: dict[str, int] = {}
         for batch in batches:
             for value in batch.column(0):
-                for word in set(_WORD.findall((value.as_py() or "").lower())):
+                for word in distinct_words(value.as_py() or ""):
                     held[word] = held.get(word, 0) + 1
                 if len(held) >= most:
                     yield flushed(held)
@@ -212,27 +197,33 @@ def _term_documents(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
     )
 
 
-def pairs(found: DataFrame, support: int) -> DataFrame:
-    """``entity, term, n_te``: how many documents have the word near the entity."""
-    return (
-        found.select("row", F.explode("near").alias("c")).select("row", "c.entity", "c.term").distinct()
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    )
-
-
-def disclosing(
-    found: DataFrame, together: DataFrame, terms: DataFrame, n_rows: int, threshold: float, support: int
-) -> DataFrame:
-    """``entity, term, disclosure`` of the pairs at or over the threshold."""
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    asked = together.join(entities.where(F.col("n_e") >= support), "entity").join(
-        terms.withColumnRenamed("n", "n_t"), "term"
-    )
+def _score(n_rows: int, n_t: str) -> Column:
     total = F.lit(float(n_rows))
     own = F.log2(total / F.col("n_e"))
-    mutual = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    score = F.when(own > 0, mutual / own)
-    return asked.select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return F.when(own > 0, F.log2(total * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) / own)
+
+
+def pairs(holders: DataFrame, worded: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+    """``row, entity, term, n_e, n_d``: who is together in a document and may disclose.
+
+    ``holders`` are ``row, entity, n_e``; ``worded`` are ``row, term, n_d`` with the documents,
+    of those that hold entities, that have the word. As ``n_te`` is at most ``n_e`` and ``n_t`` at
+    least ``n_d``, a word over the bound stays under the threshold with the entity.
+    """
+    bound = F.pow("n_e", F.lit(float(threshold))) * F.pow(F.lit(float(n_rows)), F.lit(1.0 - threshold))
+    return holders.join(worded, "row").where(F.col("n_d") <= bound * (1 + 1e-9))
+
+
+def candidates(together: DataFrame, n_rows: int, threshold: float, support: int) -> DataFrame:
+    """``entity, term, n_e, n_te`` of the pairs that could be at the threshold, were ``n_t`` least."""
+    counted = together.groupBy("entity", "term", "n_e", "n_d").agg(F.count(F.lit(1)).alias("n_te"))
+    return counted.where(F.col("n_te") >= support).where(_score(n_rows, "n_d") >= threshold - 1e-9).drop("n_d")
+
+
+def disclosing(asked: DataFrame, terms: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+    """``entity, term, disclosure`` of the candidates at or over the threshold."""
+    scored = asked.join(terms.withColumnRenamed("n", "n_t"), "term")
+    return scored.select("entity", "term", _score(n_rows, "n_t").alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def find(
@@ -241,23 +232,40 @@ def find(
     """``doc_id, counts, base, terms`` for every row.
 
     ``counts`` are the base spans by kind, ``base`` is their text form, and ``terms`` the
-    spans ``array<struct<start, end>>`` of words that disclose an entity near them. Null texts
-    are empty. A word is looked at in lower case; words inside base spans are no terms. Rows
-    of one id are told apart, an empty table gives no rows, and other columns are not read.
-    Stores what the scan found (no texts) while the plan is being built; texts are read twice.
+    spans ``array<struct<start, end>>`` of words that disclose an entity of their document. Null
+    texts are empty. A word is looked at in lower case; words inside base spans count, but are
+    no terms. Pairs of fewer than ``support`` documents tell nothing, so no word is held against
+    an entity of fewer. Rows of one id are told apart, an empty table gives no rows, and other
+    columns are not read. Stores what the scan found (of texts only the words' hashes and places,
+    where a document holds an entity) while the plan is being built; texts are read twice.
     """
     found = staged(_scan(df, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "pii")
-    together = staged(pairs(found, support), "pairs")
-    flagged = staged(
-        disclosing(found, together, _term_documents(df, text, together), found.count(), threshold, support), "disclosing"
+    n_rows = found.count()
+    each = found.select("row", F.explode("entities").alias("entity"))
+    known = staged(
+        each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support), "entities"
+    )
+    holders = staged(join_checked(each, known, ["entity"], "inner"), "holders")
+    rows = staged(holders.select("row").distinct(), "rows")
+    # Words are counted over all documents that hold any entity: a lower bound of n_t.
+    worded = found.select("row", F.explode("terms").alias("term"))
+    n_d = worded.groupBy("term").agg(F.count(F.lit(1)).alias("n_d"))
+    n_d = staged(n_d.where(F.col("n_d") >= support), "held")
+    kept = join_checked(worded, rows, ["row"], "left_semi")
+    together = staged(pairs(holders, join_checked(kept, n_d, ["term"], "inner"), n_rows, threshold), "pairs")
+    asked = staged(candidates(together, n_rows, threshold, support), "candidates")
+    flagged = staged(disclosing(asked, _term_documents(df, text, asked), n_rows, threshold), "disclosing")
+    marked = staged(
+        join_checked(together, flagged.select("entity", "term"), ["entity", "term"], "inner").select("row", "term").distinct(),
+        "marked",
     )
-    near = found.select("row", F.explode("near").alias("c")).select("row", "c.*")
-    terms = near.join(flagged, ["entity", "term"]).groupBy("row").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")
+    words = join_checked(found.select("row", "words"), rows, ["row"], "left_semi").select("row", F.explode("words").alias("w"))
+    terms = join_checked(words.select("row", "w.*"), marked, ["row", "term"], "inner").groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("marks")
     )
     return found.join(terms, "row", "left").select(
         F.col("id").alias(doc_id), "counts", "base",
-        F.coalesce("terms", F.array().cast("array<struct<start: int, end: int>>")).alias("terms"),
+        F.coalesce("marks", F.array().cast("array<struct<start: int, end: int>>")).alias("terms"),
     )
 
 

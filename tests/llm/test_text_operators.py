@@ -88,6 +88,20 @@ def test_disclosure_follows_the_formula(documents):
         assert all(len(found[i].terms) == n for i in range(4))
 
 
+def test_words_far_from_an_entity_disclose_it(documents):
+    # Within eight words of the entity "Zebulon" never stands, "ylva" in 3 of 10 documents.
+    filler = "the of and to in that is was for it with as " * 3
+    rows = []
+    for i in range(10):
+        near, far = ("Ylva ", "") if i < 3 else ("", "ylva ")
+        rows.append((i, f"Zebulon {filler}{near}zeb@example.com {filler}{far}zebulon"))
+    rows += [(100 + i, filler) for i in range(990)]
+    found = {r.doc_id: r for r in pii.find(documents(rows)).collect()}
+    for i, text in rows[:10]:
+        assert sorted(text[t.start : t.end].lower() for t in found[i].terms) == ["ylva", "zebulon", "zebulon"]
+    assert all(not found[i].terms for i, _ in rows[10:])
+
+
 def test_awkward_texts_are_scanned(documents, awkward, empty):
     found = pii.find(documents(awkward)).collect()
     assert len(found) == len(awkward) and all(sum(r.counts) == 0 and r.base == "" for r in found)
