@@ -1,4 +1,4 @@
-"""The ten registered queries of this package and their SQL twins."""
+"""The registered queries of this package and their SQL twins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitbars.llm import dartminhash, hostrep, langid, mixing, packing, pii, rpforest, sharding, warc, winnowing
+from pitbars.llm import annscan, dartminhash, hostrep, langid, maskrank, mixing, packing, pii, rpforest, sharding, spelling
+from pitbars.llm import warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +131,26 @@ def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(_table(spark, sf_dir, "documents"), doc_id=F.col("doc_id"), text=F.col("text"))
+    return spelling.group_spellings(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = annscan.nearest(
+        _table(spark, sf_dir, "embeddings"), row_id=F.col("vec_id"), embedding=F.col("embedding"),
+        is_query=F.col("vec_id") % 20 == 0, k=20,
+    )
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maskrank.rank(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"),
+        doc_id=F.col("doc_id"), text=F.col("text"), item_id=F.col("item_id"), item_text=F.col("text"), k=10,
+    )
+
+
 QUERIES = {
     "op1_projection_forest": op1_projection_forest,
     "op2_packing": op2_packing,
@@ -141,6 +162,9 @@ QUERIES = {
     "op8_host_reputation": op8_host_reputation,
     "op9_winnowing": op9_winnowing,
     "op10_warc_normaliser": op10_warc_normaliser,
+    "op11_partenum": op11_partenum,
+    "op12_adaptive_scan": op12_adaptive_scan,
+    "op13_presence_masks": op13_presence_masks,
 }
 
 _OP7 = """
@@ -311,9 +335,96 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 FROM topped
 """
 
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 of strings. ``crc_table`` is the byte table by its rule; ``crc({})`` is spelt as below.
+_CRC_TABLE = """
+crc_step0 AS (SELECT i, i::BIGINT AS c FROM range(256) t(i)),
+crc_table AS (
+  SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM crc_step0
+)"""
+
+
+def _crc(text: str, table: str = "t") -> str:
+    """CRC-32 of a non-empty SQL string, over its UTF-8 bytes; ``table`` is ``crc_table.t``."""
+    hexed = f"hex(encode({text}))"
+    byte = f"('0x' || substr({hexed}, 2 * k + 1, 2))::BIGINT"
+    bytes_ = f"list_transform(range(length({hexed}) // 2), lambda k: {byte})"
+    step = f"xor(c >> 8, {table}[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: {step}), 4294967295)"
+
+
+_OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, {_LOWERED.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'))")} AS r FROM documents
+), hashed AS (
+  SELECT r, {_crc("doc_id || ':' || r")} AS h, length(r) AS len FROM runs, crc_table WHERE length(r) >= 7
+), words AS (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, (h % len)::BIGINT) || substr(r, (h % len)::BIGINT + 2) ELSE r END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 10 * w.n THEN b.top END AS form_n,
+         CASE WHEN b.top >= 10 * w.n
+              THEN (SELECT decode(min(encode(x.other))) FROM near x WHERE x.word = w.word AND x.other_n = b.top) END AS form
+  FROM words w LEFT JOIN best b USING (word)
+), walk AS (
+  SELECT word, word AS reached, 0 AS step FROM forms
+  UNION ALL
+  SELECT k.word, f.form, k.step + 1 FROM walk k JOIN forms f ON k.reached = f.word WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(reached, step) AS root FROM walk GROUP BY word
+)
+SELECT word, form, root, n::BIGINT AS n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)
+"""
+
+_OP13 = f"""
+WITH placed AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWERED.format("coalesce(text, '')")},
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents
+), counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM placed GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id
+), whole AS (
+  SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sizes
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED.format("coalesce(text, '')")},
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counts, whole GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id), whole
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op7_source_schedule": _OP7,
     "op8_host_reputation": _OP8,
     "op9_winnowing": _OP9,
     "op10_warc_normaliser": _OP10,
+    "op11_partenum": _OP11,
+    "op13_presence_masks": _OP13,
 }
