@@ -1,8 +1,7 @@
 """Ranks and means across instruments at each instant.
 
-An instant is split by value into ordered buckets, so even an instant that holds a large
-part of all rows is ranked by many tasks: a small per-bucket summary gives every bucket the
-count of smaller values and the member total, and ranks inside a bucket are shifted by it.
+Values are counted and cut into ranges by a sample of them, so even an instant that holds a
+large part of all rows is ranked by many tasks, however close or repeated its values are.
 """
 
 from __future__ import annotations
@@ -10,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitbars.operators.ordered import group_totals, hash_spread
+from pitbars.operators.ordered import group_totals, hash_spread, ranged, running
 from pitbars.types import require_columns
 
 METHODS = ("average", "min", "max", "dense", "ordinal")
@@ -54,60 +53,46 @@ class CrossMean:
         return self.name or f"{self.column}_xmean"
 
 
-def value_bucket(value: Column, per_e: int = 4) -> Column:
-    """A non-decreasing integer of ``value``: signed logarithm in steps of 1/``per_e``."""
-    size = F.least(F.floor(F.ln(F.abs(value)) * per_e), F.lit(100_000)) + 1_000_000
-    return (
-        F.when(value.isNull(), F.lit(None).cast("bigint"))
-        .when(F.isnan(value), F.lit(9_000_000))
-        .when(value > 0, size)
-        .when(value < 0, -size)
-        .otherwise(0)
-        .cast("bigint")
-    )
-
-
 def _rank(df: DataFrame, base: DataFrame, rank: CrossRank, at: str, tiebreak: str) -> DataFrame:
     """Add one rank column; null values get a null rank and count for nobody.
 
-    The bucket summary reads ``base``, not the frame built so far, so several ranks read
-    the source once each instead of doubling it every time.
+    Ranks that ties share are found on a table of distinct values, with their counts summed up
+    along ranges of values, and meet the rows by an equi-join. Ordinal ranks tell ties apart,
+    so the rows themselves are cut into ranges of value and tie-break. Values are counted on
+    ``base``, not the frame built so far, so several ranks read the source once each.
     """
     value = F.col(rank.column).cast("double")
     if rank.descending:
         value = -value
-    work = df.withColumn("__v", value).withColumn("__vb", value_bucket(F.col("__v")))
-    counted = base.select(at, value.alias("__v")).withColumn("__vb", value_bucket(F.col("__v")))
-    counts = [F.count("__v").alias("__n")]
-    if rank.method == "dense":
-        counts.append(F.count_distinct("__v").alias("__d"))
-    summary = counted.groupBy(at, "__vb").agg(*counts)
-    below = Window.partitionBy(at).orderBy("__vb").rowsBetween(Window.unboundedPreceding, -1)
-    carried = {
-        "__below": F.coalesce(F.sum("__n").over(below), F.lit(0)),
-        "__members": F.sum("__n").over(Window.partitionBy(at)),
-    }
-    if rank.method == "dense":
-        carried["__dbelow"] = F.coalesce(F.sum("__d").over(below), F.lit(0))
-    totals = summary.withColumns(carried).drop("__n", "__d")
-    joined = work.join(
-        totals.withColumnsRenamed({at: "__at", "__vb": "__tb"}),
-        (F.col(at) == F.col("__at")) & F.col("__vb").eqNullSafe(F.col("__tb")),
-    )
-    w = Window.partitionBy(at, "__vb").orderBy("__v")
     if rank.method == "ordinal":
-        ranked = F.row_number().over(Window.partitionBy(at, "__vb").orderBy("__v", tiebreak))
-    elif rank.method == "dense":
-        ranked = F.dense_rank().over(w) + F.col("__dbelow") - F.col("__below")
+        work = df.withColumn("__v", value).withColumn("__missing", F.col("__v").isNull().cast("int"))
+        cut = ranged(work, [at], ["__missing", "__v", tiebreak])
+        known = F.col("__v").isNotNull().cast("bigint")
+        placed = running(
+            cut, [at], ["__missing", "__v", tiebreak], F.col("__part"), sums={"__place": known}
+        )
+        joined = group_totals(placed, [at], F.col("__part"), sums={"__members": known})
+        place = F.col("__place").cast("double")
     else:
-        least = F.rank().over(w)
-        ties = F.count("__v").over(w.rangeBetween(Window.currentRow, Window.currentRow))
-        extra = {"min": F.lit(0), "max": ties - 1, "average": (ties - 1) / 2}[rank.method]
-        ranked = least + extra
-    place = (ranked + F.col("__below")).cast("double")
+        counted = base.select(at, value.alias("__v")).where(F.col("__v").isNotNull())
+        counts = ranged(counted.groupBy(at, "__v").agg(F.count(F.lit(1)).alias("__n")), [at], ["__v"])
+        upto = running(
+            counts, [at], ["__v"], F.col("__part"),
+            sums={"__upto": F.col("__n"), "__distinct": F.lit(1).cast("bigint")},
+        )
+        known = group_totals(upto, [at], F.col("__part"), sums={"__members": F.col("__n")})
+        last = F.col("__upto").cast("double")
+        first = last - F.col("__n") + 1
+        place = {
+            "min": first, "max": last, "average": (first + last) / 2, "dense": F.col("__distinct").cast("double")
+        }[rank.method]
+        placed = known.select(F.col(at).alias("__at"), F.col("__v").alias("__value"), place.alias("__place"), "__members")
+        work = df.withColumn("__v", value)
+        joined = work.join(placed, (F.col(at) == F.col("__at")) & (F.col("__v") == F.col("__value")), "left")
+        place = F.col("__place")
     result = F.try_divide(place, F.col("__members").cast("double")) if rank.pct else place
-    known = F.col("__v").isNotNull() & (F.col("__members") >= rank.min_members)
-    return joined.withColumn(rank.output, F.when(known, result)).select(*df.columns, rank.output)
+    enough = F.col("__v").isNotNull() & (F.col("__members") >= rank.min_members)
+    return joined.withColumn(rank.output, F.when(enough, result)).select(*df.columns, rank.output)
 
 
 def cross_section(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitbars.functions.scalars import bucket_of, elapsed, time_bucket
+from pitbars.functions.scalars import bucket_of, elapsed, overlaps, time_bucket
 from pitbars.operators.ordered import running
 from pitbars.types import DAY, micros, require_columns
 
@@ -173,6 +173,55 @@ def interval_join(
     return joined.drop("__pb", "__b", "__upto", "__from", *[f"__k_{k}" for k in by])
 
 
+def overlap_join(
+    left: DataFrame, right: DataFrame, *, condition: Column | None = None, by: Sequence[str] = (),
+    left_range: tuple[str, str] = ("start", "end"), right_range: tuple[str, str] = ("start", "end"),
+    width: str | int = DAY,
+) -> DataFrame:
+    """Pairs of half-open ranges that share an instant, each pair once.
+
+    Both sides are listed under every time bucket they touch and meet by an equi-join on
+    ``(by, bucket)``; a pair is reported only in the first bucket both have, the later of
+    their first ones. Right columns get the prefix ``right_``, key columns excepted.
+    ``condition`` narrows the pairs and may name columns of both sides. Empty ranges overlap
+    with nothing.
+    """
+    w = micros(width)
+
+    def listed(df: DataFrame, span: tuple[str, str], bucket: str, first: str) -> DataFrame:
+        start, end = span
+        begun = time_bucket(start, w)
+        return df.where(F.col(start) < F.col(end)).withColumns(
+            {first: begun, bucket: F.explode(F.sequence(begun, bucket_of(F.unix_micros(end) - 1, w)))}
+        )
+
+    names = {c: f"right_{c}" for c in right.columns if c not in by}
+    a = listed(left, left_range, "__bucket", "__first_a")
+    renamed = right.withColumnsRenamed(names)
+    b = listed(renamed, (names[right_range[0]], names[right_range[1]]), "__bucket", "__first_b")
+    met = a.join(b, [*by, "__bucket"]).where(F.col("__bucket") == F.greatest("__first_a", "__first_b"))
+    met = met.where(overlaps(
+        F.col(left_range[0]), F.col(left_range[1]), F.col(names[right_range[0]]), F.col(names[right_range[1]])
+    ))
+    if condition is not None:
+        met = met.where(condition)
+    return met.select(*left.columns, *names.values())
+
+
+def outside_ranges(
+    points: DataFrame, ranges: DataFrame, *, at: str, start: str = "start", end: str = "end",
+    width: str | int = DAY,
+) -> DataFrame:
+    """Points that no half-open range holds, by an anti-join on the time bucket."""
+    w = micros(width)
+    listed = ranges.where(F.col(start) < F.col(end)).select(
+        F.explode(F.sequence(time_bucket(start, w), bucket_of(F.unix_micros(end) - 1, w))).alias("__b"),
+        F.col(start).alias("__from"), F.col(end).alias("__upto"),
+    )
+    held = (F.col("__pb") == F.col("__b")) & (F.col(at) >= F.col("__from")) & (F.col(at) < F.col("__upto"))
+    return points.withColumn("__pb", time_bucket(at, w)).join(listed, held, "left_anti").drop("__pb")
+
+
 def first_open_after(
     rows: DataFrame, opens: DataFrame, *, at: str, by=("instrument_id",), name: str = "next_open"
 ) -> DataFrame:

@@ -13,9 +13,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitbars.functions.scalars import elapsed, time_bucket
+from pitbars.functions.scalars import bucket_of, elapsed, time_bucket
 from pitbars.operators.joins import nearest
-from pitbars.operators.ordered import Fold, fold_rows, running
+from pitbars.operators.ordered import affine_fold, fold_rows, running, with_position
+from pitbars.session import staged
 from pitbars.types import DAY, SECOND, micros
 
 #: How much of its history a key has in one task: coarse, since a ledger has many short keys
@@ -56,39 +57,42 @@ def average_cost(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
     width: int = LEDGER_BUCKET,
 ) -> DataFrame:
-    """Fills with ``position``, ``avg_cost`` after, and ``realized_pnl`` of each fill.
+    """Fills with ``position``, ``avg_cost`` after, ``realized_pnl`` of each fill, and the
+    totals ``basis_before, basis, realized_before, realized`` of the key around it.
 
     Adding blends the cost, reducing keeps it and realises against it, flipping restarts it
-    at the fill price. The position is a prefix sum. The cost basis then follows
-    ``basis' = a * basis + b`` per fill, and a stretch of fills is again one such pair, which
-    is what makes the fold splittable.
+    at the fill price. The position is a prefix sum. Given it, a fill maps the pair of cost
+    basis and realised profit linearly, ``basis' = a * basis + b`` and
+    ``realized' = realized + c * basis + d``; a stretch of fills is again one such map, which is
+    what makes the fold splittable.
     """
     held = positions(fills, keys=keys, order=order, width=width)
     before, after = F.col("position_before"), F.col("position")
     adds = (before == 0) | ((before > 0) == (F.col("signed") > 0))
     flips = ~adds & (after != 0) & ((after > 0) != (before > 0))
+    closed = F.when(adds, 0.0).otherwise(
+        -F.signum(before) * F.least(F.abs("signed"), F.abs(before))
+    )
     steps = held.withColumns(
         {
-            "a": F.when(adds, 1.0).when(flips, 0.0).otherwise(F.try_divide(after, before)),
-            "b": F.when(adds, F.col("signed") * F.col("price"))
+            "__a": F.when(adds, 1.0).when(flips, 0.0).otherwise(F.try_divide(after, before)),
+            "__b": F.when(adds, F.col("signed") * F.col("price"))
             .when(flips, after * F.col("price"))
             .otherwise(0.0),
+            "__c": F.coalesce(F.try_divide(closed, before), F.lit(0.0)),
+            "__d": -closed * F.col("price"),
         }
     )
-    fold = Fold(
-        inputs=("a", "b"),
-        start=0.0,
-        identity=(1.0, 0.0),
-        step=lambda a, b: np.stack([a, b], axis=1),
-        compose=lambda x, y: np.stack([x[:, 0] * y[:, 0], x[:, 1] * y[:, 0] + y[:, 1]], axis=1),
-        apply=lambda basis, s: s[:, 0] * basis + s[:, 1],
-    )
+
+    def step(a, b, c, d):
+        matrix = np.zeros((len(a), 2, 2))
+        matrix[:, 0, 0], matrix[:, 1, 0], matrix[:, 1, 1] = a, c, 1.0
+        return matrix, np.stack([b, d], axis=1)
+
+    fold = affine_fold(("__a", "__b", "__c", "__d"), (0.0, 0.0), step)
     joined = fold_rows(
         steps, list(keys), list(order), time_bucket(order[0], width), fold,
-        before="basis_before", after="basis",
-    )
-    closed = F.when(adds, 0.0).otherwise(
-        -F.signum(before) * F.least(F.abs("signed"), F.abs(before))
+        before=["basis_before", "realized_before"], after=["basis", "realized"],
     )
     cost_before = F.coalesce(F.try_divide(F.col("basis_before"), before), F.lit(0.0))
     return joined.withColumns(
@@ -96,7 +100,7 @@ def average_cost(
             "avg_cost": F.when(after == 0, 0.0).otherwise(F.try_divide(F.col("basis"), after)),
             "realized_pnl": -closed * (F.col("price") - cost_before),
         }
-    ).drop("basis", "basis_before", "a", "b")
+    ).drop("__a", "__b", "__c", "__d")
 
 
 def equity_curve(
@@ -108,9 +112,14 @@ def equity_curve(
     fill_order: Sequence[str] = ("fill_at",),
     width: int = DAY,
     accounts: DataFrame | None = None,
+    pnl: bool = False,
 ) -> DataFrame:
     """Cash, equity and exposure at every instant where a fill or a mark occurs.
 
+    With ``pnl`` also ``realized_pnl`` (before fees, to date) and ``unrealized_pnl`` (market
+    value of what is open less its average cost). A fill's change of basis and of realised
+    profit comes from the fold of :func:`average_cost` and is summed up along with the cash.
+
     ``accounts`` lists the runs (the run columns); each has a curve, also one that never
     traded. Without it the runs are those that have fills.
 
@@ -122,10 +131,16 @@ def equity_curve(
     """
     key = [*run, "instrument_id"]
     extra = [c for c in fill_order if c != "fill_at"]
+    if pnl:
+        fills = average_cost(fills, keys=key, order=fill_order)
+        gain = F.col("realized") - F.col("realized_before")
+        gains = {"d_basis": F.col("basis") - F.col("basis_before"), "d_realized": gain}
+    else:
+        gains = {}
     trades = fills.select(
         *key, F.col("fill_at").alias("at"), F.lit(0).alias("__kind"), *extra,
         signed_quantity().alias("signed"),
-        "price", "fee", "reference_price",
+        "price", "fee", "reference_price", *[c.alias(n) for n, c in gains.items()],
     )
     # Only instruments that trade can change the account. Marks without run columns serve
     # every run that trades the instrument.
@@ -157,6 +172,7 @@ def equity_curve(
         (value - value0).alias("net"),
         (F.abs(value) - F.abs(value0)).alias("gross"),
         ((pos != 0).cast("int") - (pos0 != 0).cast("int")).alias("count"),
+        *[F.coalesce(n, F.lit(0.0)).alias(n.removeprefix("d_")) for n in gains],
     )
     # Every publication is a snapshot, also of instruments that never trade.
     held = [c for c in run if c in marks.columns]
@@ -171,14 +187,13 @@ def equity_curve(
             .join(spread, [*held, "__spread"]).select(*run, "at")
         )
     deltas = deltas.unionByName(clock, allowMissingColumns=True).fillna(0)
-    per_instant = deltas.groupBy(*run, "at").agg(
-        *[F.sum(c).alias(f"__d_{c}") for c in ("cash", "fee", "net", "gross", "count")]
-    )
+    summed = ["cash", "fee", "net", "gross", "count", *[n.removeprefix("d_") for n in gains]]
+    per_instant = deltas.groupBy(*run, "at").agg(*[F.sum(c).alias(f"__d_{c}") for c in summed])
     frame = per_instant if run else per_instant.withColumn("__run", F.lit(0))
     total = running(
-        frame, list(run) or ["__run"], ["at"], bucket,
-        sums={c: F.col(f"__d_{c}") for c in ("cash", "fee", "net", "gross", "count")},
+        frame, list(run) or ["__run"], ["at"], bucket, sums={c: F.col(f"__d_{c}") for c in summed},
     )
+    earned = [F.col("realized").alias("realized_pnl"), (F.col("net") - F.col("basis")).alias("unrealized_pnl")]
     cash_now = F.lit(float(initial_cash)) + F.col("cash")
     return total.select(
         *run, "at",
@@ -188,67 +203,19 @@ def equity_curve(
         F.col("net").alias("net_exposure"),
         F.col("fee").alias("fees_paid"),
         F.col("count").cast("int").alias("position_count"),
+        *(earned if pnl else []),
     )
 
 
-def curve_with_pnl(
-    curve: DataFrame, costed: DataFrame, *, run: Sequence[str] = (), width: int = DAY
-) -> DataFrame:
-    """Add realised and unrealised P&L to a curve from fills with average cost."""
-    at = costed.groupBy(*run, F.col("fill_at").alias("at")).agg(
-        F.sum("realized_pnl").alias("__d_realized")
-    )
-    stacked = curve.join(at, [*run, "at"], "left")
-    frame = stacked if run else stacked.withColumn("__run", F.lit(0))
-    out = running(
-        frame, list(run) or ["__run"], ["at"], time_bucket("at", width),
-        sums={"realized_pnl": F.coalesce("__d_realized", F.lit(0.0))},
-    )
-    return out.select(*curve.columns, "realized_pnl")
-
-
-def open_cost_basis(
-    costed: DataFrame, instants: DataFrame, *, run: Sequence[str] = (), order: Sequence[str],
-    width: int = DAY,
-) -> DataFrame:
-    """Total cost basis of open positions at each instant (``at``), per run."""
-    key = [*run, "instrument_id"]
-    basis = F.col("position") * F.col("avg_cost")
-    rows = running(
-        costed.withColumn("__basis", basis), key, list(order), time_bucket(order[0], width),
-        lags={"__basis0": F.col("__basis")},
-    )
-    deltas = rows.groupBy(*run, F.col("fill_at").alias("at")).agg(
-        F.sum(F.col("__basis") - F.coalesce("__basis0", F.lit(0.0))).alias("__d")
-    )
-    frame = instants.select(*run, "at").distinct().join(deltas, [*run, "at"], "full")
-    frame = frame if run else frame.withColumn("__run", F.lit(0))
-    out = running(
-        frame, list(run) or ["__run"], ["at"], time_bucket("at", width),
-        sums={"open_basis": F.coalesce("__d", F.lit(0.0))},
-    )
-    return out.select(*run, "at", "open_basis")
-
-
-def reconcile(
-    curve: DataFrame, costed: DataFrame, *, initial_cash: float, order: Sequence[str],
-    run: Sequence[str] = (), rtol: float = RECONCILE_RTOL,
-) -> DataFrame:
+def reconcile(curve: DataFrame, *, initial_cash: float, rtol: float = RECONCILE_RTOL) -> DataFrame:
     """Instants where equity is not cash flow plus P&L; empty for a sound ledger.
 
-    Checks ``equity = initial + realised + unrealised - fees`` with unrealised = market
-    value of open positions less their cost basis.
+    Checks ``equity = initial + realised + unrealised - fees`` on a curve made with ``pnl``.
     """
-    full = curve_with_pnl(curve, costed, run=run)
-    basis = open_cost_basis(costed, curve, run=run, order=order)
-    joined = full.join(basis, [*run, "at"])
     start = F.lit(float(initial_cash))
-    right = (
-        start + F.col("realized_pnl") + (F.col("net_exposure") - F.col("open_basis"))
-        - F.col("fees_paid")
-    )
+    right = start + F.col("realized_pnl") + F.col("unrealized_pnl") - F.col("fees_paid")
     scale = F.greatest(F.abs("equity"), F.abs(right), start, F.lit(1.0))
-    return joined.withColumn("identity", right).where(
+    return curve.withColumn("identity", right).where(
         F.abs(F.col("equity") - F.col("identity")) > rtol * scale
     )
 
@@ -266,6 +233,77 @@ def stale_marks(
     return out.where((F.col("position") != 0) & (F.col("age_us") > micros(limit)))
 
 
+def stale_spans(
+    held: DataFrame, marks: DataFrame, clock: DataFrame, *, at: str = "fill_at", limit,
+    run: Sequence[str] = (), order: Sequence[str] = (), width: int = LEDGER_BUCKET,
+) -> DataFrame:
+    """Spans in which an open position is valued at a mark older than ``limit``.
+
+    ``held`` are fills with their ``position`` (:func:`positions`), in ``order``; ``marks`` hold
+    ``instrument_id, at``; ``clock`` the instants ``at`` at which the book is valued. A span
+    begins when the last mark passes the limit while the position is open, or when a position
+    is opened behind such a mark, and ends with a fresh mark or a flat position. One row per
+    key and span the clock sees: ``mark_at, stale_from, stale_to`` (null while it lasts),
+    ``first_at`` and ``occurrences``, the clock's first instant within and their number.
+
+    Fills, marks and the instants at which marks expire are one ordered scan; spans meet the
+    clock by counting its instants, not by pairing with them.
+    """
+    key, gap = [*run, "instrument_id"], micros(limit)
+    last = F.struct(*[F.col(c) for c in (order or [at])], "position")
+    fills = held.groupBy(*key, F.col(at).alias("at")).agg(F.max(last)["position"].alias("position"))
+    priced = marks.select(*[c for c in key if c in marks.columns], "at").distinct()
+    shared = [c for c in key if c in priced.columns]
+    priced = priced.join(held.select(*key).distinct(), shared).select(*key, "at", F.col("at").alias("mark_at"))
+    expired = priced.select(*key, F.timestamp_micros(F.unix_micros("at") + gap).alias("at"))
+    events = fills.unionByName(priced, allowMissingColumns=True).unionByName(expired, allowMissingColumns=True)
+    events = events.groupBy(*key, "at").agg(F.max("position").alias("position"), F.max("mark_at").alias("mark_at"))
+    bucket = time_bucket("at", width)
+    seen = running(events, key, ["at"], bucket, lasts={"held": F.col("position"), "mark": F.col("mark_at")})
+    open_ = F.coalesce(F.col("held"), F.lit(0.0)) != 0
+    age = elapsed("at", "mark")
+    # Stale just after this instant; `now` if at it already.
+    state = seen.select(
+        *key, "at", F.col("mark").alias("mark_at"), F.coalesce(open_ & (age >= gap), F.lit(False)).alias("stale"),
+        F.coalesce(open_ & (age > gap), F.lit(False)).alias("now"),
+    )
+    turned = running(state, key, ["at"], bucket, lags={"before": F.col("stale")})
+    turned = turned.where(F.col("stale") != F.coalesce("before", F.lit(False)))
+    # Beginnings and ends alternate, beginning first.
+    placed = with_position(turned, key, ["at"], bucket, "__i").withColumn("__span", bucket_of(F.col("__i"), 2))
+    begins = F.col("stale")
+    spans = placed.groupBy(*key, "__span").agg(
+        F.max(F.when(begins, F.col("mark_at"))).alias("mark_at"),
+        F.max(F.when(begins, F.col("at"))).alias("stale_from"),
+        F.max(F.when(~begins, F.col("at"))).alias("stale_to"),
+        F.max(F.when(begins, F.col("now").cast("int"))).alias("__now"),
+    ).drop("__span")
+    spans = staged(spans, "spans")
+    first = F.unix_micros("stale_from") + 1 - F.col("__now")
+    counted = _counted_before(clock, spans.select(first.alias("us")).unionByName(spans.select(F.unix_micros("stale_to").alias("us"))), width)
+    ahead, total = counted.select(F.col("us").alias("__us"), "__n", "__next"), clock.select("at").distinct().count()
+    out = spans.withColumn("__us", first).join(ahead, "__us").withColumnsRenamed({"__n": "__n0", "__next": "first_us"})
+    out = out.drop("__us").withColumn("__us", F.unix_micros("stale_to")).join(ahead.drop("__next"), "__us", "left")
+    number = F.coalesce("__n", F.lit(total)) - F.col("__n0")
+    return out.withColumn("occurrences", number.cast("bigint")).where("occurrences > 0").select(
+        *key, "mark_at", "stale_from", "stale_to", F.timestamp_micros("first_us").alias("first_at"), "occurrences"
+    )
+
+
+def _counted_before(clock: DataFrame, moments: DataFrame, width: int) -> DataFrame:
+    """``us, __n, __next``: how many instants of the clock lie before each moment, and the next."""
+    ticks = clock.select(F.unix_micros("at").alias("us")).distinct().select("us", F.lit(1).alias("__tick"))
+    asked = moments.where("us is not null").distinct().select("us", F.lit(0).alias("__tick"))
+    both = ticks.unionByName(asked).withColumn("__all", F.lit(0))
+    before = running(both, ["__all"], ["us", "__tick"], bucket_of(F.col("us"), width), sums={"__n": F.col("__tick")})
+    back = before.withColumns({"__back": -F.col("us"), "__last": -F.col("__tick")})
+    after = running(
+        back, ["__all"], ["__back", "__last"], bucket_of(F.col("__back"), width),
+        lasts={"__next": F.when(F.col("__tick") == 1, F.col("us"))},
+    )
+    return after.where("__tick = 0").select("us", "__n", "__next")
+
+
 def short_positions(held: DataFrame) -> DataFrame:
     """Sells that leave a position below zero."""
     return held.where((F.col("side") == "sell") & (F.col("position") < -1e-12))

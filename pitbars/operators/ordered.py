@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import bucket_of
+from pitbars.session import staged
 
 CHUNK_ROWS = 8192
 
@@ -126,6 +127,20 @@ def running(
     )
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "__part") -> DataFrame:
+    """Store ``df`` range-partitioned by ``(keys, order)``, with its partition's number.
+
+    Spark draws a sample and chooses the boundaries, so a key is cut wherever its rows lie:
+    values close to each other are told apart like any others. The number does not decrease
+    along ``order`` within a key and serves :func:`running` as its bucket. Rows equal in all
+    of ``order`` stay together; count them first where there may be many. The result is
+    stored, because a second sample would give other boundaries.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *keys, *order)
+    return staged(cut.withColumn(name, F.spark_partition_id().cast("bigint")), "ranged")
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "pos"
 ) -> DataFrame:
@@ -153,8 +168,8 @@ def rolling(
     """
     if chunk_rows is None:
         plain = Window.partitionBy(*keys).orderBy(*order)
-        staged = df.withColumns(dict(first(plain))) if first else df
-        return staged.withColumns(dict(build(plain)))
+        begun = df.withColumns(dict(first(plain))) if first else df
+        return begun.withColumns(dict(build(plain)))
     size = max(chunk_rows, lookback, 1)
     placed = with_position(df, keys, order, bucket, "__pos")
     home = bucket_of(F.col("__pos"), size)
@@ -166,9 +181,9 @@ def rolling(
         ),
     )
     spec = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    staged = spread.withColumns(dict(first(spec))) if first else spread
+    begun = spread.withColumns(dict(first(spec))) if first else spread
     return (
-        staged.withColumns(dict(build(spec)))
+        begun.withColumns(dict(build(spec)))
         .where(F.col("__chunk") == F.col("__home"))
         .drop("__pos", "__home", "__chunk")
     )
@@ -178,20 +193,51 @@ def rolling(
 class Fold:
     """A left fold whose steps compose, so that a stretch of rows is again a step.
 
-    A step is a row of a float matrix. All functions work on whole columns: ``step`` makes
-    the steps of a batch from its input columns, ``compose`` joins two steps row by row, the
-    first argument coming first, and ``apply`` takes states over steps. ``identity`` is the
-    step that changes nothing.
+    A step is a row of a float matrix, and so is a state. All functions work on whole columns:
+    ``step`` makes the steps of a batch from its input columns, ``compose`` joins two steps row
+    by row, the first argument coming first, and ``apply`` takes states over steps.
+    ``identity`` is the step that changes nothing.
     """
 
     inputs: tuple[str, ...]
-    start: float
+    start: tuple[float, ...]
     identity: tuple[float, ...]
     step: Callable[..., np.ndarray]
     compose: Callable[[np.ndarray, np.ndarray], np.ndarray]
     apply: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+def affine_fold(
+    inputs: Sequence[str], start: Sequence[float], step: Callable[..., tuple[np.ndarray, np.ndarray]]
+) -> Fold:
+    """A fold of steps ``state -> A state + b`` on state vectors of any size.
+
+    ``step`` makes ``A`` (rows × size × size) and ``b`` (rows × size) from the input columns.
+    Composing two steps multiplies their matrices.
+    """
+    size = len(start)
+
+    def parts(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return steps[:, : size * size].reshape(-1, size, size), steps[:, size * size :]
+
+    def packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.concatenate([a.reshape(len(a), -1), b], axis=1)
+
+    def compose(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        (a1, b1), (a2, b2) = parts(x), parts(y)
+        return packed(a2 @ a1, np.einsum("nij,nj->ni", a2, b1) + b2)
+
+    def apply(states: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        a, b = parts(steps)
+        return np.einsum("nij,nj->ni", a, states) + b
+
+    return Fold(
+        inputs=tuple(inputs), start=tuple(start),
+        identity=(*np.eye(size).reshape(-1), *np.zeros(size)),
+        step=lambda *columns: packed(*step(*columns)), compose=compose, apply=apply,
+    )
+
+
 def _scan(fold: Fold, steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Per row, the composition of all steps of its segment up to and including it.
 
@@ -238,6 +284,10 @@ def fold_rows(
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     group = [*keys, _BUCKET]
     parts = [f"__s{i}" for i in range(len(fold.identity))]
+    held = [f"__state{i}" for i in range(len(fold.start))]
+    befores = [before] if isinstance(before, str) else list(before)
+    afters = [after] if isinstance(after, str) else list(after)
+    start = np.array([fold.start], dtype=float)
     work = df.withColumn(_BUCKET, bucket)
 
     def summarise(batches):
@@ -261,7 +311,7 @@ def fold_rows(
             )
 
     def chain(batches):
-        last_key, last_group, state = None, None, np.array([fold.start])
+        last_key, last_group, state = None, None, start
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -270,17 +320,17 @@ def fold_rows(
             steps = np.stack(_columns(batch, parts), axis=1)
             scanned = _scan(fold, steps, new_key)
             carried = np.cumsum(new_key) == 0
-            base = np.where(carried, state[0], fold.start)
+            base = np.where(carried[:, None], state, start)
             states = fold.apply(base, _shifted(fold, scanned, new_key))
             state = fold.apply(base[-1:], scanned[-1:])
             rows = np.flatnonzero(new_group)
             picked = batch.select(group).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [*picked.columns, pa.array(states[rows])], names=[*group, "__state"]
+                [*picked.columns, *[pa.array(c) for c in states[rows].T]], names=[*group, *held]
             )
 
     def trace(batches):
-        state = np.array([fold.start])
+        state = start
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -289,15 +339,15 @@ def fold_rows(
             steps = np.tile(np.array(fold.identity), (len(data), 1))
             steps[data] = fold.step(*_columns(batch.filter(pa.array(data)), fold.inputs))
             scanned = _scan(fold, steps, ~data)
-            brought = batch.column("__state").to_numpy(zero_copy_only=False)
+            brought = np.stack(_columns(batch, held), axis=1)
             begin = np.maximum.accumulate(np.where(~data, np.arange(len(data)), -1))
-            base = np.where(begin < 0, state[0], brought[np.maximum(begin, 0)])
-            befores, afters = fold.apply(base, _shifted(fold, scanned, ~data)), fold.apply(base, scanned)
-            state = afters[-1:]
+            base = np.where(begin[:, None] < 0, state, brought[np.maximum(begin, 0)])
+            entered, left = fold.apply(base, _shifted(fold, scanned, ~data)), fold.apply(base, scanned)
+            state = left[-1:]
             kept = batch.filter(pa.array(data)).select(columns)
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(befores[data]), pa.array(afters[data])],
-                names=[*columns, before, after],
+                [*kept.columns, *[pa.array(c) for c in (*entered[data].T, *left[data].T)]],
+                names=[*columns, *befores, *afters],
             )
 
     slim = work.select(*group, *[c for c in order if c not in group], *fold.inputs)
@@ -309,7 +359,7 @@ def fold_rows(
     states = (
         summed.repartition(*keys)
         .sortWithinPartitions(*group, "__part")
-        .mapInArrow(chain, f"{head}, {_BUCKET} BIGINT, __state DOUBLE")
+        .mapInArrow(chain, f"{head}, {_BUCKET} BIGINT, " + ", ".join(f"{c} DOUBLE" for c in held))
     )
     both = work.withColumn(_DATA, F.lit(1)).unionByName(
         states.withColumn(_DATA, F.lit(0)), allowMissingColumns=True
@@ -318,7 +368,7 @@ def fold_rows(
     return (
         both.repartition(*group)
         .sortWithinPartitions(*group, _DATA, *order)
-        .mapInArrow(trace, f"{schema}, {before} DOUBLE, {after} DOUBLE")
+        .mapInArrow(trace, schema + "".join(f", {c} DOUBLE" for c in (*befores, *afters)))
     )
 
 

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitbars.functions.scalars import instant, overlaps, shift
-from pitbars.operators.joins import interval_join
+from pitbars.functions.scalars import instant, shift
+from pitbars.operators.joins import interval_join, outside_ranges, overlap_join
 from pitbars.types import micros, require_columns, utc
 
 FITTABLE = ("train",)
@@ -108,9 +108,8 @@ def walk_forward(span: DataFrame, plan: WalkForward, exclude: DataFrame | None =
         )
     )
     if exclude is not None:
-        hit = overlaps(F.col("reach_start"), F.col("reach_end"), F.col("x_start"), F.col("x_end"))
-        banned = exclude.select(F.col("start").alias("x_start"), F.col("end").alias("x_end"))
-        folds = folds.join(banned, hit, "left_anti")
+        touched = overlap_join(folds, exclude, left_range=("reach_start", "reach_end")).select("k").distinct()
+        folds = folds.join(touched, "k", "left_anti")
     # Metadata: one row per fold, so one task numbers them.
     folds = folds.withColumn(
         "fold", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k")) - 1).cast("int")
@@ -172,15 +171,12 @@ def fixed_split(
 
 def train_exclusions(folds: DataFrame) -> DataFrame:
     """Embargoes of earlier folds that reach into a later fold's training range."""
-    embargo = folds.where("role = 'embargo'").select(
-        F.col("fold").alias("from_fold"), F.col("start").alias("x_start"), F.col("end").alias("x_end")
-    )
+    embargo = folds.where("role = 'embargo'").select("fold", "start", "end")
     train = folds.where("role = 'train'").select("fold", "start", "end")
-    hit = (F.col("from_fold") < F.col("fold")) & overlaps(
-        F.col("start"), F.col("end"), F.col("x_start"), F.col("x_end")
-    )
-    return train.join(embargo, hit).select(
-        "fold", "from_fold", F.col("x_start").alias("start"), F.col("x_end").alias("end")
+    met = overlap_join(train, embargo, condition=F.col("right_fold") < F.col("fold"))
+    return met.select(
+        "fold", F.col("right_fold").alias("from_fold"), F.col("right_start").alias("start"),
+        F.col("right_end").alias("end"),
     )
 
 
@@ -245,9 +241,7 @@ def outside(ranges_rows: Sequence[tuple], on: str = "bar_start") -> Column:
 
 def development_rows(rows: DataFrame, windows: DataFrame, *, on: str = "bar_start") -> DataFrame:
     """Rows outside every sealed window and its gaps."""
-    w = guarded(windows).select(F.col("start").alias("x_start"), F.col("end").alias("x_end"))
-    hit = (F.col(on) >= F.col("x_start")) & (F.col(on) < F.col("x_end"))
-    return rows.join(w, hit, "left_anti")
+    return outside_ranges(rows, guarded(windows), at=on)
 
 
 def touching_folds(folds: DataFrame, windows: DataFrame) -> DataFrame:
@@ -255,11 +249,7 @@ def touching_folds(folds: DataFrame, windows: DataFrame) -> DataFrame:
     reach = folds.where("role != 'embargo'").groupBy("fold").agg(
         F.min("start").alias("start"), F.max("end").alias("end")
     )
-    w = guarded(windows).select(
-        "name", F.col("start").alias("x_start"), F.col("end").alias("x_end")
-    )
-    hit = overlaps(F.col("start"), F.col("end"), F.col("x_start"), F.col("x_end"))
-    return reach.join(w, hit).select("fold", "name")
+    return overlap_join(reach, guarded(windows)).select("fold", F.col("right_name").alias("name"))
 
 
 def check_sealed(folds: DataFrame, windows: DataFrame, *, unsealed: Sequence[str] = ()) -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from pitbars.functions.rules import check_features, target_weight
 from pitbars.functions.scalars import bucket_of, instant, time_bucket
 from pitbars.operators.joins import interval_join
 from pitbars.operators.ordered import Fold, fold_rows, running
+from pitbars.session import staged
 from pitbars.types import DAY, micros
 
 
@@ -127,6 +127,43 @@ def top_k(
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
 
 
+def rule_changes(
+    targets: DataFrame, instants: DataFrame, *, entity: str = "instrument_id", at: str = "decision_at",
+    width: int = DAY,
+) -> DataFrame:
+    """Targets as changes: what a book has to do at each instant to follow its targets.
+
+    ``targets`` holds ``entity, at, target``, one row per name and instant at most; the names
+    whose target is not zero (nor missing) are the instant's qualifying set. A name that
+    enters the set, or whose target moves within it, yields its target. A name that was in the
+    set at the instant before and is not in it now yields a closing zero, whether it has a row
+    at this instant or none. ``instants`` is the clock; instants without any row close
+    everything. Adds ``previous_target``.
+
+    Instants are numbered once; a name that stays is one whose last number is one less. The
+    next number is found likewise, so the set is never compared with itself.
+    """
+    clock = instants.select(at).distinct().withColumn("__all", F.lit(0))
+    numbered = running(clock, ["__all"], [at], time_bucket(at, width), sums={"__no": F.lit(1).cast("bigint")})
+    numbered = staged(numbered.select(at, "__no"), "clock")
+    inside = targets.where((F.col("target") != 0) & ~F.isnan("target")).select(entity, at, "target")
+    inside = inside.join(numbered, at)
+    order, bucket = [at], time_bucket(at, width)
+    state = F.struct("__no", "target")
+    seen = running(inside, [entity], order, bucket, lags={"__last": state})
+    back = seen.withColumn("__back", -F.unix_micros(at))
+    seen = staged(
+        running(back, [entity], ["__back"], bucket_of(F.col("__back"), width), lags={"__next": F.col("__no")}), "qualifying"
+    )
+    stayed = F.coalesce(F.col("__last.__no") == F.col("__no") - 1, F.lit(False))
+    before = F.when(stayed, F.col("__last.target")).otherwise(0.0)
+    moved = seen.select(entity, at, "target", before.alias("previous_target")).where("target != previous_target")
+    left = seen.where(F.col("__next").isNull() | (F.col("__next") > F.col("__no") + 1))
+    closing = left.select(entity, (F.col("__no") + 1).alias("__no"), F.col("target").alias("previous_target"))
+    closing = closing.join(numbered, "__no").select(entity, at, F.lit(0.0).alias("target"), "previous_target")
+    return moved.unionByName(closing)
+
+
 def target_changes(
     targets: DataFrame, *, keys: Sequence[str] = ("instrument_id",), at: str = "decision_at",
     tiebreak: Sequence[str] = ("bar_start",), width: int = DAY,
@@ -203,11 +240,11 @@ def hysteresis(
     inputs = ("from_short", "from_flat", "from_long")
     fold = Fold(
         inputs=inputs,
-        start=0.0,
+        start=(0.0,),
         identity=(-1.0, 0.0, 1.0),
         step=lambda *to: np.stack(to, axis=1).astype(float),
         compose=lambda x, y: np.take_along_axis(y, x.astype(int) + 1, axis=1),
-        apply=lambda state, s: np.take_along_axis(s, state.astype(int)[:, None] + 1, axis=1)[:, 0],
+        apply=lambda state, s: np.take_along_axis(s, state.astype(int) + 1, axis=1),
     )
     done = fold_rows(moves, list(keys), [at], time_bucket(at, width), fold)
     return done.select(*rows.columns, F.col("after").cast("int").alias("state"))
@@ -215,70 +252,50 @@ def hysteresis(
 
 def scheduled(
     instants: DataFrame, every, *, keys: Sequence[str] = (), at: str = "decision_at",
-    periods: int = 1024,
+    width: str | int = DAY,
 ) -> DataFrame:
     """The first instant, then each first instant at least ``every`` after the last chosen.
 
-    Greedy and sequential, so it runs at two levels. Instants are cut into stretches of
-    ``periods`` times ``every``. Only an instant within ``every`` of a stretch's start (or
-    the first after it) can be the stretch's first choice; for each of those the stretch
-    reports its last choice. One task per key chains these few rows, and every stretch is
-    then replayed from its known first choice.
+    The choice is sequential, but where it goes from an instant does not depend on how it got
+    there. One ordered scan finds every instant's successor; the successors are then followed
+    by doubling: in round ``k`` the instants chosen so far jump ``2 ** k`` choices ahead at
+    once, and the jumps are joined with themselves. Only the first instant and instants that
+    are somebody's successor can be chosen, so no others are jumped from. Rounds are stored;
+    there are about log2 of the number of choices. A clock that belongs to one key is spread
+    over its own instants. Missing instants are left out.
     """
     gap = micros(every)
-    width = gap * periods
-    us = F.unix_micros(at)
     named = list(keys) or ["__all"]
     base = instants if keys else instants.withColumn("__all", F.lit(0))
-    rows = base.select(*named, us.alias("us"), bucket_of(us, width).alias("stretch")).distinct()
-    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n in named)
-
-    def replay(moments: np.ndarray, i: int) -> list[int]:
-        chosen = [i]
-        while (i := int(np.searchsorted(moments, moments[i] + gap))) < len(moments):
-            chosen.append(i)
-        return chosen
-
-    def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        moments = np.sort(pdf["us"].to_numpy())
-        limit = int(key[-1]) * width + gap
-        count = min(int(np.searchsorted(moments, limit)) + 1, len(moments))
-        last = [int(moments[replay(moments, i)[-1]]) for i in range(count)]
-        out = pd.DataFrame({"stretch": key[-1], "us": moments[:count], "last": last})
-        for name, value in zip(named, key[:-1]):
-            out[name] = value
-        return out[[*named, "stretch", "us", "last"]]
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, free = [], None
-        for stretch, part in pdf.sort_values(["stretch", "us"]).groupby("stretch", sort=True):
-            open_now = part if free is None else part[part["us"] >= free]
-            if len(open_now):
-                first = open_now.iloc[0]
-                out.append((*key, int(stretch), int(first["us"])))
-                free = int(first["last"]) + gap
-        return pd.DataFrame(out, columns=[*named, "stretch", "entry"])
-
-    def expand(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        moments = np.sort(pdf["us"].to_numpy())
-        start = int(np.searchsorted(moments, int(pdf["entry"].iloc[0])))
-        out = pd.DataFrame({"us": moments[replay(moments, start)]})
-        for name, value in zip(named, key[:-1]):
-            out[name] = value
-        return out[[*named, "us"]]
-
-    found = rows.groupBy(*named, "stretch").applyInPandas(
-        entries, f"{kinds}, stretch BIGINT, us BIGINT, last BIGINT"
-    )
-    firsts = found.groupBy(*named).applyInPandas(chain, f"{kinds}, stretch BIGINT, entry BIGINT")
-    chosen = (
-        rows.join(firsts, [*named, "stretch"])
-        .groupBy(*named, "stretch")
-        .applyInPandas(expand, f"{kinds}, us BIGINT")
+    moments = staged(
+        base.where(F.col(at).isNotNull()).select(*named, F.unix_micros(at).alias("us")).distinct(), "instants"
     )
+    hops = _successors(moments, named, gap, width)
+    chosen = moments.groupBy(*named).agg(F.min("us").alias("us"))
+    targets = hops.select(*named, F.col("next").alias("us")).unionByName(chosen).distinct()
+    jumps = staged(hops.join(targets, [*named, "us"]), "jumps")
+    while not jumps.isEmpty():
+        ahead = chosen.join(jumps, [*named, "us"]).select(*named, F.col("next").alias("us"))
+        chosen = staged(chosen.unionByName(ahead), "chosen")
+        further = jumps.select(*named, F.col("next").alias("further"), F.col("us").alias("next"))
+        jumps = staged(
+            jumps.join(further, [*named, "next"]).select(*named, "us", F.col("further").alias("next")), "jumps"
+        )
     return chosen.select(*keys, F.timestamp_micros("us").alias(at))
 
 
+def _successors(moments: DataFrame, keys: Sequence[str], gap: int, width: str | int) -> DataFrame:
+    """``us, next``: the first moment at least ``gap`` after each one that has such a moment."""
+    probes = moments.select(*keys, (-F.col("us") - gap).alias("back"), F.lit(1).alias("kind"), F.col("us").alias("from"))
+    there = moments.select(*keys, (-F.col("us")).alias("back"), F.lit(0).alias("kind"), F.col("us").alias("to"))
+    # Latest first, so the last moment seen is the earliest at or after the probe.
+    seen = running(
+        there.unionByName(probes, allowMissingColumns=True), list(keys), ["back", "kind"],
+        bucket_of(F.col("back"), micros(width)), lasts={"next": F.col("to")},
+    )
+    return seen.where("kind = 1 and next is not null").select(*keys, F.col("from").alias("us"), "next")
+
+
 def weights_at(instants: DataFrame, published: DataFrame, weights: Mapping[str, float], *,
                at: str = "decision_at") -> DataFrame:
     """Target weights at each instant for the listed names that have published by then."""

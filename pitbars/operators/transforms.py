@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import clip
+from pitbars.operators.ordered import group_totals, ranged, running
 from pitbars.types import require_columns
 
 
@@ -57,21 +58,19 @@ def fit_winsor(
 def exact_quantiles(
     rows: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]
 ) -> DataFrame:
-    """Linearly interpolated quantiles per key over any number of values."""
-    from pitbars.operators.crosssection import value_bucket
-    from pitbars.operators.ordered import group_totals, running
+    """Linearly interpolated quantiles per key over any number of values.
 
+    Equal values are counted first; the counts are cut into ranges of values and summed up
+    along them, so neither a key nor a repeated value is one task's work.
+    """
     counts = (
         rows.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    placed = running(
-        counts, keys, ["__v"], value_bucket(F.col("__v")), sums={"__upto": F.col("__n")}
-    )
-    joined = group_totals(
-        placed, list(keys), value_bucket(F.col("__v")), sums={"__total": F.col("__n")}
-    )
+    cut = ranged(counts, keys, ["__v"])
+    placed = running(cut, keys, ["__v"], F.col("__part"), sums={"__upto": F.col("__n")})
+    joined = group_totals(placed, list(keys), F.col("__part"), sums={"__total": F.col("__n")})
     first = F.col("__upto") - F.col("__n")
     picks, mixes = [], []
     for name, p in wanted.items():

@@ -612,6 +612,34 @@ add(
       {LIFT} FROM bars WINDOW m AS (PARTITION BY bar_start)""",
     "close close_xrank",
 )
+CROWD = """crowd AS (SELECT CAST(l_partkey AS VARCHAR) || '|' || CAST(l_orderkey AS VARCHAR) || '|'
+    || CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR) || '|'
+    || CAST(epoch_us(l_shipdate) AS VARCHAR) AS instrument_id, date_trunc('year', l_shipdate)::TIMESTAMP AS bar_start,
+    date_trunc('year', l_shipdate)::TIMESTAMP + INTERVAL 1 DAY AS available_at,
+    100 + (l_partkey % 500) / 100 AS narrow, 7.0::DOUBLE AS same FROM lineitem)"""
+add(
+    "cross_rank_close_values",
+    f"""WITH {CROWD} SELECT *, rank() OVER u + (count(*) OVER (PARTITION BY bar_start, narrow) - 1) / 2.0 AS rank_average,
+      CAST(dense_rank() OVER u AS DOUBLE) AS rank_dense,
+      CAST(row_number() OVER (PARTITION BY bar_start ORDER BY narrow, instrument_id) AS DOUBLE) AS rank_ordinal
+    FROM crowd WINDOW u AS (PARTITION BY bar_start ORDER BY narrow)""",
+    "narrow same rank_average rank_dense rank_ordinal",
+)
+add(
+    "cross_rank_repeated_value",
+    f"""WITH {CROWD} SELECT instrument_id, bar_start, available_at, same, (1 + count(*) OVER m) / 2.0 AS rank_average,
+      CAST(count(*) OVER m AS DOUBLE) AS rank_max,
+      CAST(row_number() OVER (PARTITION BY bar_start ORDER BY instrument_id) AS DOUBLE) AS rank_ordinal
+    FROM crowd WINDOW m AS (PARTITION BY bar_start)""",
+    "same rank_average rank_max rank_ordinal",
+)
+add(
+    "quantiles_of_close_values",
+    f"""WITH {CROWD}, v AS (SELECT CAST(year(bar_start) AS INTEGER) AS fold, 'narrow' AS "column", narrow AS v FROM crowd
+      UNION ALL SELECT CAST(year(bar_start) AS INTEGER), 'same', same FROM crowd)
+    SELECT fold, "column", quantile_cont(v, 0.013) AS lower, quantile_cont(v, 0.77) AS upper FROM v GROUP BY 1, 2""",
+    "lower upper",
+)
 add(
     "cross_rank_methods",
     f"""WITH {USERS}, t AS (SELECT *, count(*) OVER (PARTITION BY bar_start, trade_count) AS ties,
@@ -700,6 +728,13 @@ add(
     f"""WITH {BARS} SELECT instrument_id, count(*) AS n, CAST(sum(trade_count) AS BIGINT) AS trades
     FROM bars WHERE NOT (bar_start >= {SEAL[0]} AND bar_start < {SEAL[1]}) GROUP BY 1""",
 )
+add(
+    "sealed_exclusion_by_table",
+    f"""WITH {BARS}, w AS (SELECT {START} + to_microseconds(n_nationkey * {14 * H} - n_regionkey * {H}) AS lo,
+      {START} + to_microseconds(n_nationkey * {14 * H} + {3 * H} + n_regionkey * {H}) AS hi FROM nation)
+    SELECT instrument_id, bar_start, trade_count FROM bars b
+    WHERE NOT EXISTS (SELECT 1 FROM w WHERE b.bar_start >= lo AND b.bar_start < hi)""",
+)
 EXCL = """excl AS (SELECT t.fold, e.fold AS from_fold, e."start", e."end" FROM folds t JOIN folds e
   ON t.role = 'train' AND e.role = 'embargo' AND e.fold < t.fold
   AND t."start" < e."end" AND e."start" < t."end")"""
@@ -739,10 +774,9 @@ add(
     "transform_winsor",
     f"""WITH {SCORED}, st AS (SELECT fold, quantile_cont(ret_1, 0.05) AS lo, quantile_cont(ret_1, 0.9) AS hi
       FROM train GROUP BY 1)
-    SELECT f.fold, instrument_id, bar_start,
+    SELECT f.fold, f.role AS split_role, instrument_id, bar_start,
       CASE WHEN ret_1 IS NOT NULL THEN greatest(least(ret_1, hi), lo) END AS ret_1
-    FROM scored s JOIN folds f ON f.role = 'test'
-      AND s.available_at >= f."start" AND s.available_at < f."end" JOIN st USING (fold)""",
+    FROM scored s JOIN folds f ON s.available_at >= f."start" AND s.available_at < f."end" JOIN st USING (fold)""",
     "ret_1",
 )
 add(
@@ -801,6 +835,19 @@ add(
     f"WITH {RULED} SELECT instrument_id, bar_start, available_at, target FROM aimed",
     "target",
 )
+add(
+    "rule_target_changes",
+    f"""WITH {RULED}, pick AS (SELECT instrument_id, bar_start, target FROM aimed WHERE target <> 0
+      QUALIFY row_number() OVER (PARTITION BY bar_start
+        ORDER BY ret_1 DESC NULLS LAST, instrument_id DESC) <= 2),
+    g AS (SELECT i.instrument_id, c.bar_start, coalesce(p.target, 0.0) AS target
+      FROM (SELECT DISTINCT instrument_id FROM bars) i, (SELECT DISTINCT bar_start FROM bars) c
+      LEFT JOIN pick p ON p.instrument_id = i.instrument_id AND p.bar_start = c.bar_start),
+    l AS (SELECT *, coalesce(lag(target) OVER (PARTITION BY instrument_id ORDER BY bar_start), 0.0)
+      AS previous_target FROM g)
+    SELECT instrument_id, bar_start, target, previous_target FROM l WHERE target <> previous_target""",
+    "target previous_target",
+)
 add(
     "rule_topk",
     f"""WITH {RULED}, pick AS (SELECT instrument_id, bar_start FROM aimed WHERE target <> 0
@@ -887,7 +934,7 @@ ORDERS = f"""{EST},
 ask AS (SELECT instrument_id, available_at AS signal_at,
     CASE WHEN close > open THEN 'buy' ELSE 'sell' END AS side, CAST(trade_count * 5 AS DOUBLE) AS quantity,
     instrument_id || '|' || CAST(epoch_us(bar_start) AS VARCHAR) AS order_id
-  FROM bars WHERE {HOUR_NO} % 3 = 0),
+  FROM bars),
 uniq AS (SELECT * FROM est QUALIFY row_number() OVER (
     PARTITION BY instrument_id, available_at ORDER BY bar_start DESC) = 1),
 ords AS (SELECT a.*, a.signal_at AS order_at, a.signal_at + INTERVAL 1 SECOND AS eligible_at,
@@ -1000,18 +1047,18 @@ add(
     "size_targets",
     f"""WITH b AS (SELECT o_orderdate AS decision_at, CAST(o_custkey AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR)
         AS instrument_id, o_orderkey AS ok, o_custkey AS ck, o_totalprice FROM orders),
-    i AS (SELECT decision_at, instrument_id, ok,
-        CASE ok % 3 WHEN 0 THEN (ck % 41 - 20) * 2.5 WHEN 1 THEN (ck % 23 - 4) / 20 ELSE (ck % 31 - 5) * 3.0
-        END AS value, ok % 97 = 0 AS stale FROM b WHERE ok % 5 <> 4),
-    h AS (SELECT decision_at, instrument_id, CASE WHEN ok % 83 <> 0 THEN round(o_totalprice / 1000, 2) END AS mark,
+    i AS (SELECT decision_at, instrument_id, CASE WHEN ok % 5 = 4 THEN 0 ELSE ok % 3 END AS kind,
+        CASE WHEN ok % 5 = 4 THEN 0.0 WHEN ok % 3 = 0 THEN (ck % 41 - 20) * 2.5 WHEN ok % 3 = 1 THEN (ck % 23 - 4) / 20
+        ELSE (ck % 31 - 5) * 3.0 END AS value, ok % 97 = 0 AS stale FROM b),
+    h AS (SELECT decision_at, instrument_id || CASE WHEN ok % 89 = 0 THEN '?' ELSE '' END AS instrument_id, CASE WHEN ok % 83 <> 0 THEN round(o_totalprice / 1000, 2) END AS mark,
         CAST(ck % 7 * 10 AS DOUBLE) AS position, CAST(ck % 3 * 5 AS DOUBLE) AS pending,
-        CASE WHEN ck % 2 = 0 THEN 1.0 ELSE 0.5 END AS increment FROM b WHERE ok % 89 <> 0),
+        CASE WHEN ck % 2 = 0 THEN 1.0 ELSE 0.5 END AS increment FROM b),
     d AS (SELECT decision_at, count(*) * 9000.0 AS equity, count(*) * 2500.0 AS cash FROM b GROUP BY 1),
     s0 AS (SELECT i.*, mark, increment, equity, cash, coalesce(position, 0) + coalesce(pending, 0) AS base
       FROM i JOIN d USING (decision_at) LEFT JOIN h USING (decision_at, instrument_id)),
     s1 AS (SELECT *, CASE WHEN stale THEN 'stale_intent' WHEN increment IS NULL THEN 'unknown_instrument'
-        WHEN ok % 3 = 1 AND coalesce(mark <= 0, true) THEN 'no_mark' END AS rej,
-        CASE ok % 3 WHEN 0 THEN value WHEN 1 THEN value * equity / mark - base ELSE value - base END AS req FROM s0),
+        WHEN kind = 1 AND coalesce(mark <= 0, true) THEN 'no_mark' END AS rej,
+        CASE kind WHEN 0 THEN value WHEN 1 THEN value * equity / mark - base ELSE value - base END AS req FROM s0),
     s2 AS (SELECT *, CASE WHEN base + req < 0 THEN -base ELSE req END AS asked FROM s1),
     s3 AS (SELECT * EXCLUDE (rej), CASE WHEN rej IS NULL THEN {toward('asked')} ELSE 0.0 END AS q3, rej AS rej3 FROM s2),
     s4 AS (SELECT *, coalesce(rej3, CASE WHEN q3 = 0 AND req <> 0 THEN
@@ -1117,6 +1164,49 @@ add(
     "cash equity gross_exposure net_exposure fees_paid",
     3,
 )
+add(
+    "ledger_pnl_curve",
+    f"""WITH RECURSIVE {CURVE},
+    hm AS MATERIALIZED (SELECT scenario, instrument_id, fill_at, price, signed, row_number() OVER w AS rn,
+        sum(signed) OVER w AS position, sum(signed) OVER w - signed AS position_before
+      FROM bk WINDOW w AS (PARTITION BY scenario, instrument_id ORDER BY fill_at, order_id, n ROWS UNBOUNDED PRECEDING)),
+    hs AS MATERIALIZED (SELECT * REPLACE (CASE WHEN abs(position) <= 1e-9 THEN 0 ELSE position END AS position,
+        CASE WHEN abs(position_before) <= 1e-9 THEN 0 ELSE position_before END AS position_before) FROM hm),
+    walk AS (SELECT scenario, instrument_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS pnl
+      FROM (SELECT DISTINCT scenario, instrument_id FROM hs)
+      UNION ALL
+      SELECT h.scenario, h.instrument_id, h.rn,
+        CASE WHEN h.position = 0 THEN 0.0
+             WHEN h.position_before = 0 OR (h.position_before > 0) = (h.signed > 0)
+               THEN (h.position_before * w.cost + h.signed * h.price) / h.position
+             WHEN (h.position > 0) <> (h.position_before > 0) THEN h.price ELSE w.cost END,
+        CASE WHEN h.position_before = 0 OR (h.position_before > 0) = (h.signed > 0) THEN 0.0
+             ELSE (h.price - w.cost) * sign(h.position_before)
+                  * least(abs(h.signed), abs(h.position_before)) END
+      FROM walk w JOIN hs h ON h.scenario = w.scenario AND h.instrument_id = w.instrument_id AND h.rn = w.rn + 1),
+    step AS (SELECT scenario, fill_at, pnl, position * cost - lag(position * cost, 1, 0.0) OVER (
+        PARTITION BY scenario, instrument_id ORDER BY rn) AS db
+      FROM walk JOIN hs USING (scenario, instrument_id, rn)),
+    per AS (SELECT scenario, fill_at AS at, sum(pnl) AS dr, sum(db) AS db FROM step GROUP BY 1, 2)
+    SELECT scenario, at, equity, coalesce(sum(dr) OVER w, 0) AS realized_pnl,
+      net_exposure - coalesce(sum(db) OVER w, 0) AS unrealized_pnl
+    FROM curve LEFT JOIN per USING (scenario, at) WINDOW w AS (PARTITION BY scenario ORDER BY at)""",
+    "equity realized_pnl unrealized_pnl",
+    3,
+)
+add(
+    "ledger_stale_spans",
+    f"""WITH {HELD}, m AS (SELECT DISTINCT instrument_id,
+      make_timestamp((epoch_us(fill_at) // {90 * D}) * {90 * D}) AS at FROM fills),
+    clk AS (SELECT fill_at AS at, row_number() OVER (ORDER BY fill_at) AS no FROM (SELECT DISTINCT fill_at FROM fills)),
+    p AS (SELECT instrument_id, fill_at, arg_max(position, rn) AS position FROM held GROUP BY 1, 2),
+    g AS (SELECT i.instrument_id, c.at, c.no FROM (SELECT DISTINCT instrument_id FROM fills) i, clk c),
+    g1 AS (SELECT g.*, p.position FROM g ASOF JOIN p ON g.instrument_id = p.instrument_id AND g.at >= p.fill_at),
+    g2 AS (SELECT g1.*, m.at AS mark_at FROM g1 ASOF JOIN m ON g1.instrument_id = m.instrument_id AND g1.at >= m.at),
+    s AS (SELECT *, no - row_number() OVER (PARTITION BY instrument_id, mark_at ORDER BY no) AS island FROM g2
+      WHERE position <> 0 AND epoch_us(at) - epoch_us(mark_at) > {60 * D})
+    SELECT instrument_id, mark_at, min(at) AS first_at, count(*) AS occurrences FROM s GROUP BY instrument_id, mark_at, island""",
+)
 add(
     "ledger_reconcile",
     f"""WITH {CURVE} SELECT scenario, count(*) AS instants, CAST(0 AS BIGINT) AS violations
@@ -1330,7 +1420,8 @@ add(
       FROM tr WHERE is_open = 0),
     x AS (SELECT lo, (hi - lo) / 31 AS st, CAST(least(floor((v - lo) / ((hi - lo) / 31)), 30) AS INTEGER) AS bin
       FROM c)
-    SELECT bin, any_value(lo) + any_value(st) * bin AS bin_low, count(*) AS n FROM x GROUP BY bin""",
+    SELECT k.bin, (SELECT min(lo) FROM x) + (SELECT min(st) FROM x) * k.bin AS bin_low, count(x.bin) AS n
+    FROM (SELECT unnest(range(31))::INTEGER AS bin) k LEFT JOIN x ON k.bin = x.bin GROUP BY k.bin""",
     "bin_low",
     4,
 )

@@ -538,6 +538,38 @@ def cross_rank_methods(spark, d):
     return cross_section(_daily_users(spark, d), ranks)
 
 
+def _crowded(spark, d):
+    """Line items as members of seven yearly instants, with values within 5 % and one that repeats."""
+    li = tt.load(spark, d, "lineitem")
+    parts = ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"]
+    start = F.date_trunc("year", "l_shipdate")
+    return li.select(
+        F.concat_ws("|", *[F.col(c).cast("string") for c in parts[:4]], F.unix_micros("l_shipdate").cast("string")).alias("instrument_id"),
+        start.alias("bar_start"), shift(start, DAY).alias("available_at"),
+        (100 + F.pmod("l_partkey", F.lit(500)) / 100).alias("narrow"), F.lit(7.0).alias("same"),
+    )
+
+
+@query()
+def cross_rank_close_values(spark, d):
+    ranks = [CrossRank("narrow", pct=False, method=m, name=f"rank_{m}") for m in ("average", "dense", "ordinal")]
+    return cross_section(_crowded(spark, d), ranks)
+
+
+@query()
+def cross_rank_repeated_value(spark, d):
+    ranks = [CrossRank("same", pct=False, method=m, name=f"rank_{m}") for m in ("average", "max", "ordinal")]
+    return cross_section(_crowded(spark, d), ranks).drop("narrow")
+
+
+@query()
+def quantiles_of_close_values(spark, d):
+    rows = _crowded(spark, d).select(
+        F.year("bar_start").alias("fold"), F.lit("train").alias("split_role"), "narrow", "same"
+    )
+    return transforms.fit_winsor(rows, ["narrow", "same"], lower=0.013, upper=0.77)
+
+
 @query()
 def cross_mean(spark, d):
     return cross_section(_daily_users(spark, d), [CrossMean("close", min_members=3)])
@@ -602,13 +634,26 @@ def folds_touching_sealed(spark, d):
 
 @query()
 def sealed_exclusion(spark, d):
-    windows = splits.sealed_windows(spark, SEALED)
-    kept = splits.development_rows(tt.bars(spark, d), windows)
+    """The predicate reaches the scan of the bars; the next query takes windows from a table."""
+    kept = tt.bars(spark, d).where(splits.outside([w[1:] for w in SEALED]))
     return kept.groupBy("instrument_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("trade_count").alias("trades")
     )
 
 
+@query()
+def sealed_exclusion_by_table(spark, d):
+    """One window per supplier nation, so that many ranges exclude rows."""
+    nations = tt.load(spark, d, "nation")
+    start = F.timestamp_micros(F.unix_micros(F.lit(START).cast("timestamp")) + F.col("n_nationkey") * (14 * HOUR))
+    windows = nations.select(
+        F.col("n_name").alias("name"), start.alias("start"), shift(start, 3 * HOUR).alias("end"),
+        (F.col("n_regionkey") * HOUR).cast("bigint").alias("gap_us"),
+    )
+    kept = splits.development_rows(tt.bars(spark, d), windows)
+    return kept.select("instrument_id", "bar_start", "trade_count")
+
+
 @query()
 def folds_train_exclusions(spark, d):
     return splits.train_exclusions(_folds(spark, d))
@@ -645,9 +690,8 @@ def transform_fit_winsor(spark, d):
 def transform_winsor(spark, d):
     folds, rows = _folds(spark, d), _scored(spark, d)
     stats = transforms.fit_winsor(splits.training_rows(rows, folds), ["ret_1"], lower=0.05, upper=0.9)
-    tagged = splits.assign_roles(rows, folds).where("split_role = 'test'")
-    clipped = transforms.apply_winsor(tagged, stats, ["ret_1"])
-    return clipped.select("fold", "instrument_id", "bar_start", "ret_1")
+    clipped = transforms.apply_winsor(splits.assign_roles(rows, folds), stats, ["ret_1"])
+    return clipped.select("fold", "split_role", "instrument_id", "bar_start", "ret_1")
 
 
 def _fold_curves(spark, d):
@@ -759,6 +803,16 @@ def rule_targets(spark, d):
     return made.select("instrument_id", "bar_start", "available_at", "target")
 
 
+@query()
+def rule_target_changes(spark, d):
+    """What a book does to follow a rule, closing names that stop qualifying or have no row."""
+    made = targets.rule_targets(
+        _ruled(spark, d), RULE, max_positions=2, rank_by="ret_1", at="bar_start"
+    )
+    clock = tt.bars(spark, d).select("bar_start")
+    return targets.rule_changes(made, clock, at="bar_start")
+
+
 @query()
 def rule_topk(spark, d):
     made = targets.rule_targets(
@@ -798,7 +852,7 @@ def hysteresis_episodes(spark, d):
 @query()
 def scheduled_targets(spark, d):
     b = tt.bars(spark, d)
-    chosen = targets.scheduled(targets.decision_instants(b), "7h", periods=16)
+    chosen = targets.scheduled(targets.decision_instants(b), "7h")
     weights = {"click": 0.3, "view": 0.2}
     return targets.weights_at(chosen, b, weights)
 
@@ -821,9 +875,9 @@ def decision_batches(spark, d):
 
 
 def _orders(spark, d, size="1h"):
-    """One order every third hour, sized so that the cap usually splits it."""
+    """One order for every bar, sized so that the cap usually splits it."""
     b = staged(tt.bars(spark, d, size), "bars")
-    asked = b.where(F.pmod(hour_of(), F.lit(3)) == 0).select(
+    asked = b.select(
         "instrument_id",
         F.col("available_at").alias("signal_at"),
         F.when(F.col("close") > F.col("open"), "buy").otherwise("sell").alias("side"),
@@ -889,7 +943,7 @@ def cost_scenarios(spark, d):
 def execution_chain_violations(spark, d):
     f = _costed(spark, d).withColumn(
         "eligible_at",
-        F.when(F.pmod(F.xxhash64("order_id") * 0 + F.unix_micros("signal_at"), F.lit(5)) == 0,
+        F.when(F.pmod(F.unix_micros("signal_at"), F.lit(5)) == 0,
                shift("fill_at", SECOND)).otherwise(F.col("eligible_at")),
     )
     return ex.chain_violations(f).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"))
@@ -907,13 +961,14 @@ def size_targets(spark, d):
     """Every order day is a decision; customers' orders are intents on the priority's book."""
     o = tt.load(spark, d, "orders")
     name = F.concat_ws("|", "o_custkey", "o_orderkey")
+    idle = F.pmod("o_orderkey", F.lit(5)) == 4
     kind = (
-        F.when(F.pmod("o_orderkey", F.lit(3)) == 0, "delta")
+        F.when(idle | (F.pmod("o_orderkey", F.lit(3)) == 0), "delta")
         .when(F.pmod("o_orderkey", F.lit(3)) == 1, "target_weight")
         .otherwise("target_quantity")
     )
     value = (
-        F.when(F.pmod("o_orderkey", F.lit(3)) == 0, (F.pmod("o_custkey", F.lit(41)) - 20) * 2.5)
+        F.when(idle, 0.0).when(F.pmod("o_orderkey", F.lit(3)) == 0, (F.pmod("o_custkey", F.lit(41)) - 20) * 2.5)
         .when(F.pmod("o_orderkey", F.lit(3)) == 1, (F.pmod("o_custkey", F.lit(23)) - 4) / 20)
         .otherwise((F.pmod("o_custkey", F.lit(31)) - 5) * 3.0)
     )
@@ -924,11 +979,11 @@ def size_targets(spark, d):
         .otherwise(F.col("o_orderdate")).alias("created_at"),
         "o_orderkey", "o_custkey", "o_totalprice",
     )
-    intents = base.where(F.pmod("o_orderkey", F.lit(5)) != 4).select(
-        "decision_at", "created_at", "instrument_id", "kind", "value"
-    )
-    holdings = base.where(F.pmod("o_orderkey", F.lit(89)) != 0).select(
-        "decision_at", "instrument_id",
+    intents = base.select("decision_at", "created_at", "instrument_id", "kind", "value")
+    # Some holdings go by another name, so that their intents find none.
+    other = F.when(F.pmod("o_orderkey", F.lit(89)) == 0, F.concat("instrument_id", F.lit("?")))
+    holdings = base.select(
+        "decision_at", F.coalesce(other, F.col("instrument_id")).alias("instrument_id"),
         F.when(F.pmod("o_orderkey", F.lit(83)) != 0, F.round(F.col("o_totalprice") / 1000, 2)).alias("mark"),
         (F.pmod("o_custkey", F.lit(7)) * 10).cast("double").alias("position"),
         (F.pmod("o_custkey", F.lit(3)) * 5).cast("double").alias("pending"),
@@ -980,22 +1035,43 @@ def ledger_equity_curve(spark, d):
     return _curve(spark, d)[1]
 
 
+def _pnl_curve(spark, d):
+    fills, marks = _book(spark, d)
+    return staged(
+        ledger.equity_curve(
+            fills, marks, initial_cash=5_000_000.0, run=["scenario"],
+            fill_order=["fill_at", "order_id", "fill_no"], pnl=True,
+        ), "curve",
+    )
+
+
+@query(3)
+def ledger_pnl_curve(spark, d):
+    return _pnl_curve(spark, d).select("scenario", "at", "equity", "realized_pnl", "unrealized_pnl")
+
+
 @query(3)
 def ledger_reconcile(spark, d):
     """Instants checked against the accounting identity, and how many break it."""
-    fills, curve = _curve(spark, d)
-    order = ["fill_at", "order_id", "fill_no"]
-    costed = staged(
-        ledger.average_cost(fills, keys=["scenario", "instrument_id"], order=order), "costed"
-    )
-    broken = ledger.reconcile(
-        curve, costed, initial_cash=5_000_000.0, order=order, run=["scenario"]
-    )
+    curve = _pnl_curve(spark, d)
+    broken = ledger.reconcile(curve, initial_cash=5_000_000.0)
     instants = curve.groupBy("scenario").agg(F.count(F.lit(1)).alias("instants"))
     bad = broken.groupBy("scenario").agg(F.count(F.lit(1)).alias("violations"))
     return instants.join(bad, "scenario", "left").fillna(0)
 
 
+@query()
+def ledger_stale_spans(spark, d):
+    """Parts marked once a quarter at most, on a book valued on every day with a fill."""
+    f = tt.fills(spark, d)
+    held = ledger.positions(f, order=ORDERING, width=90 * DAY)
+    marks = f.select("instrument_id", floor_time("fill_at", 90 * DAY).alias("at")).distinct()
+    spans = ledger.stale_spans(
+        held, marks, f.select(F.col("fill_at").alias("at")), limit=60 * DAY, order=ORDERING, width=90 * DAY
+    )
+    return spans.select("instrument_id", "mark_at", "first_at", "occurrences")
+
+
 @query()
 def ledger_stale_marks(spark, d):
     """Positions per part, marked by the last order day of its supplier's key space."""

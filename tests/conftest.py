@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -7,16 +6,10 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from instants import at  # noqa: E402
 from pitbars.session import prepare  # noqa: E402
 from pitbars.types import BAR_COLUMNS, BAR_SCHEMA  # noqa: E402
 
-T0 = dt.datetime(2024, 3, 4, tzinfo=dt.timezone.utc)
-
-
-def at(minutes: float, seconds: float = 0) -> dt.datetime:
-    return T0 + dt.timedelta(minutes=minutes, seconds=seconds)
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = (
@@ -50,11 +43,3 @@ def make_bars(spark):
         return spark.createDataFrame(rows, BAR_SCHEMA).select(*BAR_COLUMNS)
 
     return make
-
-
-def rows_of(df, *order):
-    """Rows as tuples, with timestamps as aware UTC instants."""
-    out = []
-    for r in df.orderBy(*order).collect() if order else df.collect():
-        out.append(tuple(v.astimezone(dt.timezone.utc) if isinstance(v, dt.datetime) else v for v in r))
-    return out

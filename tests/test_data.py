@@ -7,7 +7,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, rows_of
+from instants import at, rows_of
 from pitbars.operators import calendars as cal
 from pitbars.operators import normalize, quality
 from pitbars.operators.resample import latest_revisions, resample

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, rows_of
+from instants import at, rows_of
 from pitbars.functions import features as ft
 from pitbars.operators import leakage
 from pitbars.operators.crosssection import CrossMean, CrossRank, cross_section

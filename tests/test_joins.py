@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, rows_of
+from instants import at, rows_of
+from pitbars.operators import joins
 from pitbars.operators.joins import asof_join, containing_bar, first_open_after, interval_join, late_matches
 
 LEFT = "instrument_id STRING, cutoff TIMESTAMP, n INT"
@@ -77,3 +80,31 @@ def test_interval_join_is_half_open_across_buckets(spark):
     spans = spark.createDataFrame([("a", at(0), at(60 * 72))], "name STRING, start TIMESTAMP, end TIMESTAMP")
     got = interval_join(points, spans, at="cutoff", how="left").select("n", "name")
     assert rows_of(got, "n") == [(1, "a"), (2, "a"), (3, None)]
+
+
+def test_overlapping_ranges_meet_once(spark):
+    rng = random.Random(2)
+
+    def made(n):
+        starts = [rng.randrange(-2000, 2000) for _ in range(n)]
+        return [(i, i % 3, at(s), at(s + rng.choice([0, 1, 30, 1500]))) for i, s in enumerate(starts)]
+
+    a, b = made(60), made(70)
+    kind = "id INT, k INT, start TIMESTAMP, end TIMESTAMP"
+    left, right = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    for by in ([], ["k"]):
+        met = joins.overlap_join(left, right, by=by, width="4h")
+        assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
+        expected = sorted((x[0], y[0]) for x in a for y in b
+                          if (not by or x[1] == y[1]) and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3])
+        assert rows_of(met.select("id", "right_id"), "id", "right_id") == expected
+    few = joins.overlap_join(left, right, condition=F.col("right_id") < F.col("id"))
+    assert few.where("right_id >= id").isEmpty() and not few.isEmpty()
+
+
+def test_points_outside_all_ranges(spark):
+    points = spark.createDataFrame([(m, at(m)) for m in range(0, 4000, 7)], "m INT, at TIMESTAMP")
+    spans = [(100, 130), (1400, 3000), (500, 500)]
+    table = spark.createDataFrame([(at(a), at(b)) for a, b in spans], "start TIMESTAMP, end TIMESTAMP")
+    kept = joins.outside_ranges(points, table, at="at")
+    assert rows_of(kept.select("m"), "m") == [(m,) for m in range(0, 4000, 7) if not any(a <= m < b for a, b in spans)]

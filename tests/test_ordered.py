@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import bucket_of
-from pitbars.operators.ordered import Fold, fold_rows, group_totals, hash_spread, rolling, running, with_position
+from pitbars.operators.ordered import affine_fold, fold_rows, group_totals, hash_spread, rolling, running, with_position
 
 
 @pytest.fixture(scope="module")
@@ -64,10 +65,7 @@ def test_fold_matches_a_plain_loop_over_many_batches(spark, skewed):
     try:
         steps = skewed.select("k", "t", F.coalesce("v", F.lit(0.0)).alias("b"),
                               F.when(F.col("t") % 11 == 0, 0.0).otherwise(0.5).alias("a"))
-        fold = Fold(
-            ("a", "b"), 0.0, lambda s, a, b: a * s + b, (1.0, 0.0),
-            lambda m, a, b: (a * m[0], a * m[1] + b), lambda s, m: m[0] * s + m[1],
-        )
+        fold = affine_fold(("a", "b"), (0.0,), lambda a, b: (a[:, None, None], b[:, None]))
         got = fold_rows(steps, ["k"], ["t"], bucket_of(F.col("t"), 130), fold).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -82,6 +80,26 @@ def test_fold_matches_a_plain_loop_over_many_batches(spark, skewed):
         assert (r.before, r.after) == pytest.approx(expected[r.k, r.t])
 
 
+def test_a_state_vector_folds_like_a_plain_loop(spark, skewed):
+    """Two numbers that feed each other: a decayed sum, and the total of its values before."""
+    def step(v):
+        a = np.tile(np.array([[0.5, 0.0], [1.0, 1.0]]), (len(v), 1, 1))
+        return a, np.stack([v, np.zeros(len(v))], axis=1)
+
+    rows = skewed.select("k", "t", F.coalesce("v", F.lit(0.0)).alias("v"))
+    fold = affine_fold(("v",), (1.0, 0.0), step)
+    got = fold_rows(rows, ["k"], ["t"], bucket_of(F.col("t"), 130), fold, before=["x0", "y0"], after=["x", "y"])
+    state = {}
+    expected = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.k, r.t)):
+        x, y = state.get(r.k, (1.0, 0.0))
+        state[r.k] = (0.5 * x + r.v, y + x)
+        expected[r.k, r.t] = (x, y, *state[r.k])
+    found = {(r.k, r.t): (r.x0, r.y0, r.x, r.y) for r in got.collect()}
+    assert found.keys() == expected.keys()
+    assert all(found[k] == pytest.approx(expected[k]) for k in expected)
+
+
 def test_group_totals_reach_every_row(skewed):
     out = group_totals(skewed, ["k"], hash_spread("t", 5), sums={"n": F.lit(1)}, maxs={"hi": F.col("t")})
     whole = Window.partitionBy("k")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import T0, at, rows_of
+from instants import T0, at, rows_of
 from pitbars.operators import splits, transforms
 
 DAY = 24 * 60

@@ -1,11 +1,12 @@
 """Rules, targets, orders, costs, sizing, ledgers, metrics: golden numbers by hand."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, rows_of
+from instants import at, rows_of
 from pitbars.functions.rules import check_features, condition, referenced, target_weight
 from pitbars.operators import execution as ex
 from pitbars.operators import ledger, metrics, runs, targets
@@ -57,14 +58,35 @@ def test_hysteresis_by_hand(spark):
     assert [r.state for r in one.orderBy("bar_start").collect()] == [0, 1, 1, 1, 0, 0, 0, 0, 0, 1, 0, 0]
 
 
-@pytest.mark.parametrize("periods", [1, 3, 500])
-def test_schedule_is_greedy_at_any_split(spark, periods):
+@pytest.mark.parametrize("width", ["2m", "1h", "1d"])
+def test_schedule_is_greedy_at_any_split(spark, width):
     minutes = [0, 1, 4, 5, 9, 10, 11, 30, 31, 34, 36, 60, 61, 66, 71]
     df = spark.createDataFrame([(at(m),) for m in minutes], "decision_at TIMESTAMP")
-    got = rows_of(targets.scheduled(df, "5m", periods=periods), "decision_at")
+    got = rows_of(targets.scheduled(df, "5m", width=width), "decision_at")
     assert got == [(at(m),) for m in (0, 5, 10, 30, 36, 60, 66, 71)]
 
 
+def test_schedules_of_many_keys_follow_their_own_clocks(spark):
+    rng = random.Random(3)
+    clocks = {"hot": sorted(rng.sample(range(20_000), 3000)), "one": [7], "two": [3, 4]}
+    rows = [(k, at(m)) for k, ms in clocks.items() for m in ms] + [("hot", None), ("hot", at(clocks["hot"][0]))]
+    df = spark.createDataFrame(rows, "k STRING, decision_at TIMESTAMP")
+    plan = targets.scheduled(df, "11m", keys=["k"])
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    expected = []
+    for k, ms in clocks.items():
+        free = None
+        for m in ms:
+            if free is None or m >= free:
+                expected.append((k, at(m)))
+                free = m + 11
+    assert rows_of(plan, "k", "decision_at") == sorted(expected)
+
+
+def test_no_instants_no_schedule(spark):
+    assert targets.scheduled(spark.createDataFrame([], "decision_at TIMESTAMP"), "5m").count() == 0
+
+
 def test_initial_allocation_waits_for_every_name(spark, make_bars):
     bars = make_bars([1, 2, 3]).unionByName(make_bars([1, 2, 3], inst="Y", skip=(0,)))
     got = targets.initial_allocation(targets.decision_instants(bars), bars, {"X": 0.5, "Y": 0.25})
@@ -259,9 +281,72 @@ def test_average_cost_and_curve_reconcile(spark):
     assert by[at(4)].net_exposure == -850.0 + 120.0 and by[at(4)].gross_exposure == 970.0
     assert by[at(5)].position_count == 1 and by[at(7)].equity == by[at(5)].equity
     assert by[at(5)].equity == pytest.approx(10_000 + 75 - 225 + 100 + 20 - 5)
-    assert ledger.reconcile(curve, costed, initial_cash=10_000.0, order=ORD).count() == 0
-    spoiled = curve.withColumn("equity", F.col("equity") + F.when(F.col("at") == F.lit(at(3)), 1).otherwise(0))
-    assert ledger.reconcile(spoiled, costed, initial_cash=10_000.0, order=ORD).count() == 1
+    full = ledger.equity_curve(f, marks, initial_cash=10_000.0, fill_order=ORD, pnl=True)
+    by = {r.at.astimezone(UTC): r for r in full.collect()}
+    assert [by[at(m)].realized_pnl for m in (0, 1, 2, 3, 4, 5)] == pytest.approx([0, 0, 75, -150, -150, -50])
+    # X is short 10 at 90 and marked 85; Y holds 2 at 50, marked 60.
+    assert by[at(4)].unrealized_pnl == pytest.approx(50 + 20) and by[at(5)].unrealized_pnl == pytest.approx(20)
+    assert ledger.reconcile(full, initial_cash=10_000.0).count() == 0
+    spoiled = full.withColumn("equity", F.col("equity") + F.when(F.col("at") == F.lit(at(3)), 1).otherwise(0))
+    assert ledger.reconcile(spoiled, initial_cash=10_000.0).count() == 1
+
+
+STALE = "instrument_id STRING, at TIMESTAMP"
+
+
+def test_a_position_stale_between_fills_gives_one_row(spark):
+    """X publishes until 3:02 and is held from minute 2 on; every publication of Y values the book."""
+    f = fills(spark, (2, "X", "buy", 10, 104, 0, 0))
+    held = ledger.positions(f, order=ORD)
+    marks = spark.createDataFrame([("X", at(m, 2)) for m in (1, 2, 3)] + [("Y", at(m, 2)) for m in range(1, 13)], STALE)
+    clock = marks.select("at").distinct()
+    got = ledger.stale_spans(held, marks, clock, limit="5m", order=ORD).collect()
+    assert [(r.instrument_id, r.first_at.astimezone(UTC), r.occurrences, r.stale_to) for r in got] == [("X", at(9, 2), 4, None)]
+
+
+def test_stale_spans_end_with_a_mark_or_a_flat_position(spark):
+    rng = random.Random(8)
+    moves, marks, rows = {}, {}, []
+    for name in "ABC":
+        marks[name] = sorted(rng.sample(range(200), 12))
+        for m in sorted(rng.sample(range(200), 25)):
+            side, qty = rng.choice([("buy", 1), ("sell", 1), ("buy", 2)])
+            moves.setdefault(name, []).append((m, qty if side == "buy" else -qty))
+            rows.append((m, name, side, qty, 100, 0, 0))
+    held = ledger.positions(fills(spark, *rows), order=ORD)
+    clock = sorted({m for ms in marks.values() for m in ms} | {r[0] for r in rows} | set(range(0, 200, 3)))
+    expected = []
+    for name in "ABC":
+        last, open_row = None, None
+        for t in clock:
+            position = sum(q for m, q in moves[name] if m <= t)
+            mark = max((m for m in marks[name] if m <= t), default=None)
+            stale = position != 0 and mark is not None and t - mark > 7
+            # A span ends between two instants of the clock only with a mark or a flat position.
+            if stale and open_row is not None and last == mark:
+                open_row[3] += 1
+            elif stale:
+                open_row = [name, at(mark), at(t), 1]
+                expected.append(open_row)
+            if not stale:
+                open_row = None
+            last = mark
+    frame = spark.createDataFrame([(n, at(m)) for n, ms in marks.items() for m in ms], STALE)
+    got = ledger.stale_spans(
+        held, frame, spark.createDataFrame([(at(t),) for t in clock], "at TIMESTAMP"), limit="7m", order=ORD, width=40 * 60 * 10**6
+    )
+    assert rows_of(got.select("instrument_id", "mark_at", "first_at", "occurrences"), "instrument_id", "first_at") == sorted(map(tuple, expected))
+
+
+def test_names_that_leave_the_set_are_closed(spark):
+    rows = [("A", 0, 0.5), ("A", 1, 0.5), ("A", 2, 0.3), ("B", 1, 0.2), ("B", 2, 0.0), ("A", 5, 0.3), ("C", 3, None), ("C", 4, 0.1)]
+    table = spark.createDataFrame([(n, at(m), t) for n, m, t in rows], "instrument_id STRING, decision_at TIMESTAMP, target DOUBLE")
+    clock = spark.createDataFrame([(at(m),) for m in range(6)], "decision_at TIMESTAMP")
+    got = rows_of(targets.rule_changes(table, clock, width=2 * 60 * 10**6), "decision_at", "instrument_id")
+    assert got == [
+        ("A", at(0), 0.5, 0.0), ("B", at(1), 0.2, 0.0), ("A", at(2), 0.3, 0.5), ("B", at(2), 0.0, 0.2),
+        ("A", at(3), 0.0, 0.3), ("C", at(4), 0.1, 0.0), ("A", at(5), 0.3, 0.0), ("C", at(5), 0.0, 0.1),
+    ]
 
 
 def curve_of(spark, values, key="r"):
@@ -290,7 +375,8 @@ def test_stitching_chains_folds(spark):
 
 def test_histogram_and_downsample(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 0, 31, 30.9)], "v DOUBLE")
-    assert rows_of(metrics.histogram(df, "v").select("bin", "n"), "bin") == [(0, 2), (30, 2)]
+    got = rows_of(metrics.histogram(df, "v").select("bin", "n"), "bin")
+    assert len(got) == 31 and [r for r in got if r[1]] == [(0, 2), (30, 2)]
     one = spark.createDataFrame([(5.0,)], "v DOUBLE")
     assert metrics.histogram(one, "v").first().bin_low == pytest.approx(4 + 15 * 2 / 31)
     series = spark.createDataFrame([(at(i), float((i * 37) % 101)) for i in range(101)], "at TIMESTAMP, v DOUBLE")
