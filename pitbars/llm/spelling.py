@@ -61,41 +61,44 @@ def word_counts(
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
 
-def _signatures(word: Column) -> Column:
-    """Hashes of all of a word's signatures."""
-    letters = F.split(word, "")
+def _with_parts(words: DataFrame) -> DataFrame:
+    """Adds ``parts``: the sorted letters of each part of the dimensions."""
+    letters = F.split("word", "")
 
     def part(p: int) -> Column:
         return F.array_join(F.array_sort(F.filter(letters, lambda c: (c != "") & (F.ascii(c) % PARTS == p))), "")
 
-    parts = [part(p) for p in range(PARTS)]
-    length, out = F.length(word), []
-    for choice in combinations(range(PARTS), PARTS - HAMMING):
-        agreed = [parts[p] for p in choice]
+    return words.withColumn("parts", F.array(*[part(p) for p in range(PARTS)]))
+
+
+def _signatures() -> Column:
+    """Hashes of all of a word's signatures, from ``word`` and ``parts``."""
+    word, out = F.col("word"), []
+    length = F.length(word)
+    for number, choice in enumerate(combinations(range(PARTS), PARTS - HAMMING)):
+        agreed = [F.col("parts")[p] for p in choice]
         for shorter in (length, length - 1):
             for run in range(SEGMENTS):
                 start = F.floor(shorter * run / SEGMENTS).cast("int")
                 end = F.floor(shorter * (run + 1) / SEGMENTS).cast("int")
                 tail = length - (shorter - end) + 1
                 out.append(F.xxhash64(
-                    F.lit(SEGMENTS * choice[0] + run), *agreed, shorter,
+                    F.lit(SEGMENTS * number + run), *agreed, shorter,
                     F.substr(word, F.lit(1), start), F.substr(word, tail),
                 ))
     return F.array(*out)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """``a, b, n_a, n_b``: every two different words one edit apart, once, with ``a`` before ``b``."""
-    signed = words.select(F.explode(_signatures(F.col("word"))).alias("key"), "word", "n").distinct()
-    signed = staged(signed, "signatures")
-    left = signed.select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
-    right = signed.select(F.col("key").alias("key_b"), F.col("word").alias("b"), F.col("n").alias("n_b"))
-    met = left.join(
-        right,
-        (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))
-        & (F.levenshtein("a", "b", 1) == 1),
-    )
-    return met.select("a", "b", "n_a", "n_b").distinct()
+    """``a, b``: every two different words one edit apart, once, with ``a`` before ``b``.
+
+    ``words`` holds ``word`` and ``parts``. Both sides of the join are one shuffle.
+    """
+    signed = words.select(F.explode(_signatures()).alias("key"), "word")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.word") < F.col("y.word"))
+    near = near & (F.levenshtein("x.word", "y.word", 1) == 1)
+    met = signed.alias("x").join(signed.alias("y"), near)
+    return met.select(F.col("x.word").alias("a"), F.col("y.word").alias("b")).distinct()
 
 
 def group_spellings(words: DataFrame, *, ratio: int = RATIO) -> DataFrame:
@@ -105,14 +108,14 @@ def group_spellings(words: DataFrame, *, ratio: int = RATIO) -> DataFrame:
     one of largest ``n`` (ties: the first in code-point order) is the ``form``, if its ``n`` is
     at least ``ratio`` times the word's own. ``root`` is where following forms ends, the word
     itself without one. Words are distinct and not null; an empty table gives no rows. Stores
-    the words, their signatures and near pairs while the plan is built.
+    the words and near pairs while the plan is built.
     """
-    words = staged(words.select("word", F.col("n").cast("bigint").alias("n")), "words")
+    words = staged(_with_parts(words.select("word", F.col("n").cast("bigint").alias("n"))), "words")
     pairs = staged(near_pairs(words), "near-words")
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("other_n")).unionByName(
-        pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("other_n"))
-    )
-    near = both.groupBy("word").agg(
+    words = words.drop("parts")
+    counts = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), F.col("a").alias("other")))).alias("p"))
+    near = both.select("p.*").join(counts, "other").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best")
     )
     joined = words.join(near, "word", "left")
