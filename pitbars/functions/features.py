@@ -8,7 +8,7 @@ availability of the whole row, so a user feature is only the expression itself.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, WindowSpec
@@ -18,9 +18,51 @@ from pitbars.functions.scalars import elapsed
 from pitbars.types import MINUTE
 
 
+@dataclass(frozen=True)
+class Step:
+    """A column that is worked out before features are, since windows do not nest.
+
+    ``value`` builds it over the same ordered window and may read the columns of the steps
+    that ``uses`` names. Features that name equal steps share one column, so the name has to
+    say everything that decides the value.
+    """
+
+    name: str
+    value: Callable[[WindowSpec], Column] = field(compare=False)
+    uses: tuple[str, ...] = ()
+
+
+def step_column(name: str) -> str:
+    return f"__step_{name}"
+
+
+def ordered_steps(features: Sequence[FeatureSpec]) -> list[list[Step]]:
+    """The steps of all features, each once, in stages that only use earlier ones."""
+    steps: dict[str, Step] = {}
+    for f in features:
+        for step in f.steps:
+            if steps.setdefault(step.name, step) != step:
+                raise ValueError(f"features disagree on the step {step.name}")
+    unknown = sorted({u for s in steps.values() for u in s.uses} - set(steps))
+    if unknown:
+        raise ValueError(f"steps use {unknown}, which no feature declares")
+    stages: list[list[Step]] = []
+    placed: set[str] = set()
+    while len(placed) < len(steps):
+        ready = [s for s in steps.values() if s.name not in placed and placed.issuperset(s.uses)]
+        if not ready:
+            raise ValueError(f"steps use each other: {sorted(set(steps) - placed)}")
+        stages.append(ready)
+        placed |= {s.name for s in ready}
+    return stages
+
+
 @dataclass(frozen=True)
 class FeatureSpec:
-    """Name, inputs, reach, and the value over an ordered per-instrument window."""
+    """Name, inputs, reach, and the value over an ordered per-instrument window.
+
+    ``lookback`` counts all rows back that the value depends on, those of its steps included.
+    """
 
     name: str
     inputs: tuple[str, ...]
@@ -30,6 +72,7 @@ class FeatureSpec:
     latency_us: int = 0
     kind: str = ""
     params: tuple[tuple[str, object], ...] = ()
+    steps: tuple[Step, ...] = ()
 
     def __post_init__(self) -> None:
         if self.lookback < 0 or self.latency_us < 0:
@@ -71,11 +114,12 @@ def rolling_volatility(
     if window < 2:
         raise ValueError("window must be at least 2")
     name = f"vol_{window}" if kind == "simple" else f"vol_{kind}_{window}"
+    returns = step_column(f"return_{kind}")
     return FeatureSpec(
         name, ("close",), window,
-        # The return of each row is materialised first; windows do not nest.
-        lambda w: _full(f"__ret_{kind}", F.stddev_samp(f"__ret_{kind}"), w, window), contiguous,
+        lambda w: _full(returns, F.stddev_samp(returns), w, window), contiguous,
         kind="rolling_volatility", params=(("window", window), ("kind", kind)),
+        steps=(Step(f"return_{kind}", lambda w: _step_return(w, kind)),),
     )
 
 

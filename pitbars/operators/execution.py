@@ -117,7 +117,7 @@ def liquidity_estimates(
         time_bucket("available_at", 30 * DAY),
         max(lookback - 1, 1),
         build,
-        first=returns,
+        first=[returns],
     )
     return out.select(*keys, "available_at", "bar_start", "liquidity_estimate", "volatility_estimate")
 

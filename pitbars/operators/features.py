@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from pitbars.functions.features import FeatureSpec
+from pitbars.functions.features import FeatureSpec, Step, ordered_steps, step_column
 from pitbars.functions.scalars import elapsed, time_bucket
 from pitbars.operators.ordered import CHUNK_ROWS, rolling
 from pitbars.types import micros, require_columns
@@ -29,7 +29,8 @@ def compute_features(
     A value is null when its feature asks for consecutive bars and the bars behind it skip
     the grid. A row is available once its slowest input and every declared computation
     latency have passed. ``keys`` may carry extra partition columns (a cut, a run).
-    All features share one window, so Spark sorts each chunk once.
+    All features share one window, so Spark sorts each chunk once. Steps that features declare
+    come first, stage by stage, each once.
     """
     if not features:
         raise ValueError("no features requested")
@@ -41,7 +42,7 @@ def compute_features(
     require_columns(bars, needed, "features")
     step = micros(bar_size)
     reach = max(f.lookback for f in features)
-    volatile = sorted({dict(f.params)["kind"] for f in features if f.kind == "rolling_volatility"})
+    stages = ordered_steps(features)
     rows = bars.select(*needed).where(
         F.when(F.col("bar_size") == bar_size, True).otherwise(
             F.raise_error(F.concat(F.lit("unexpected bar_size "), F.col("bar_size")))
@@ -64,9 +65,8 @@ def compute_features(
         out["__ready"] = F.greatest(*ready)
         return out
 
-    def returns(w: WindowSpec) -> Mapping[str, Column]:
-        ratio = F.try_divide(F.col("close"), F.lag("close", 1).over(w))
-        return {f"__ret_{k}": F.ln(ratio) if k == "log" else ratio - 1 for k in volatile}
+    def stage(steps: Sequence[Step]) -> Callable[[WindowSpec], Mapping[str, Column]]:
+        return lambda w: {step_column(x.name): x.value(w) for x in steps}
 
     bucket = time_bucket("bar_start", step * CHUNK_ROWS)
     done = rolling(
@@ -76,7 +76,7 @@ def compute_features(
         bucket,
         reach,
         build,
-        first=returns if volatile else None,
+        first=[stage(steps) for steps in stages],
         chunk_rows=chunk_rows,
     )
     lead = list(dict.fromkeys([*keys, *KEY]))

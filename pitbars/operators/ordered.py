@@ -157,18 +157,20 @@ def rolling(
     lookback: int,
     build: Callable[[WindowSpec], Mapping[str, Column]],
     *,
-    first: Callable[[WindowSpec], Mapping[str, Column]] | None = None,
+    first: Sequence[Callable[[WindowSpec], Mapping[str, Column]]] = (),
     chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Add windowed columns whose frames reach at most ``lookback`` rows back.
 
-    ``build`` receives the ordered window and returns the new columns; ``first``, if given,
-    adds columns over the same window for ``build`` to use. With ``chunk_rows=None`` the key
+    ``build`` receives the ordered window and returns the new columns; the builders in
+    ``first`` add columns over the same window, one after the other, for later ones to use. With ``chunk_rows=None`` the key
     is not split: one shuffle less, for keys known to be short.
     """
     if chunk_rows is None:
         plain = Window.partitionBy(*keys).orderBy(*order)
-        begun = df.withColumns(dict(first(plain))) if first else df
+        begun = df
+        for stage in first:
+            begun = begun.withColumns(dict(stage(plain)))
         return begun.withColumns(dict(build(plain)))
     size = max(chunk_rows, lookback, 1)
     placed = with_position(df, keys, order, bucket, "__pos")
@@ -181,7 +183,9 @@ def rolling(
         ),
     )
     spec = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    begun = spread.withColumns(dict(first(spec))) if first else spread
+    begun = spread
+    for stage in first:
+        begun = begun.withColumns(dict(stage(spec)))
     return (
         begun.withColumns(dict(build(spec)))
         .where(F.col("__chunk") == F.col("__home"))

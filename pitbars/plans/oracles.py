@@ -171,10 +171,56 @@ add(
 )
 add(
     "catalog_pruned_partitions",
-    f"""WITH {BARS} SELECT date_trunc('day', bar_start) AS date, count(*) AS row_count
-    FROM bars WHERE instrument_id = 'click' GROUP BY 1
+    f"""WITH {REVISED} SELECT CAST(bar_start AS DATE) AS date, count(*) AS row_count
+    FROM revised GROUP BY 1
     HAVING min(available_at) <= {AS_OF} AND max(bar_start) >= {START} AND min(bar_start) < {END}""",
 )
+add(
+    "catalog_stored_scan",
+    f"""WITH {REVISED} SELECT instrument_id, bar_start, available_at, close, revision
+    FROM revised WHERE available_at <= {AS_OF} AND bar_start >= {START} AND bar_start < {END}
+    QUALIFY row_number() OVER (PARTITION BY instrument_id, bar_start ORDER BY revision DESC) = 1""",
+    "close",
+)
+add(
+    "catalog_stored_asof",
+    f"""WITH {REVISED} SELECT instrument_id, bar_start, revision, close FROM revised
+    WHERE available_at <= {AS_OF} AND volume > 0""",
+    "close",
+)
+add(
+    "catalog_unfiltered",
+    f"""WITH {REVISED} SELECT instrument_id, count(*) AS rows, max(revision) AS revision, true AS identified
+    FROM revised GROUP BY 1""",
+)
+add(
+    "catalog_verify_altered",
+    f"""WITH {BARS} SELECT 'after' AS moment, CAST(CAST(min(bar_start) AS DATE) AS VARCHAR) AS part FROM bars
+    UNION ALL SELECT 'after', 'content'""",
+)
+add(
+    "ledger_store_round_trip",
+    f"""WITH {FILLS} SELECT instrument_id, count(*) AS fills, CAST(sum(CAST(quantity AS BIGINT)) AS BIGINT) AS quantity,
+      true AS again, false AS changed FROM fills GROUP BY 1""",
+)
+add(
+    "source_files_read",
+    f"""WITH {BARS} SELECT instrument_id, bar_start, bar_end + INTERVAL 2 SECOND AS available_at, open, close, volume,
+      vwap, trade_count, CAST((epoch_us(bar_start) // {H}) % 3 AS INTEGER) AS revision, CAST(0 AS BIGINT) AS unmapped
+    FROM bars""",
+    "open close volume vwap",
+)
+add(
+    "split_fixed",
+    f"""WITH {BARS}, f AS (SELECT * FROM (VALUES
+      ('warmup', TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-03 00:00:00'),
+      ('train', TIMESTAMP '2024-01-03 00:00:00', TIMESTAMP '2024-01-15 00:00:00'),
+      ('purge', TIMESTAMP '2024-01-15 00:00:00', TIMESTAMP '2024-01-15 06:00:00'),
+      ('validation', TIMESTAMP '2024-01-15 06:00:00', TIMESTAMP '2024-01-20 00:00:00'),
+      ('purge', TIMESTAMP '2024-01-20 00:00:00', TIMESTAMP '2024-01-20 06:00:00'),
+      ('test', TIMESTAMP '2024-01-20 06:00:00', TIMESTAMP '2024-01-27 00:00:00')) v(split_role, lo, hi))
+    SELECT instrument_id, bar_start, split_role FROM bars JOIN f ON available_at >= lo AND available_at < hi""",
+)
 
 
 def digest_sql(rows: str, columns: list[str], key: str = "") -> str:
@@ -500,6 +546,7 @@ for name, size, label in (("resample_4h", 4 * H, "4h"), ("resample_1d", D, "1d")
         FROM g GROUP BY instrument_id, s""",
         "open high low close volume vwap",
     )
+ORACLES["catalog_derived_daily"] = ORACLES["resample_1d"]
 add(
     "resample_periodic_equity",
     f"""WITH c AS (SELECT o_orderpriority, o_orderdate + to_microseconds(o_orderkey) AS at,
@@ -1581,3 +1628,35 @@ add(
       count(*) AS occurrences FROM closed
     UNION ALL SELECT 'zero_volume_bar', 'warning', count(*) FROM closed WHERE volume = 0 HAVING count(*) > 0""",
 )
+add(
+    "feature_store_round_trip",
+    f"""WITH {FEATURE_BASE} SELECT instrument_id, bar_start, {RET_1} AS ret_1, {RANGE_3} AS range_3,
+      CAST(2 AS BIGINT) AS specs FROM r""",
+    "ret_1 range_3",
+)
+add(
+    "feature_user_staged",
+    f"""WITH {FEATURE_BASE}, t AS (SELECT *, greatest(high, c1) - least(low, c1) AS tr FROM r)
+    SELECT instrument_id, bar_start,
+      CASE WHEN {gap('b3', 3)} THEN avg(tr) OVER {frame(3)} END AS atr_3,
+      CASE WHEN {gap('b1', 1)} THEN open / c1 - 1 END AS gap_1,
+      CASE WHEN {gap('b5', 5)} THEN stddev_samp(step_ret) OVER {frame(5)} END AS vol_5,
+      {ready(3, 1, 5)} AS available_at FROM t""",
+    "atr_3 gap_1 vol_5",
+)
+add(
+    "stream_late_rows",
+    f"""WITH a AS (SELECT event_type, epoch_us(ts) AS us, (epoch_us(ts) + (event_id % 7) * {6 * H}) // {5 * D} AS chunk
+      FROM events),
+    m AS (SELECT chunk, max(max(us)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+      FROM a GROUP BY chunk),
+    j AS (SELECT event_type, coalesce((us // {H} + 1) * {H} <= seen - {12 * H}, false) AS late FROM a JOIN m USING (chunk))
+    SELECT event_type, count(*) FILTER (NOT late) AS kept, count(*) FILTER (late) AS late FROM j GROUP BY 1""",
+)
+add(
+    "stream_availability_order",
+    f"""WITH {BARS}, o AS (SELECT instrument_id, bar_start, revision, available_at,
+      lag(available_at) OVER (PARTITION BY instrument_id ORDER BY bar_start) AS previous_available_at FROM bars)
+    SELECT * FROM o WHERE available_at < previous_available_at
+      AND bar_start <= (SELECT max(bar_start) FROM bars) - INTERVAL 2 DAY""",
+)

@@ -22,10 +22,13 @@ from pitbars.operators.crosssection import CrossMean, CrossRank, cross_section
 from pitbars.operators.features import compute_features
 from pitbars.operators.resample import latest_revisions, periodic_equity, resample
 from pitbars.plans import backtest as bt
+from pitbars.plans.ingest import derive
 from pitbars.session import prepare, scratch, staged
 from pitbars.sources import digests, klines
 from pitbars.sources import testtables as tt
-from pitbars.sources.catalog import head, partition_stats, point_in_time, register_asof
+from pitbars.sources.catalog import BarCatalog, dataset_id, head, partition_stats, point_in_time, register_asof
+from pitbars.sources.files import Source, read_bars
+from pitbars.sources.ledgers import LedgerStore, write_features
 from pitbars.streaming import bars as streaming
 from pitbars.types import DAY, HOUR, MINUTE, SECOND
 
@@ -123,16 +126,165 @@ def catalog_partition_stats(spark, d):
     return partition_stats(dated)
 
 
+def _stored(spark, d, **options) -> tuple[BarCatalog, str]:
+    """The revised bars as a stored dataset of a catalog of its own."""
+    catalog = BarCatalog(spark, scratch(spark, "catalog"))
+    dataset, existed = catalog.write(
+        staged(tt.revised_bars(spark, d), "bars"), {"source": "events", "bar_size": "1h"}, **options
+    )
+    assert not existed
+    return catalog, dataset
+
+
 @query()
 def catalog_pruned_partitions(spark, d):
-    dated = tt.bars(spark, d).withColumn("date", floor_time("bar_start", DAY))
-    stats = partition_stats(dated, ["date", "instrument_id"])
-    kept = (
-        (F.col("min_available_at") <= instant(AS_OF))
-        & (F.col("max_bar_start") >= instant(START))
-        & (F.col("min_bar_start") < instant(END))
+    """The days a read has to open, from the stored metadata, with the rows they hold."""
+    catalog, dataset = _stored(spark, d)
+    days = catalog.selected_dates(dataset, as_of=AS_OF, start=START, end=END)
+    held = catalog.tables()["dataset_partitions"].where(F.col("dataset") == dataset)
+    return held.where(F.col("date").isin(days)).select("date", "row_count")
+
+
+@query()
+def catalog_stored_scan(spark, d):
+    catalog, dataset = _stored(spark, d)
+    seen = catalog.scan(dataset, as_of=AS_OF, start=START, end=END, bar_size="1h")
+    return seen.select("instrument_id", "bar_start", "available_at", "close", "revision")
+
+
+@query()
+def catalog_stored_asof(spark, d):
+    """The SQL table function over a stored dataset, with a predicate on top."""
+    catalog, dataset = _stored(spark, d)
+    seen = catalog.query_asof(dataset, AS_OF, where="volume > 0")
+    return seen.select("instrument_id", "bar_start", "revision", "close")
+
+
+@query()
+def catalog_unfiltered(spark, d):
+    catalog, dataset = _stored(spark, d)
+    rows = catalog.scan_unfiltered(dataset, reason="count every stored row")
+    held = rows.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("rows"), F.max("revision").alias("revision"))
+    return held.withColumn("identified", F.lit(dataset == dataset_id({"source": "events", "bar_size": "1h"})))
+
+
+@query()
+def catalog_derived_daily(spark, d):
+    """Daily bars as a dataset of their own that names its parent."""
+    catalog, dataset = _stored(spark, d)
+    coarse, _ = derive(catalog, dataset, source_size="1h", target_size="1d")
+    rows = catalog.scan_unfiltered(coarse, reason="report the derived dataset")
+    return rows.select("instrument_id", "bar_size", "bar_start", "bar_end", "available_at", "open", "high", "low",
+                       "close", "volume", "vwap", "trade_count", "revision")
+
+
+@query()
+def catalog_verify_altered(spark, d):
+    """A stored dataset before and after the closes of its first day are written anew."""
+    catalog, dataset = _stored(spark, d, hash_files=True)
+    before = catalog.verify(dataset).select(F.lit("before").alias("moment"), "part")
+    before = staged(before, "verified")
+    stored = catalog.scan_unfiltered(dataset, reason="alter one stored day")
+    day = stored.agg(F.min(F.to_date("bar_start"))).first()[0]
+    altered = staged(
+        stored.where(F.to_date("bar_start") == day).withColumn("close", F.col("close") + 0.5), "altered"
+    )
+    altered.write.mode("overwrite").parquet(f"{catalog.root}/bars/dataset={dataset}/date={day}")
+    after = catalog.verify(dataset).select(F.lit("after").alias("moment"), "part")
+    return before.unionByName(after)
+
+
+@query()
+def feature_store_round_trip(spark, d):
+    """Stored feature rows next to the table that says what they are."""
+    specs = [ft.lagged_return(1), ft.rolling_range(3)]
+    path = scratch(spark, "features")
+    write_features(_features(spark, d, specs), specs, path)
+    about = spark.read.parquet(f"{path}/specs").agg(F.count_distinct("fingerprint").alias("specs"))
+    rows = spark.read.parquet(f"{path}/rows").select("instrument_id", "bar_start", "ret_1", "range_3")
+    return rows.withColumn("specs", about.scalar())
+
+
+@query()
+def ledger_store_round_trip(spark, d):
+    """Fills of a published run, read back, and whether recomputed ones carry its digest."""
+    f = tt.fills(spark, d).withColumns({"fold": F.lit(0), "role": F.lit("test")})
+    curve = f.groupBy("fold", "role", F.col("fill_at").alias("at")).agg(
+        F.count(F.lit(1)).cast("double").alias("equity"), F.max("line").cast("double").alias("cash")
+    )
+    frames = {"fills": staged(f, "fills"), "equity_curve": staged(curve, "curve")}
+    store = LedgerStore(spark, scratch(spark, "ledgers"))
+    store.publish("first", frames, {"experiment_id": "e"})
+    again = store.reproduces("first", f, curve)
+    changed = store.reproduces("first", f.withColumn("fee", F.col("fee") + 1), curve)
+    read = store.load("fills", ["first"]).groupBy("instrument_id").agg(
+        F.count(F.lit(1)).alias("fills"), F.sum(F.col("quantity").cast("bigint")).alias("quantity")
+    )
+    return read.withColumns({"again": F.lit(again), "changed": F.lit(changed)})
+
+
+@query()
+def source_files_read(spark, d):
+    """Bars written as CSV, gzipped CSV and Parquet, read back as one source with a revision each."""
+    b = staged(tt.bars(spark, d), "bars")
+    part = F.pmod(hour_of(), F.lit(3))
+    plain = b.select(
+        part.alias("part"), F.concat(F.lit("sym_"), "instrument_id").alias("symbol"), F.col("bar_start").alias("timestamp"),
+        "open", "high", "low", "close", "volume", "vwap", "trade_count",
     )
-    return stats.where(kept & (F.col("instrument_id") == "click")).select("date", "row_count")
+    text = plain.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    base = scratch(spark, "files")
+    for number, codec in ((0, "none"), (1, "gzip")):
+        mine = text.where(F.col("part") == number).drop("part")
+        mine.write.option("header", True).option("compression", codec).csv(f"{base}/{number}")
+    plain.where("part = 2").drop("part").write.parquet(f"{base}/2")
+    names = b.select("instrument_id", F.concat(F.lit("sym_"), "instrument_id").alias("symbol")).distinct()
+    aliases = names.select(
+        "instrument_id", "symbol", F.lit("s").alias("source"),
+        F.timestamp_micros(F.lit(0)).alias("effective_from"), F.lit(None).cast("timestamp").alias("effective_to"),
+    )
+    kinds = ("csv", "csv", "parquet")
+    read, unmapped = read_bars(
+        spark, [Source(f"{base}/{i}", kind, revision=i) for i, kind in enumerate(kinds)], aliases=aliases,
+        bar_size="1h", label="bar_start", latency="2s", source="s",
+        mapping={"vwap": "vwap", "trade_count": "trade_count"},
+    )
+    refused = unmapped.agg(F.count(F.lit(1))).scalar()
+    return read.select("instrument_id", "bar_start", "available_at", "open", "close", "volume", "vwap", "trade_count",
+                       "revision", refused.alias("unmapped"))
+
+
+@query()
+def feature_user_staged(spark, d):
+    """A user's average true range: the previous close, the true range of it, then its mean."""
+    before, true_range = ft.step_column("previous_close"), ft.step_column("true_range")
+    steps = (
+        ft.Step("previous_close", lambda w: F.lag("close", 1).over(w)),
+        ft.Step(
+            "true_range",
+            lambda w: F.greatest("high", before) - F.least("low", before), uses=("previous_close",),
+        ),
+    )
+    atr = ft.FeatureSpec(
+        "atr_3", ("high", "low", "close"), 3, lambda w: F.avg(true_range).over(w.rowsBetween(-2, 0)),
+        kind="user_atr", steps=steps,
+    )
+    gap = ft.FeatureSpec(
+        "gap_1", ("open", "close"), 1, lambda w: F.col("open") / F.col(before) - 1, kind="user_gap", steps=steps[:1]
+    )
+    return _features(spark, d, [atr, gap, ft.rolling_volatility(5)])
+
+
+@query()
+def split_fixed(spark, d):
+    """One stated fold with the gaps between its parts."""
+    fold = splits.fixed_split(
+        spark, train=("2024-01-03T00:00:00+00:00", "2024-01-15T00:00:00+00:00"),
+        validation=("2024-01-15T06:00:00+00:00", "2024-01-20T00:00:00+00:00"),
+        test=("2024-01-20T06:00:00+00:00", "2024-01-27T00:00:00+00:00"), warmup="1d", purge="2h", label_horizon="6h",
+    )
+    tagged = splits.assign_roles(tt.bars(spark, d), fold)
+    return tagged.select("instrument_id", "bar_start", "split_role")
 
 
 @query()
@@ -1357,3 +1509,43 @@ def stream_findings(spark, d):
     done.awaitTermination()
     found = spark.read.parquet(f"{base}/found")
     return found.groupBy("check", "severity").agg(F.sum("occurrences").alias("occurrences"))
+
+
+def _arriving(rows: DataFrame, at: str, late_by: F.Column, name: str) -> tuple[str, DataFrame]:
+    """Rows stored in files in the order they arrive, each file five days of arrivals."""
+    folder = scratch(rows.sparkSession, name)
+    day = bucket_of(F.unix_micros(at) + late_by, 5 * DAY)
+    placed = staged(rows.withColumn("__arrival", day), name)
+    for (number,) in placed.select("__arrival").distinct().orderBy("__arrival").collect():
+        mine = placed.where(F.col("__arrival") == number).drop("__arrival")
+        mine.coalesce(1).write.mode("append").parquet(folder)
+    return folder, rows
+
+
+@query()
+def stream_late_rows(spark, d):
+    """Events that arrive up to 36 hours late, kept or told apart at a watermark of 12 hours."""
+    events = tt.load(spark, d, "events").select("event_id", "event_type", "ts")
+    folder, _ = _arriving(events, "ts", F.pmod("event_id", F.lit(7)) * (6 * HOUR), "arrivals")
+    base = scratch(spark, "late")
+    done = (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        .writeStream.foreachBatch(streaming.late_rows_sink(base, at="ts", bar_size="1h", latency="12h"))
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+    done.awaitTermination()
+    counts = [
+        spark.read.schema(events.schema).parquet(f"{base}/{side}").groupBy("event_type").agg(F.count(F.lit(1)).alias(side))
+        for side in ("kept", "late")
+    ]
+    return counts[0].join(counts[1], "event_type", "full").fillna(0)
+
+
+@query()
+def stream_availability_order(spark, d):
+    """Bars that arrive out of order, compared with their predecessors once the watermark passes."""
+    kept = ["instrument_id", "bar_start", "revision", "available_at"]
+    b = tt.bars(spark, d).select(*kept)
+    folder, _ = _arriving(b, "bar_start", F.pmod(hour_of(), F.lit(7)) * (3 * HOUR), "arrivals")
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return _drain(spark, streaming.stream_out_of_order(stream, delay="2d", forget="20d"))

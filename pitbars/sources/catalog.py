@@ -110,24 +110,28 @@ class BarCatalog:
         return dataset, False
 
     def file_hashes(self, dataset: str) -> DataFrame:
-        """Bytes and SHA-256 of each file, gathered per day in path order."""
-        files = (
-            self.spark.read.format("binaryFile")
-            .option("pathGlobFilter", "*.parquet")
-            .option("recursiveFileLookup", True)
-            .load(self._path("bars", dataset))
+        """Bytes and a digest of the files of each day.
+
+        Files are read as runs of bytes between newlines, which Spark splits like any text, so
+        a file of any size is read by many tasks and no row holds more than one run. The digest
+        sums the runs' hashes with their lengths; with the number of bytes it tells any change
+        but a new order of whole runs, which the content digest finds.
+        """
+        pieces = (
+            self.spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.parquet").text(self._path("bars", dataset))
         )
-        per_file = files.select(
-            F.to_date(F.regexp_extract("path", r"date=(\d{4}-\d\d-\d\d)", 1)).alias("date"),
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
-            "length",
-            F.sha2("content", 256).alias("sha"),
+        day = F.to_date(F.regexp_extract("_metadata.file_path", r"date=(\d{4}-\d\d-\d\d)", 1))
+        run = F.col("value").cast("binary")
+        hashed = pieces.select(
+            day.alias("date"), (F.octet_length(run) + 1).cast("bigint").alias("n"),
+            F.xxhash64(run).cast("decimal(20,0)").alias("a"), F.xxhash64(F.lit(1), run).cast("decimal(20,0)").alias("b"),
         )
-        listed = F.sort_array(F.collect_list(F.struct("file", "length", "sha")))
-        return per_file.groupBy("date").agg(
-            F.sum("length").alias("byte_size"),
-            F.sha2(F.to_json(listed), 256).alias("files_sha256"),
+        summed = hashed.groupBy("date").agg(
+            F.sum("n").alias("byte_size"), F.count(F.lit(1)).alias("runs"), F.sum("a").alias("a"), F.sum("b").alias("b")
         )
+        parts = [F.col(c).cast("string") for c in ("byte_size", "runs", "a", "b")]
+        return summed.select("date", "byte_size", F.sha2(F.concat_ws(":", *parts), 256).alias("files_digest"))
 
     # -- reading ---------------------------------------------------------------------------
 
@@ -191,7 +195,7 @@ class BarCatalog:
         stored = self._stored(dataset)
         recorded = self.spark.read.parquet(self._path("dataset_partitions", dataset))
         now = partition_stats(stored)
-        if "files_sha256" in recorded.columns:
+        if "files_digest" in recorded.columns:
             now = now.join(self.file_hashes(dataset), "date", "left")
         names = [c for c in recorded.columns if c != "date" and c in now.columns]
         joined = recorded.select("date", F.struct(*names).alias("recorded")).join(
@@ -217,24 +221,27 @@ class BarCatalog:
         found = {n: self._table(n) for n in names}
         return {n: df for n, df in found.items() if df is not None}
 
-    def register(self) -> list[str]:
-        """Views ``datasets``, ``dataset_partitions``, ``bars_<id>``, and ``bars_asof_<id>(t)``."""
+    def register(self, datasets: Sequence[str]) -> list[str]:
+        """Views ``datasets``, ``dataset_partitions``, ``bars_<id>``, and ``bars_asof_<id>(t)``.
+
+        Which datasets there are is read from the view ``datasets``; only those asked for get
+        views of their own.
+        """
         made = []
         for name, df in self.tables().items():
             df.createOrReplaceTempView(name)
             made.append(name)
-        listed = self._table("datasets")
-        ids = [] if listed is None else [r[0] for r in listed.select("dataset").distinct().collect()]
-        for dataset in ids:
-            view = f"bars_{dataset}"
-            self._stored(dataset).select(*BAR_COLUMNS).createOrReplaceTempView(view)
-            register_asof(self.spark, view, f"bars_asof_{dataset}")
-            made.append(view)
-        return made
+        return made + [self._register(dataset) for dataset in datasets]
+
+    def _register(self, dataset: str) -> str:
+        view = f"bars_{dataset}"
+        self._stored(dataset).select(*BAR_COLUMNS).createOrReplaceTempView(view)
+        register_asof(self.spark, view, f"bars_asof_{dataset}")
+        return view
 
     def query_asof(self, dataset: str, as_of, *, where: str | None = None) -> DataFrame:
         """The as-of table function with an optional extra SQL predicate."""
-        self.register()
+        self._register(dataset)
         moment = utc(as_of).strftime("%Y-%m-%d %H:%M:%S.%f")
         rows = self.spark.sql(f"SELECT * FROM bars_asof_{dataset}(TIMESTAMP '{moment}')")
         return rows if where is None else rows.where(F.expr(where))

@@ -13,7 +13,7 @@ from pitbars.operators import normalize, quality
 from pitbars.operators.resample import latest_revisions, resample
 from pitbars.plans.ingest import derive, ingest
 from pitbars.sources.catalog import BarCatalog, dataset_id, point_in_time
-from pitbars.sources.files import ColumnMapping, read_bars, strict_utc
+from pitbars.sources.files import Source, read_bars, strict_utc
 from pitbars.sources.klines import parse_klines
 from pitbars.sources.ledgers import LedgerStore, write_features
 from pitbars.types import format_micros, micros, utc
@@ -54,13 +54,31 @@ def test_csv_source_with_symbol_change_and_unmapped_rows(spark, tmp_path, suffix
         f.write(CSV)
     bars, unmapped = read_bars(
         spark, str(path), aliases=aliases(spark), bar_size="1m", label="bar_start", latency="2s",
-        source="s", mapping=ColumnMapping(trade_count="trades"),
+        source="s", mapping={"trade_count": "trades"},
     )
     got = rows_of(bars.select("instrument_id", "bar_start", "available_at", "trade_count"), "bar_start")
     assert got == [("id1", at(i), at(i + 1, 2), 3) for i in range(3)]
     assert sorted(rows_of(unmapped)) == [("OLD", 1), ("ZZZ", 1)]
 
 
+def test_many_sources_of_mixed_formats(spark, tmp_path):
+    lines = CSV.splitlines()
+    (tmp_path / "day").mkdir()
+    (tmp_path / "day" / "a.txt").write_text("\n".join(lines[:2]) + "\n")
+    with gzip.open(tmp_path / "b.csv.gz", "wt") as f:
+        f.write("\n".join([lines[0], lines[2]]) + "\n")
+    typed = spark.createDataFrame([(at(2), "NEW", 1.0, 2.0, 0.5, 1.5, 10.0, 3)], "timestamp TIMESTAMP, symbol STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, trades BIGINT")
+    typed.coalesce(1).write.parquet(str(tmp_path / "c.parquet"))
+    bars, _ = read_bars(
+        spark, [Source(str(tmp_path / "day"), "csv", revision=2), str(tmp_path / "b.csv.gz"), Source(str(tmp_path / "c.parquet"), revision=1)],
+        aliases=aliases(spark), bar_size="1m", label="bar_start", latency="2s", source="s",
+        mapping={"trade_count": "trades"}, keep_file=True,
+    )
+    got = rows_of(bars.select("bar_start", "revision", "trade_count", "close", "source_key"), "bar_start")
+    assert [r[:4] for r in got] == [(at(0), 2, 3, 1.5), (at(1), 0, 3, 1.5), (at(2), 1, 3, 1.5)]
+    assert [r[4] for r in got][:2] == ["a.txt", "b.csv.gz"]
+
+
 def test_source_refusals(spark, tmp_path):
     path = tmp_path / "bars.csv"
     path.write_text(CSV.replace("00:01:00Z", "00:01:00"))
@@ -68,8 +86,8 @@ def test_source_refusals(spark, tmp_path):
     bars, _ = read_bars(spark, str(path), **args)
     with pytest.raises(Exception, match="no UTC offset"):
         bars.collect()
-    with pytest.raises(ValueError, match="lacks"):
-        read_bars(spark, str(path), mapping=ColumnMapping(vwap="vw"), **args)
+    with pytest.raises(ValueError, match=r"lacks \['close \(c\)', 'vwap \(vw\)'\].*'vol'"):
+        read_bars(spark, str(path), mapping={"vwap": "vw", "close": "c", "vol": "x"}, **args)
     with pytest.raises(ValueError, match="unsupported"):
         read_bars(spark, "x.json", **args)
     naive = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' AS t")
@@ -230,7 +248,7 @@ def test_catalog_round_trip(spark, make_bars, tmp_path):
 
     sql = catalog.query_asof(dataset, at(10), where="volume > 0")
     assert sql.count() == catalog.scan(dataset, as_of=at(10), revisions="all").count()
-    assert {"datasets", "dataset_partitions", f"bars_{dataset}"} <= set(catalog.register())
+    assert {"datasets", "dataset_partitions", f"bars_{dataset}"} <= set(catalog.register([dataset]))
     with pytest.raises(ValueError):
         catalog.scan_unfiltered(dataset, reason="why")
 
