@@ -13,8 +13,11 @@ a star in every band's bucket, and the exact similarity is then computed within
 
 * copies (equal word sequences) are one class before anything is compared;
 * a group of up to ``GROUP_ROWS`` classes is compared in one task;
-* a larger group is compared per bucket, and a larger bucket in blocks of ``GROUP_ROWS`` by
-  ``GROUP_ROWS``, so no task's size grows with a group and no candidate is passed over.
+* a larger group is cut into chunks of that size, and some of its members, the pivots, are
+  compared with all of it at once, chunk by chunk. What they link becomes one part. Members
+  outside the largest part that have not been pivots yet are the next round's, until there
+  are none: of two members in different parts one has then been compared with the other, so
+  no pair is passed over. Copies of one text are one part after a round or two.
 
 Tasks emit spanning links only, at most one per class and task, never all pairs.
 """
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitbars.llm.graph import components, join_checked
@@ -260,6 +263,83 @@ def _verified(grouped, similarity: float) -> DataFrame:
     return grouped.applyInArrow(run, "a bigint, b bigint")
 
 
+#: Pivots of a group in the first round, and in any later one.
+_FIRST_PIVOTS, _PIVOTS = 16, 512
+
+
+def pivot_links(
+    pivot_ids: np.ndarray, pivots: list[np.ndarray], ids: np.ndarray, sets: list[np.ndarray], similarity: float
+) -> list[tuple[int, int]]:
+    """Links that join what the pivots connect among the rows, one fewer than they join."""
+    sizes = np.array([len(s) for s in sets])
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    links, names = [], np.concatenate([pivot_ids, ids])
+    # A pivot may be one of the rows: both places are one member from the start.
+    known = {int(x): i for i, x in enumerate(pivot_ids)}
+    part = np.arange(len(names))
+    for i, x in enumerate(ids.tolist()):
+        if x in known:
+            part[len(pivot_ids) + i] = part[known[x]]
+    for at, (pivot, mine) in enumerate(zip(pivot_ids, pivots)):
+        low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+        lengths = high - low
+        spread = np.repeat(low - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        shared = np.bincount(owners[spread], minlength=len(sets))
+        # Integers decide, so that a pair exactly at the similarity is one.
+        near = (shared > 0) & (shared >= similarity * (sizes + len(mine) - shared) - 1e-9)
+        for other in np.flatnonzero(near) + len(pivot_ids):
+            if part[other] != part[at]:
+                links.append((int(pivot), int(names[other])))
+                part[part == part[other]] = part[at]
+    return links
+
+
+def _set_lists(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct ids and their sets."""
+    ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
+    column = table.column("set").combine_chunks()
+    flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
+    return ids, [flat[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]] for i in first]
+
+
+def _pivoted(rows: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """``a, b``: links that connect the near members of large groups (``root, n, id, set``)."""
+    chunks = F.ceil(F.col("n") / group_rows)
+    members = rows.select("root", "n", "id").distinct()
+
+    def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
+        links = pivot_links(*_set_lists(asked), *_set_lists(held), similarity)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    def first_of(candidates: DataFrame, count: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("id"), "id"))
+        return staged(candidates.withColumn("__n", place).where(F.col("__n") <= count).drop("__n"), "pivots")
+
+    pivots = first_of(members, _FIRST_PIVOTS)
+    asked, links, count = pivots, None, _FIRST_PIVOTS
+    while not pivots.isEmpty():
+        at_work = F.col("root"), F.pmod(F.xxhash64("id"), chunks).alias("chunk")
+        held = rows.join(pivots.select("root").distinct(), "root", "left_semi").select(*at_work, "id", "set")
+        sent = pivots.join(rows.select("id", F.col("set").alias("set")), "id").select(
+            "root", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"), "id", "set"
+        )
+        met = held.groupBy("root", "chunk").cogroup(sent.groupBy("root", "chunk"))
+        fresh = staged(met.applyInArrow(compare, "a bigint, b bigint"), "pivot-links")
+        links = fresh if links is None else links.unionByName(fresh)
+        parts = components(links).select(F.col("node").alias("id"), F.col("root").alias("part"))
+        placed = members.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+        placed = staged(placed.join(asked.select("id", F.lit(True).alias("asked")), "id", "left"), "parts")
+        sizes = placed.groupBy("root", "part").agg(F.count(F.lit(1)).alias("k"))
+        largest = sizes.groupBy("root").agg(F.max(F.struct("k", "part"))["part"].alias("top"))
+        left = placed.join(largest, "root").where("part <> top and asked is null").select("root", "n", "id")
+        count = min(4 * count, _PIVOTS)
+        pivots = first_of(left, count)
+        asked = asked.unionByName(pivots)
+    return rows.sparkSession.createDataFrame([], "a bigint, b bigint") if links is None else links
+
+
 def near_duplicates(
     df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", weighting: str = "set",
     similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS,
@@ -293,17 +373,8 @@ def near_duplicates(
     sets = staged(_with_sets(chosen, ["id", "root", "n"]), "sets")
 
     small = _verified(sets.where(F.col("n") <= group_rows).groupBy("root"), similarity)
-    large = sets.where(F.col("n") > group_rows).select("id", "set")
-    # Buckets of large groups: blocks of chunks, each row beside every chunk of its bucket.
-    wide = banded.join(members.where(F.col("n") > group_rows).select("id"), "id")
-    counts = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / group_rows)
-    chunk = F.pmod(F.xxhash64("id"), chunks)
-    placed = wide.join(counts, "key").withColumn("chunk", chunk).withColumn(
-        "with", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1))
-    ).select("id", "key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("k"))
-    wide_links = _verified(placed.join(large, "id").groupBy("key", "i", "k"), similarity)
-    roots = staged(components(small.unionByName(wide_links)), "classes")
+    large = sets.where(F.col("n") > group_rows).select("root", "n", "id", "set")
+    roots = staged(components(small.unionByName(_pivoted(large, similarity, group_rows))), "classes")
 
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("root", "rep").alias("class_id")
