@@ -68,6 +68,9 @@ def split_points(rows: DataFrame, n_rows: int, total: int) -> list[str]:
             wanted = OVERSAMPLE * pieces[r.range]
             by_rows = F.lit(wanted / r.n) if r.n > most_rows else F.lit(float(wanted)) * F.col("size") / F.lit(float(r.b))
             keys = [k for k in _sample(inside, by_rows) if k > r.low]
+            while not keys:  # the highest key is drawn in the end
+                by_rows = 2 * by_rows
+                keys = [k for k in _sample(inside, by_rows) if k > r.low]
             step = max(1, len(keys) // pieces[r.range])
             fresh.update(keys[step - 1 :: step])
         if fresh <= set(points):
