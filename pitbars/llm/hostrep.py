@@ -88,8 +88,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     Args:
         pages: ``page_id, host``.
-        outcomes: ``page_id, bad`` (boolean); a page's repeated outcomes are averaged into one,
-            null outcomes count as missing.
+        outcomes: ``page_id, bad`` (boolean); a page is bad if one of its outcomes is; null
+            outcomes count as missing.
 
     Counts are combined before each shuffle, per host, then per domain from hosts, then per
     suffix from domains, so a host with most of the rows is a few rows by then. The empty host

@@ -99,6 +99,7 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of a number takes the outcome that ``labels`` has for that number."""
     labels = _table(spark, sf_dir, "labels")
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    bad = F.when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), bad)
     outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     judged = hostrep.judge(_table(spark, sf_dir, "pages"), outcomes, RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -217,7 +218,7 @@ WITH parsed AS (
   FROM parsed
 ), outcomes AS (
   SELECT doc_id AS page_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT) AS bad
-  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+  FROM labels WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY doc_id
 ), hosts AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
          regexp_replace(host, ':[0-9]*$', '') AS bare
