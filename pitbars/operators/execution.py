@@ -350,11 +350,3 @@ def chain_violations(fills: DataFrame) -> DataFrame:
         & (F.col("eligible_at") <= F.col("fill_at"))
     )
     return fills.where(~ok)
-
-
-def liquidation_targets(targets: DataFrame, published: DataFrame, *, end, keys=()) -> DataFrame:
-    """Zero targets for every traded name at the first publication at or after ``end``."""
-    moment = published.where(F.col("available_at") >= instant(end)).agg(F.min("available_at")).scalar()
-    names = targets.select(*keys, "instrument_id").distinct()
-    rows = names.withColumn("decision_at", moment).where(F.col("decision_at").isNotNull())
-    return rows.select(*keys, "instrument_id", "decision_at", F.lit(0.0).alias("target"))

@@ -8,7 +8,7 @@ parameter point, a cost scenario, and a fill rule are rows, so a sweep is one pl
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from pitbars.operators.joins import interval_join
 from pitbars.operators.ledger import equity_curve
 from pitbars.operators.metrics import Annualization, annualization_for, in_decision_range, performance
 from pitbars.operators.ordered import running
+from pitbars.operators.rangeend import close_accounts
 from pitbars.session import staged
 from pitbars.types import DAY
 
@@ -32,6 +33,9 @@ class Setup:
     fill_rules: Sequence[str] = ex.FILL_RULES
     scenarios: Sequence[str] | None = None
     calendar_id: str = "24x7:1"
+    #: ``mark`` or ``liquidate`` (:mod:`pitbars.operators.rangeend`); without one, orders fill as
+    #: long as there are opens and nothing is reported about the end.
+    end_of_range: str | None = None
 
     def annualization(self) -> Annualization:
         return annualization_for(self.calendar_id, self.bar_size)
@@ -76,20 +80,30 @@ def orders_from_targets(
     )
 
 
-def fills_under(orders: DataFrame, bars: DataFrame, setup: Setup) -> DataFrame:
-    """Costed fills for every fill rule and scenario of the setup."""
+def matched_under(orders: DataFrame, bars: DataFrame, setup: Setup) -> DataFrame:
+    """Fills for every fill rule of the setup, before costs."""
     matched = None
     for rule in setup.fill_rules:
-        execution = ex.Execution(
-            setup.execution.submission_latency, setup.execution.order_latency,
-            setup.execution.expire_after, rule, setup.execution.participation_cap,
-            setup.execution.liquidity_lookback,
-        )
-        part = ex.match_orders(orders, bars, execution, step=setup.bar_size).withColumn(
+        part = ex.match_orders(orders, bars, replace(setup.execution, fill_rule=rule), step=setup.bar_size).withColumn(
             "fill_rule", F.lit(rule)
         )
         matched = part if matched is None else matched.unionByName(part)
-    return ex.execution_costs(ex.with_scenarios(matched, setup.scenarios))
+    return matched
+
+
+def _closed(
+    orders: DataFrame, matched: DataFrame, bars: DataFrame, spans: DataFrame, setup: Setup, base: Sequence[str]
+) -> dict[str, DataFrame]:
+    """The end-of-range policy of the setup, rule by rule."""
+    out: dict[str, DataFrame] = {}
+    for rule in setup.fill_rules:
+        part = close_accounts(
+            orders.withColumn("fill_rule", F.lit(rule)), matched.where(F.col("fill_rule") == rule), bars, spans,
+            replace(setup.execution, fill_rule=rule), policy=setup.end_of_range, step=setup.bar_size,
+            account=[*base, "fill_rule"], increment=setup.increment,
+        )
+        out = part if not out else {name: out[name].unionByName(df) for name, df in part.items()}
+    return out
 
 
 def backtest(
@@ -99,8 +113,8 @@ def backtest(
     """Ledgers and metrics per run, fill rule, scenario, fold and role.
 
     ``targets``: run columns, ``instrument_id, decision_at, bar_start, target``. Every fold
-    and role is its own account: decisions inside its range trade, and positions stay as they
-    are at its end. ``accounts`` (run columns, ``fold, role``) lists those that get a curve and
+    and role is its own account: decisions inside its range trade. With an end-of-range policy
+    the result also has its ``events, findings`` and ``positions``. ``accounts`` (run columns, ``fold, role``) lists those that get a curve and
     a metric row although they may never trade; without it, they are the ones with fills.
     """
     spans = staged(folds.where(F.col("role").isin(list(roles))), "folds")
@@ -110,7 +124,12 @@ def backtest(
     base = [*run, "fold", "role"]
     estimates = ex.liquidity_estimates(bars, setup.execution.liquidity_lookback)
     orders = staged(orders_from_targets(placed, bars, estimates, setup, run=base), "orders")
-    fills = staged(fills_under(orders, bars, setup), "fills")
+    ended: dict[str, DataFrame] = {}
+    matched = matched_under(orders, bars, setup)
+    if setup.end_of_range is not None:
+        ended = _closed(orders, staged(matched, "matched"), bars, spans, setup, base)
+        matched = ended.pop("fills")
+    fills = staged(ex.execution_costs(ex.with_scenarios(matched, setup.scenarios)), "fills")
     account = [*base, "fill_rule", "scenario"]
     marks = interval_join(
         bars.select("instrument_id", F.col("available_at").alias("at"), F.col("close").alias("price")),
@@ -136,4 +155,4 @@ def backtest(
         ranged, keys=account, bar_size=setup.bar_size, annualization=setup.annualization(),
         fills=fills, orders=under_each(orders),
     ).withColumn("sizing", F.lit("initial_capital"))
-    return {"orders": orders, "fills": fills, "equity_curve": curve, "metrics": metrics}
+    return {"orders": orders, "fills": fills, "equity_curve": curve, "metrics": metrics, **ended}

@@ -1077,14 +1077,6 @@ add(
     f"""WITH {NEXT_OPEN} SELECT instrument_id, count(*) AS n FROM matched
     WHERE epoch_us(signal_at) % 5 = 0 GROUP BY 1""",
 )
-add(
-    "liquidation_targets",
-    f"""WITH {FEATURE_BASE}, f AS (SELECT DISTINCT instrument_id FROM r WHERE {gap('b1', 1)})
-    SELECT instrument_id, (SELECT min(available_at) FROM bars WHERE available_at >= {AS_OF}) AS decision_at,
-      0.0 AS target FROM f""",
-    "target",
-)
-
 
 def toward(q: str, inc: str = "increment") -> str:
     return f"(sign({q}) * floor(abs({q}) / {inc} + 1e-9) * {inc})"
@@ -1530,6 +1522,65 @@ add(
     4,
 )
 
+END_REPORT = """
+canc AS (SELECT o.acct, count(*) AS cancelled FROM ords o JOIN ends e USING (acct) LEFT JOIN (
+    SELECT order_id, sum(quantity) AS filled FROM kept GROUP BY 1) d USING (order_id)
+  WHERE o.quantity - coalesce(filled, 0) > 1e-12 AND o.expires_at > ends_at GROUP BY 1),
+lastmark AS (SELECT instrument_id, arg_max(close, (available_at, bar_start)) AS mark FROM bars GROUP BY 1),
+posn AS (SELECT acct, instrument_id, sum(signed) AS q FROM book GROUP BY 1, 2 HAVING abs(sum(signed)) > 1e-9),
+held AS (SELECT acct, count(*) AS open_positions, sum(q * mark) AS value FROM posn JOIN lastmark USING (instrument_id) GROUP BY 1),
+money AS (SELECT acct, count(*) AS fills, count(*) FILTER (liquidation) AS liquidation_fills,
+    100000.0 + sum(-signed * price - fee) AS cash FROM book GROUP BY 1)
+SELECT CAST(split_part(acct, '|', 1) AS INTEGER) AS fold, split_part(acct, '|', 2) AS role, fills, liquidation_fills, cash,
+  coalesce(cancelled, 0) AS cancelled, coalesce(open_positions, 0) AS open_positions, coalesce(value, 0) AS value,
+  coalesce(findings, 0) AS findings
+FROM money LEFT JOIN canc USING (acct) LEFT JOIN held USING (acct) LEFT JOIN found USING (acct)"""
+add(
+    "backtest_end_mark",
+    f"""WITH {BT.split("mk AS (")[0].rstrip().rstrip(",")},
+    ends AS (SELECT DISTINCT acct, (SELECT greatest(max(bar_start), max(available_at)) FROM bars) AS ends_at FROM bk),
+    kept AS (SELECT * FROM matched), book AS (SELECT *, false AS liquidation FROM bk),
+    found AS (SELECT acct, 0 AS findings FROM ends WHERE false), {END_REPORT}""",
+    "cash value",
+    4,
+)
+add(
+    "backtest_end_liquidate",
+    f"""WITH {BT.split("c1 AS (")[0].rstrip().rstrip(",")},
+    inst AS (SELECT bar_start AS t FROM bars UNION SELECT available_at FROM bars),
+    ends AS (SELECT CAST(fold AS VARCHAR) || '|' || role AS acct, any_value("end") AS e,
+        min(t) AS ends_at FROM folds LEFT JOIN inst ON t >= "end" WHERE role IN ('validation', 'test') GROUP BY 1),
+    kept AS (SELECT m.*, {SIGNED} FROM matched m JOIN ends USING (acct) WHERE ends_at IS NULL OR fill_at <= ends_at),
+    flat AS (SELECT acct, instrument_id, sum(signed) AS q FROM kept GROUP BY 1, 2 HAVING abs(sum(signed)) > 1e-9),
+    uniq AS (SELECT * FROM est QUALIFY row_number() OVER (
+      PARTITION BY instrument_id, available_at ORDER BY bar_start DESC) = 1),
+    lords AS (SELECT f.acct, f.instrument_id, ends_at AS signal_at, CASE WHEN q > 0 THEN 'sell' ELSE 'buy' END AS side,
+        abs(q) AS quantity, ends_at + INTERVAL 1 SECOND AS eligible_at, ends_at + INTERVAL 6 HOUR AS expires_at,
+        u.liquidity_estimate, floor(0.1 * u.liquidity_estimate / 1e-6 + 1e-12) * 1e-6 AS cap
+      FROM (SELECT * FROM flat JOIN ends USING (acct) WHERE ends_at IS NOT NULL) f
+      ASOF LEFT JOIN uniq u ON f.instrument_id = u.instrument_id AND f.ends_at >= u.available_at),
+    lcand AS (SELECT o.*, b.bar_start AS fill_at, b.open AS reference_price,
+        row_number() OVER (PARTITION BY acct, o.instrument_id ORDER BY b.bar_start) AS n
+      FROM lords o JOIN bars b ON o.instrument_id = b.instrument_id AND b.bar_start >= o.eligible_at
+        AND b.bar_start > o.signal_at AND b.bar_start < o.expires_at),
+    lfill AS (SELECT * REPLACE (CASE WHEN cap IS NULL THEN quantity ELSE least(cap, quantity - (n - 1) * cap) END AS quantity),
+        {SIGNED.replace("quantity", "(CASE WHEN cap IS NULL THEN quantity ELSE least(cap, quantity - (n - 1) * cap) END)")}
+      FROM lcand WHERE (cap IS NULL AND n = 1) OR (cap > 0 AND n - 1 < quantity / cap - 1e-9)),
+    every AS (SELECT acct, instrument_id, side, quantity, signed, liquidity_estimate, reference_price, false AS liquidation FROM kept
+      UNION ALL SELECT acct, instrument_id, side, quantity, signed, liquidity_estimate, reference_price, true FROM lfill),
+    x1 AS (SELECT *, reference_price * 2.5 / 1e4 AS half_spread, coalesce(
+        reference_price * 25.0 / 1e4 * (quantity / liquidity_estimate), reference_price * 10.0 / 1e4) AS slippage FROM every),
+    x2 AS (SELECT *, reference_price + CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (half_spread + slippage) AS price FROM x1),
+    book AS (SELECT *, greatest(quantity * price * 1.0 / 1e4, 0.0) AS fee FROM x2),
+    missed AS (SELECT l.acct, l.instrument_id FROM lords l LEFT JOIN (
+        SELECT acct, instrument_id, sum(quantity) AS filled FROM lfill GROUP BY 1, 2) d USING (acct, instrument_id)
+      WHERE l.quantity - coalesce(filled, 0) > 1e-12
+      UNION ALL SELECT acct, instrument_id FROM flat JOIN ends USING (acct) WHERE ends_at IS NULL),
+    found AS (SELECT acct, count(*) AS findings FROM missed GROUP BY 1), {END_REPORT}""",
+    "cash value",
+    4,
+)
+
 # -- the whole sweep: six parameter points, two fill rules, eight cost scenarios
 
 SWEEP = f"""{FEATURE_BASE},{EST.removeprefix(BARS + ",")}, {folds_sql(168, ROLLING_PARTS, 96, warm=24)}, {SCENARIOS},

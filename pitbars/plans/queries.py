@@ -1101,13 +1101,6 @@ def execution_chain_violations(spark, d):
     return ex.chain_violations(f).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def liquidation_targets(spark, d):
-    b = tt.bars(spark, d)
-    made = targets.lagged_signal(_features(spark, d, [ft.lagged_return(1)]), "ret_1")
-    return ex.liquidation_targets(made, b, end=AS_OF)
-
-
 @query()
 def size_targets(spark, d):
     """Every order day is a decision; customers' orders are intents on the priority's book."""
@@ -1437,6 +1430,42 @@ def backtest_open_loop(spark, d):
     return m.select(*[growth if c == "annualized_return" else c for c in m.columns])
 
 
+def _ended(spark, d, policy: str) -> dict[str, DataFrame]:
+    """The signal's orders and fills, account by account, under an end-of-range policy."""
+    setup = bt.Setup(
+        bar_size="1h", execution=BOOK.execution, scenarios=("base",),
+        fill_rules=("next_open_after_eligibility",), end_of_range=policy,
+    )
+    return _sweep(spark, d, [_axis("threshold", [0.0]), _axis("weight", [0.2])], setup)
+
+
+def _end_report(made: dict[str, DataFrame]) -> DataFrame:
+    """Per fold and role: fills, cancelled orders, open positions, and the money there is."""
+    key = ["fold", "role"]
+    money = -ledger.signed_quantity() * F.col("price") - F.col("fee")
+    fills = made["fills"].groupBy(*key).agg(
+        F.count(F.lit(1)).alias("fills"), F.count_if("liquidation").alias("liquidation_fills"),
+        (F.sum(money) + 100_000.0).alias("cash"),
+    )
+    cancelled = made["events"].groupBy(*key).agg(F.count_if(F.col("status") == "cancelled").alias("cancelled"))
+    held = made["positions"].groupBy(*key).agg(F.count(F.lit(1)).alias("open_positions"), F.sum("value").alias("value"))
+    found = made["findings"].groupBy(*key).agg(F.count(F.lit(1)).alias("findings"))
+    out = fills
+    for other in (cancelled, held, found):
+        out = out.join(other, key, "left")
+    return out.fillna(0)
+
+
+@query(4)
+def backtest_end_mark(spark, d):
+    return _end_report(_ended(spark, d, "mark"))
+
+
+@query(4)
+def backtest_end_liquidate(spark, d):
+    return _end_report(_ended(spark, d, "liquidate"))
+
+
 @query(4)
 def sweep_parameter_grid(spark, d):
     axes = [_axis("threshold", [0.0, 0.5, 1.0]), _axis("weight", [0.1, 0.2])]
