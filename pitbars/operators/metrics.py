@@ -74,9 +74,13 @@ def performance(
     fills: DataFrame | None = None,
     orders: DataFrame | None = None,
     warnings: DataFrame | None = None,
+    trades: DataFrame | None = None,
 ) -> DataFrame:
     """One metric row per key from its equity curve and ledgers.
 
+    With ``trades`` (:func:`pitbars.operators.ledger.trades`, carrying the keys) the row also
+    has their statistics, each under ``trades_``; keys without trades have zero counts.
+
     Restrict the curve to the decision range first (:func:`in_decision_range`); flat
     stretches outside it dilute every rate.
     """
@@ -109,6 +113,13 @@ def performance(
         F.sum("occurrences").alias("warning_count")
     )
     base = _attach(base, warned, keys, {"warning_count": 0})
+    told = []
+    if trades is not None:
+        stats = trade_statistics(trades, keys)
+        named = {c: f"trades_{c}" for c in stats.columns if c not in keys}
+        told = list(named.values())
+        counts = {named[c]: 0 for c in ("trade_count", "open_at_end", "long_count", "short_count")}
+        base = _attach(base, stats.withColumnsRenamed(named), keys, counts)
     n, start, end = F.col("periods"), F.col("start_equity"), F.col("end_equity")
     std = F.when(F.col("__rets") >= 2, F.col("__std"))
     growth = F.try_divide(end, start)
@@ -130,6 +141,7 @@ def performance(
         F.when(start > 0, F.col("total_costs") / start).otherwise(0.0).alias("cost_fraction"),
         "mean_participation", "warning_count",
         F.lit(ppy).alias("periods_per_year"),
+        *told,
     )
 
 

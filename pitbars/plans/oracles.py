@@ -1356,6 +1356,31 @@ add(
     "turnover_annualized avg_gross_exposure avg_net_exposure period_hit_rate total_costs cost_fraction "
     "mean_participation periods_per_year",
 )
+BOOK_TRADES = (
+    TRADES.replace(FILLS, """
+fills AS (SELECT scenario || '|' || instrument_id AS instrument_id, side, quantity, fill_at, reference_price, half_spread,
+  slippage, price, fee, order_id AS order_key, n AS line, 0 AS maker FROM bk)""")
+    .replace("sum(signed) OVER w", "round(sum(signed) OVER w, 6)")
+    .replace("(fee + quantity * half_spread)", "(fee + quantity * (half_spread + slippage))")
+    .replace("1000.0", "mark")
+    .replace("- signed AS position_before", "- signed AS pb0")
+    .replace("FROM agg)", """FROM agg JOIN (SELECT instrument_id AS name, arg_max(close, available_at) AS mark FROM bars
+      GROUP BY 1) ON split_part(instrument_id, '|', 2) = name)""")
+    .replace("AS pb0", "AS position_before")
+    .replace("round(sum(signed) OVER w, 6) - signed AS position_before", "round(sum(signed) OVER w - signed, 6) AS position_before")
+)
+STATISTICS = ORACLES["trade_statistics"]
+_STATS = re.search(r"count\(\*\) FILTER \(is_open = 0\) AS trade_count.*?AS short_count", STATISTICS, re.S)[0]
+add(
+    "metrics_with_trades",
+    f"""WITH {CURVE}, {HOURLY}, {BOOK_TRADES},
+    st AS (SELECT split_part(instrument_id, '|', 1) AS scenario, {re.sub(r" AS (?=[a-z])", " AS trades_", _STATS)} FROM tr GROUP BY 1),
+    ft AS (SELECT scenario, count(*) AS fill_count FROM bk GROUP BY 1)
+    SELECT scenario, total_return, fill_count, st.* EXCLUDE (scenario) FROM perf JOIN ft USING (scenario) JOIN st USING (scenario)""",
+    "total_return trades_win_rate trades_average_win trades_average_loss trades_profit_factor trades_expectancy "
+    "trades_median_duration_s trades_largest_win trades_largest_loss trades_gross_pnl trades_costs trades_net_pnl",
+    3,
+)
 add(
     "metrics_drawdown",
     f"""WITH {CURVE}, {HOURLY} SELECT scenario, period, peak_at,

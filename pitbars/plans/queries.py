@@ -1280,6 +1280,23 @@ def metrics_performance(spark, d):
     return _performance(spark, d)
 
 
+@query(3)
+def metrics_with_trades(spark, d):
+    """A scenario's metric row with the statistics of its flat-to-flat trades."""
+    fills, marks = _book(spark, d)
+    fills = staged(fills, "fills")
+    order, key = ["fill_at", "order_id", "fill_no"], ["scenario", "instrument_id"]
+    curve = staged(ledger.equity_curve(fills, marks, initial_cash=5_000_000.0, run=["scenario"], fill_order=order), "curve")
+    both = F.explode(F.array(F.lit("base"), F.lit("stressed"))).alias("scenario")
+    last = ledger.last_marks(marks).select("*", both)
+    trades = ledger.trades(fills, keys=key, order=order, marks=last)
+    m = metrics.performance(
+        curve, keys=["scenario"], bar_size="1h",
+        annualization=metrics.annualization_for("24x7:1", "1h"), fills=fills, trades=staged(trades, "trades"),
+    )
+    return m.select("scenario", "total_return", "fill_count", *[c for c in m.columns if c.startswith("trades_")])
+
+
 @query()
 def metrics_drawdown(spark, d):
     _, curve = _curve(spark, d)
