@@ -12,8 +12,8 @@ Bands of signature values bring candidates together. Candidates are grouped by c
 a star in every band's bucket, and the exact similarity is then computed within groups:
 
 * copies (equal word sequences) are one class before anything is compared;
-* a group of up to ``GROUP_ROWS`` classes is compared in one task;
-* a larger group is cut into chunks of that size, and some of its members, the pivots, are
+* a group whose sets hold up to ``TASK_ELEMENTS`` shingles is compared in one task;
+* a larger group is cut into chunks of ``GROUP_ROWS`` classes, and some of its members, the pivots, are
   compared with all of it at once, chunk by chunk. What they link becomes one part. Members
   outside the largest part that have not been pivots yet are the next round's, until there
   are none: of two members in different parts one has then been compared with the other, so
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitbars.llm.graph import components, join_checked
+from pitbars.llm.rows import numbered
 from pitbars.llm.text import Block, _Powers, blocks, grams, lists, mixed, salted, signed, small_batches
 from pitbars.session import staged
 
@@ -41,6 +42,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A pair at 0.8 shares one of 24 bands of 5 with probability 0.9999.
 BANDS, BAND_ROWS = 24, 5
+#: Shingles of a group that one task compares (32 MB of hashes); classes in a chunk of a larger one.
+TASK_ELEMENTS = 4_000_000
 GROUP_ROWS = 512
 _CELLS = 400_000
 _U = np.uint64
@@ -342,7 +345,7 @@ def _pivoted(rows: DataFrame, similarity: float, group_rows: int) -> DataFrame:
 
 def near_duplicates(
     df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", weighting: str = "set",
-    similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS,
+    similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, task_elements: int = TASK_ELEMENTS,
 ) -> DataFrame:
     """``doc_id, class_id, kept`` for every row: its class of linked documents.
 
@@ -372,9 +375,13 @@ def near_duplicates(
     chosen = join_checked(texts, members, ["id"], "inner")
     sets = staged(_with_sets(chosen, ["id", "root", "n"]), "sets")
 
-    small = _verified(sets.where(F.col("n") <= group_rows).groupBy("root"), similarity)
-    large = sets.where(F.col("n") > group_rows).select("root", "n", "id", "set")
-    roots = staged(components(small.unionByName(_pivoted(large, similarity, group_rows))), "classes")
+    heavy = sets.groupBy("root").agg(F.sum(F.size("set")).alias("e")).where(F.col("e") > task_elements)
+    heavy = staged(heavy.select("root"), "large-groups")
+    links = _verified(join_checked(sets, heavy, ["root"], "left_anti").groupBy("root"), similarity)
+    if not heavy.isEmpty():
+        large = sets.join(heavy, "root", "left_semi").select("root", "n", "id", "set")
+        links = links.unionByName(_pivoted(large, similarity, group_rows))
+    roots = staged(components(links), "classes")
 
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "d1", "d2", F.coalesce("root", "rep").alias("class_id")
@@ -387,18 +394,17 @@ def near_duplicates(
     )
 
 
-def drop_duplicates(df: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` with one document of each class.
+def drop_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` with one row of each class.
 
-    Of rows that repeat an id one stays; rows without an id all stay.
+    Rows are told apart by their place, not by their id: of a class the row of the smallest id
+    stays (one without an id only where none has one), of rows that repeat it the first. Rows
+    of one id and different texts are different rows.
     """
-    found = staged(near_duplicates(df, doc_id=doc_id, **options), "near")
-    gone = staged(found.where("not kept").select(doc_id).distinct(), "gone")
-    kept = join_checked(df, gone, [doc_id], "left_anti")
-    twice = staged(found.where("kept").groupBy(doc_id).count().where(f"count > 1 and {doc_id} is not null").select(doc_id), "twice")
-    if twice.isEmpty():
-        return kept
-    once = join_checked(kept, twice, [doc_id], "left_anti")
-    return once.unionByName(join_checked(kept, twice, [doc_id], "left_semi").dropDuplicates([doc_id]))
-
-
+    rows = numbered(df)
+    found = near_duplicates(rows, doc_id="__row", text=text, **options).select("__row", "class_id")
+    classes = staged(found.join(rows.select("__row", F.col(doc_id).alias("__id")), "__row"), "near")
+    first = F.min(F.struct(F.col("__id").isNull().alias("no"), "__id", "__row"))["__row"]
+    keep = classes.groupBy("class_id").agg(first.alias("__row"))
+    gone = staged(classes.select("__row").join(keep.select("__row"), "__row", "left_anti"), "gone")
+    return join_checked(rows, gone, ["__row"], "left_anti").drop("__row")

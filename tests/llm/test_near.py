@@ -86,10 +86,12 @@ def near_rows(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("group_rows", [512, 7])
-def test_near_duplicates_equal_brute_force(documents, group_rows):
+@pytest.mark.parametrize("task_elements", [10**6, 300])
+def test_near_duplicates_equal_brute_force(documents, task_elements):
+    """With few elements a task, most groups are compared in chunks with pivots."""
     rows = near_rows(220, 1)
-    found = {r.doc_id: r for r in D.near_duplicates(documents(rows), group_rows=group_rows).collect()}
+    made = D.near_duplicates(documents(rows), group_rows=7, task_elements=task_elements)
+    found = {r.doc_id: r for r in made.collect()}
     expected = exact_classes(rows)
     assert [found[i].class_id for i in range(220)] == expected
     assert all(found[i].kept == (expected[i] == i) for i in range(220))
@@ -119,7 +121,14 @@ def test_awkward_documents(documents, awkward, empty):
     assert D.near_duplicates(empty).count() == 0
     kept = D.drop_duplicates(documents(awkward))
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert sorted(x for x in ids if x is not None) == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 14] and None in ids
+    assert sorted(x for x in ids if x is not None) == [1, 2, 3, 4, 5, 6, 8, 9, 10, 10, 11, 12, 14] and None in ids
+
+
+def test_rows_are_dropped_one_by_one(documents):
+    """One id with different texts, copies without an id, and an id that a copy shares."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    kept = D.drop_duplicates(documents([(1, a), (1, b), (None, c), (None, c), (2, b), (None, a), (3, None), (3, None)]))
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([(1, a), (1, b), (None, c), (3, None), (3, None)], key=str)
 
 
 def test_counts_weigh_repeats(documents):
@@ -209,6 +218,21 @@ def test_spanning_links_connect_what_pairs_connect():
     assert len(links) == 80 - len(set(roots(80, pairs)))
 
 
+def test_pivots_outside_the_largest_part_connect_what_pairs_connect():
+    """One round with every member as pivot, rows in chunks, joins all that pairs join."""
+    rng = random.Random(10)
+    sets = [np.array(sorted(rng.sample(range(30), rng.randrange(5, 12)))) for _ in range(60)]
+    ids, links = np.arange(60), []
+    for chunk in range(4):
+        mine = ids[ids % 4 == chunk]
+        links += D.pivot_links(ids, sets, mine, [sets[i] for i in mine], 0.5)
+    pairs = [
+        (i, j) for i in range(60) for j in range(i)
+        if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
+    ]
+    assert roots(60, links) == roots(60, pairs)
+
+
 def test_shingles_of_short_and_long_texts():
     block = next(T.blocks(pa.array(["a b c d e f", "a b", "", None, "a b c d e a b c d e"]), T._Powers()))
     bounds, _, times = D.shingles(block)
