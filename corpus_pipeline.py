@@ -2,7 +2,8 @@
 
 Each stage is written as Parquet and read again as the next one's documents, so a stage is
 computed once and a lost executor costs one re-read. All but the last return the columns they
-were given.
+were given. Decisions are made and applied row by row, by the row's place in the stored input: what
+is decided on one row touches no other that happens to share its id, or has none.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pitbars.llm import dartminhash, langid, mixing, sharding, winnowing
 from pitbars.llm.graph import join_checked
 from pitbars.llm.queries import contaminated, taught
+from pitbars.llm.rows import numbered
 from pitbars.session import staged
 
 
@@ -24,9 +26,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model is fitted on the documents of the stage's input that may teach it.
     """
     model = langid.fit(taught(docs), F.col("text"), F.col("lang"), F.col("doc_id"))
-    told = langid.predict(docs, F.col("doc_id"), F.col("text"), model)
-    gone = staged(told.where("rejected and id is not null").select(F.col("id").alias("doc_id")).distinct(), "rejected")
-    return join_checked(docs, gone, ["doc_id"], "left_anti")
+    rows = numbered(docs)
+    told = langid.predict(rows, F.col("__row"), F.col("text"), model)
+    gone = staged(told.where("rejected").select(F.col("id").alias("__row")), "rejected")
+    return join_checked(rows, gone, ["__row"], "left_anti").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +40,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which benchmark windows cover at least a twentieth."""
     benchmark = spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet"))
-    found = winnowing.contamination(docs, benchmark)
-    gone = staged(found.where(contaminated()).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return join_checked(docs, gone, ["doc_id"], "left_anti")
+    rows = numbered(docs)
+    found = winnowing.contamination(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark)
+    gone = staged(found.where(contaminated()).select(F.col("doc_id").alias("__row")), "contaminated")
+    return join_checked(rows, gone, ["__row"], "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
