@@ -1,9 +1,10 @@
 """Data-quality checks that yield finding rows.
 
-Row-local checks share one pass: each bar lists the checks it fails, counts come from a
-map-side combined aggregate, and the (at most five) sample keys from a top-k per check that
-Spark prunes before the shuffle. A check that fails on a third of all bars therefore costs
-no more than one that fails on none.
+Every check yields offenders: ``check, instrument_id, key`` and how many cases the row stands
+for. Row-local checks share one pass, in which each bar lists the checks it fails. The
+offenders of all checks are stored once; counts come from a map-side combined aggregate over
+them, and the (at most five) sample keys from a top-k per check that Spark prunes before the
+shuffle. A check that fails on a third of all bars costs no more than one that fails on none.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pitbars.functions.scalars import elapsed, shift, time_bucket
 from pitbars.operators.calendars import attach_sessions
 from pitbars.operators.ordered import CHUNK_ROWS, running
+from pitbars.session import staged
 from pitbars.types import NATURAL_KEY, micros
 
 MAX_SAMPLES = 5
@@ -75,12 +77,11 @@ def _key_text() -> Column:
     )
 
 
-def _findings(offenders: DataFrame, weight: str | None = None) -> DataFrame:
-    """Offending rows ``(check, instrument_id, key)`` to finding rows."""
+def _findings(offenders: DataFrame) -> DataFrame:
+    """Offenders to finding rows. They are stored, since counts and samples both read them."""
+    offenders = staged(offenders, "offenders")
     group = ["check", "instrument_id"]
-    counts = offenders.groupBy(*group).agg(
-        F.sum(weight if weight else F.lit(1)).cast("bigint").alias("occurrences")
-    )
+    counts = offenders.groupBy(*group).agg(F.sum("n").cast("bigint").alias("occurrences"))
     nth = F.row_number().over(Window.partitionBy(*group).orderBy("key"))
     samples = (
         offenders.select(*group, "key")
@@ -97,6 +98,15 @@ def _findings(offenders: DataFrame, weight: str | None = None) -> DataFrame:
     return described(joined.select("c.check", "c.instrument_id", "c.occurrences", "s.sample"))
 
 
+def _offenders(rows: DataFrame, check: str | Column, key: Column, *, instrument: bool = False, n: str | None = None) -> DataFrame:
+    return rows.select(
+        (F.lit(check) if isinstance(check, str) else check).alias("check"),
+        (F.col("instrument_id") if instrument else F.lit(None).cast("string")).alias("instrument_id"),
+        key.alias("key"),
+        (F.lit(1) if n is None else F.col(n)).cast("bigint").alias("n"),
+    )
+
+
 def described(found: DataFrame) -> DataFrame:
     """Add severity and message from the fixed table."""
     pairs = [x for k, v in MESSAGES.items() for x in (F.lit(k), F.struct(*map(F.lit, v)))]
@@ -111,29 +121,22 @@ def described(found: DataFrame) -> DataFrame:
     )
 
 
-def row_findings(bars: DataFrame, latency) -> DataFrame:
+def row_offenders(bars: DataFrame, latency) -> DataFrame:
     failed = [F.when(bad, F.lit(name)) for name, bad in row_checks(latency).items()]
-    offenders = bars.select(
-        F.explode(F.array_compact(F.array(*failed))).alias("check"),
-        F.lit(None).cast("string").alias("instrument_id"),
-        _key_text().alias("key"),
-    )
-    return _findings(offenders)
+    return _offenders(bars, F.explode(F.array_compact(F.array(*failed))), _key_text())
+
+
+def row_findings(bars: DataFrame, latency) -> DataFrame:
+    return _findings(row_offenders(bars, latency))
+
+
+def duplicate_offenders(bars: DataFrame) -> DataFrame:
+    repeated = bars.groupBy(*NATURAL_KEY).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return _offenders(repeated, "duplicate_natural_key", _key_text(), n="copies")
 
 
 def duplicate_findings(bars: DataFrame) -> DataFrame:
-    repeated = (
-        bars.groupBy(*NATURAL_KEY)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1")
-        .select(
-            F.lit("duplicate_natural_key").alias("check"),
-            F.lit(None).cast("string").alias("instrument_id"),
-            _key_text().alias("key"),
-            "copies",
-        )
-    )
-    return _findings(repeated, weight="copies")
+    return _findings(duplicate_offenders(bars))
 
 
 def _grid_bucket(step: int) -> Column:
@@ -152,14 +155,12 @@ def out_of_order(bars: DataFrame, bar_size: str) -> DataFrame:
     return ordered.where(F.col("available_at") < F.col("previous_available_at"))
 
 
+def order_offenders(bars: DataFrame, bar_size: str) -> DataFrame:
+    return _offenders(out_of_order(bars, bar_size), "availability_out_of_order", _key_text())
+
+
 def order_findings(bars: DataFrame, bar_size: str) -> DataFrame:
-    return _findings(
-        out_of_order(bars, bar_size).select(
-            F.lit("availability_out_of_order").alias("check"),
-            F.lit(None).cast("string").alias("instrument_id"),
-            _key_text().alias("key"),
-        )
-    )
+    return _findings(order_offenders(bars, bar_size))
 
 
 def grid_gaps(bars: DataFrame, bar_size: str) -> DataFrame:
@@ -188,13 +189,13 @@ def missing_intervals(bars: DataFrame, bar_size: str, sessions: DataFrame | None
                       tz: str = "UTC") -> DataFrame:
     """Every absent interval; with a session table, only those that start inside a session."""
     step = micros(bar_size)
-    listed = grid_gaps(bars, bar_size).select(
-        "instrument_id",
-        F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.col("missing") - 1, F.lit(1).cast("bigint"))
-        ).alias("i"),
-        F.unix_micros("first_missing").alias("__from"),
+    # A long gap is cut into pieces before it is listed, so no array holds all of it.
+    pieces = grid_gaps(bars, bar_size).select(
+        "instrument_id", "missing", F.unix_micros("first_missing").alias("__from"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("missing") - 1, F.lit(CHUNK_ROWS).cast("bigint"))).alias("__at"),
     )
+    last = F.least(F.col("__at") + CHUNK_ROWS, F.col("missing")) - 1
+    listed = pieces.select("instrument_id", "__from", F.explode(F.sequence("__at", last)).alias("i"))
     rows = listed.select(
         "instrument_id", F.timestamp_micros(F.col("__from") + F.col("i") * step).alias("bar_start")
     )
@@ -204,39 +205,53 @@ def missing_intervals(bars: DataFrame, bar_size: str, sessions: DataFrame | None
     return inside.select("instrument_id", "bar_start")
 
 
+def grid_offenders(
+    bars: DataFrame, bar_size: str, *, sessions: DataFrame | None = None, tz: str = "UTC"
+) -> DataFrame:
+    """Absent intervals. Without sessions a gap is a few rows: its first ones, and the last of
+    those stands for the rest."""
+    if sessions is not None:
+        missing = missing_intervals(bars, bar_size, sessions, tz).withColumn("n", F.lit(1))
+    else:
+        step = micros(bar_size)
+        listed = grid_gaps(bars, bar_size).select(
+            "instrument_id", "missing", F.unix_micros("first_missing").alias("__from"),
+            F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("missing", F.lit(MAX_SAMPLES).cast("bigint")))).alias("__i"),
+        )
+        missing = listed.select(
+            "instrument_id", F.timestamp_micros(F.col("__from") + (F.col("__i") - 1) * step).alias("bar_start"),
+            F.when(F.col("__i") == MAX_SAMPLES, F.col("missing") - MAX_SAMPLES + 1).otherwise(1).alias("n"),
+        )
+    text = F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss")
+    return _offenders(missing, "missing_bars", text, instrument=True, n="n")
+
+
+def _graded(found: DataFrame, severity: str) -> DataFrame:
+    stated = F.when(F.col("check") == "missing_bars", severity).otherwise(F.col("severity"))
+    return found.withColumn("severity", stated)
+
+
 def grid_findings(bars: DataFrame, bar_size: str, *, severity: str = "warning",
                   sessions: DataFrame | None = None, tz: str = "UTC") -> DataFrame:
-    missing = missing_intervals(bars, bar_size, sessions, tz)
-    found = _findings(
-        missing.select(
-            F.lit("missing_bars").alias("check"),
-            "instrument_id",
-            F.date_format("bar_start", "yyyy-MM-dd HH:mm:ss").alias("key"),
-        )
-    )
-    return found.withColumn("severity", F.lit(severity))
+    return _graded(_findings(grid_offenders(bars, bar_size, sessions=sessions, tz=tz)), severity)
 
 
-def session_findings(bars: DataFrame, sessions: DataFrame, tz: str) -> DataFrame:
+def session_offenders(bars: DataFrame, sessions: DataFrame, tz: str) -> DataFrame:
     outside = attach_sessions(bars, sessions, tz=tz).where(F.col("session_open").isNull())
-    return _findings(
-        outside.select(
-            F.lit("outside_session").alias("check"),
-            F.lit(None).cast("string").alias("instrument_id"),
-            _key_text().alias("key"),
-        )
-    )
+    return _offenders(outside, "outside_session", _key_text())
+
+
+def session_findings(bars: DataFrame, sessions: DataFrame, tz: str) -> DataFrame:
+    return _findings(session_offenders(bars, sessions, tz))
+
+
+def unmapped_offenders(unmapped: DataFrame) -> DataFrame:
+    """The second output of symbol resolution: one case a symbol."""
+    return _offenders(unmapped, "unmapped_symbols", F.col("symbol"))
 
 
 def unmapped_findings(unmapped: DataFrame) -> DataFrame:
-    """The second output of symbol resolution as a finding."""
-    return _findings(
-        unmapped.select(
-            F.lit("unmapped_symbols").alias("check"),
-            F.lit(None).cast("string").alias("instrument_id"),
-            F.col("symbol").alias("key"),
-        )
-    )
+    return _findings(unmapped_offenders(unmapped))
 
 
 def count_findings(bars: DataFrame) -> DataFrame:
@@ -267,16 +282,15 @@ def validate(
     unmapped: DataFrame | None = None,
 ) -> DataFrame:
     """All findings of one dataset in one table."""
-    found = count_findings(bars).unionByName(row_findings(bars, latency))
-    found = found.unionByName(duplicate_findings(bars)).unionByName(order_findings(bars, bar_size))
+    cases = row_offenders(bars, latency).unionByName(duplicate_offenders(bars))
+    cases = cases.unionByName(order_offenders(bars, bar_size))
     if expect_grid:
-        found = found.unionByName(
-            grid_findings(bars, bar_size, severity=missing_severity, sessions=sessions, tz=tz)
-        )
+        cases = cases.unionByName(grid_offenders(bars, bar_size, sessions=sessions, tz=tz))
     if sessions is not None:
-        found = found.unionByName(session_findings(bars, sessions, tz))
+        cases = cases.unionByName(session_offenders(bars, sessions, tz))
     if unmapped is not None:
-        found = found.unionByName(unmapped_findings(unmapped))
+        cases = cases.unionByName(unmapped_offenders(unmapped))
+    found = count_findings(bars).unionByName(_graded(_findings(cases), missing_severity))
     if micros(latency) == 0:
         zero = count_findings(bars).where("severity = 'info'").select(
             F.lit("zero_publication_latency").alias("check"),

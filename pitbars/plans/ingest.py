@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pitbars.operators.normalize import apply_duplicate_policy
 from pitbars.operators.quality import refuse_on_error, validate
 from pitbars.operators.resample import latest_revisions, resample
-from pitbars.session import checkpointed
+from pitbars.session import staged
 from pitbars.sources.catalog import BarCatalog
 
 
@@ -29,18 +29,19 @@ def ingest(
 ) -> tuple[str, bool, DataFrame]:
     """Dataset id, whether it existed, and its findings. Any error finding refuses the write.
 
-    The normalised bars are checkpointed once; checks, digest and write read that copy.
+    The normalised bars are stored once; checks, digest and write read that copy, each only the
+    columns it needs.
     """
     if duplicates == "error":  # looks for repeats at once, so it reads the settled copy
-        settled = apply_duplicate_policy(checkpointed(bars, eager=True), duplicates)
+        settled = apply_duplicate_policy(staged(bars, "settled"), duplicates)
     else:
-        settled = checkpointed(apply_duplicate_policy(bars, duplicates), eager=True)
-    findings = checkpointed(
+        settled = staged(apply_duplicate_policy(bars, duplicates), "settled")
+    findings = staged(
         validate(
             settled, bar_size=bar_size, latency=latency, expect_grid=expect_grid,
             missing_severity=missing_severity, sessions=sessions, tz=tz, unmapped=unmapped,
         ),
-        eager=True,
+        "findings",
     )
     refuse_on_error(findings)
     dataset, existed = catalog.write(settled, {**identity, "bar_size": bar_size})
@@ -54,4 +55,4 @@ def derive(
     bars = catalog.scan_unfiltered(parent, reason=f"derive {target_size} bars from {parent}")
     coarse = resample(latest_revisions(bars), source_size=source_size, target_size=target_size)
     identity = {"parent": parent, "resample": target_size, "bar_size": target_size}
-    return catalog.write(checkpointed(coarse, eager=True), identity)
+    return catalog.write(staged(coarse, "derived"), identity)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import instant
 from pitbars.operators.resample import latest_revisions
-from pitbars.session import prepare
+from pitbars.session import prepare, staged
 from pitbars.sources.digests import BAR_CONTENT, digest, digest_text
 from pitbars.types import BAR_COLUMNS, BAR_SCHEMA, utc
 
@@ -89,17 +89,22 @@ class BarCatalog:
             .mode("overwrite")
             .parquet(self._path("bars", dataset))
         )
-        stored = self._stored(dataset)
-        stats = partition_stats(stored)
+        # One reading of what was stored; the metadata tables are sums of it.
+        held = staged(
+            partition_stats(self._stored(dataset), ["date", "instrument_id", "bar_size"]), "dataset-stats"
+        )
+        stats = held.groupBy("date").agg(
+            F.sum("row_count").alias("row_count"),
+            *[F.min(c).alias(c) if c.startswith("min") else F.max(c).alias(c) for c in STATS[1:]],
+        )
         if hash_files:
             stats = stats.join(self.file_hashes(dataset), "date", "left")
         stats.write.mode("overwrite").parquet(self._path("dataset_partitions", dataset))
-        (
-            stored.groupBy("date", "instrument_id").agg(F.count(F.lit(1)).alias("row_count"))
-            .write.mode("overwrite").parquet(self._path("dataset_instruments", dataset))
+        held.groupBy("date", "instrument_id").agg(F.sum("row_count").alias("row_count")).write.mode("overwrite").parquet(
+            self._path("dataset_instruments", dataset)
         )
-        total = stored.agg(
-            F.count(F.lit(1)).alias("rows"), F.min("bar_size").alias("lo"), F.max("bar_size").alias("hi")
+        total = held.agg(
+            F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"), F.min("bar_size").alias("lo"), F.max("bar_size").alias("hi")
         ).first()
         if total["lo"] != total["hi"]:
             raise ValueError(f"a dataset has one bar size, found {total['lo']} and {total['hi']}")
