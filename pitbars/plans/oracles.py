@@ -1736,3 +1736,20 @@ add(
     SELECT * FROM o WHERE available_at < previous_available_at
       AND bar_start <= (SELECT max(bar_start) FROM bars) - INTERVAL 2 DAY""",
 )
+add(
+    "quality_empty_and_unmapped",
+    f"""SELECT 'empty_dataset' AS "check", 'error' AS severity, CAST(0 AS BIGINT) AS occurrences, true AS refused
+    UNION ALL SELECT 'unmapped_symbols', 'warning', count(DISTINCT event_type), true FROM events
+    WHERE ts >= {TURN} AND event_type = 'signup'""",
+)
+add(
+    "run_fold_table",
+    f"""WITH curve AS (SELECT o_orderpriority AS run_id, CAST(year(o_orderdate) - 1992 AS INTEGER) AS fold,
+        CASE WHEN year(o_orderdate) % 2 = 0 THEN 'validation' ELSE 'test' END AS role,
+        o_orderdate + to_microseconds(o_orderkey) AS at, o_totalprice / 1000 + 1000 AS equity,
+        o_totalprice / 2000 AS gross_exposure, o_totalprice / 4000 AS net_exposure FROM orders),
+    {performance_sql("run_id, fold, role", D, 252.0)}
+    SELECT run_id, fold, role, make_timestamp((fold + 1992)::BIGINT, 1, 1, 0, 0, 0.0) AS "start",
+      make_timestamp((fold + 1993)::BIGINT, 1, 1, 0, 0, 0.0) AS "end", periods, total_return, max_drawdown FROM perf""",
+    "total_return max_drawdown",
+)

@@ -461,6 +461,21 @@ def quality_findings(spark, d):
     return _sampled(quality.validate(_faulty(spark, d), bar_size="1h", latency="2s"))
 
 
+@query()
+def quality_empty_and_unmapped(spark, d):
+    """The gate on bars of a size that is not there, from a source with a symbol nobody knows."""
+    rows = tt.events(spark, d).select("event_id", "event_type", "ts")
+    _, unmapped = normalize.resolve_symbols(rows, _aliases(spark, d), symbol="event_type", at="ts")
+    none = tt.bars(spark, d).where(F.col("bar_size") == "1s")
+    found = staged(quality.validate(none, bar_size="1s", latency="2s", unmapped=unmapped), "findings")
+    try:
+        quality.refuse_on_error(found)
+        refused = False
+    except ValueError:
+        refused = True
+    return found.select("check", "severity", "occurrences", F.lit(refused).alias("refused"))
+
+
 @query()
 def quality_missing_grid(spark, d):
     return _sampled(quality.grid_findings(tt.bars(spark, d), "1h"))
@@ -1356,6 +1371,30 @@ def run_table_pivot(spark, d):
     )
 
 
+@query()
+def run_fold_table(spark, d):
+    """Metrics per run, fold and role, with the fold's range from the fold table."""
+    o = tt.load(spark, d, "orders")
+    fold = F.year("o_orderdate") - 1992
+    role = F.when(fold % 2 == 0, "validation").otherwise("test")
+    at = F.timestamp_micros(F.unix_micros("o_orderdate") + F.col("o_orderkey"))
+    curve = o.select(
+        F.col("o_orderpriority").alias("run_id"), fold.alias("fold"), role.alias("role"), at.alias("at"),
+        (F.col("o_totalprice") / 1000 + 1000).alias("equity"),
+        (F.col("o_totalprice") / 2000).alias("gross_exposure"),
+        (F.col("o_totalprice") / 4000).alias("net_exposure"),
+    )
+    m = metrics.performance(
+        curve, keys=["run_id", "fold", "role"], bar_size="1d",
+        annualization=metrics.annualization_for("XNYS:1", "1d"),
+    )
+    begins = F.date_trunc("year", "o_orderdate")
+    folds = o.select(
+        fold.alias("fold"), role.alias("role"), begins.alias("start"), F.date_trunc("year", shift(begins, 370 * DAY)).alias("end")
+    ).distinct()
+    return runs.fold_table(m, folds).select("run_id", "fold", "role", "start", "end", "periods", "total_return", "max_drawdown")
+
+
 @query()
 def run_compare(spark, d):
     table = runs.run_table(
