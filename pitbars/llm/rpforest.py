@@ -203,18 +203,12 @@ def compare_leaf(
 
 
 def grow_forest(
-    rows: DataFrame, n_rows: int, *, similarity: float, trees: int, leaf_rows: int, seed: int = 1
-) -> tuple[list[Tree], int]:
-    """Grow the trees on a sample of about ``SAMPLE_ROWS`` rows, drawn by a hash of their id.
-
-    The vectors' width is that of the sampled row of the smallest id.
-    """
+    rows: DataFrame, n_rows: int, width: int, *, similarity: float, trees: int, leaf_rows: int, seed: int = 1
+) -> list[Tree]:
+    """Grow the trees on a sample of about ``SAMPLE_ROWS`` rows, drawn by a hash of their id."""
     even = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53))
     table = rows.where(even < F.lit(SAMPLE_ROWS / max(n_rows, 1))).select("id", "embedding").toArrow().sort_by("id")
-    column = table.column("embedding").combine_chunks()
-    sizes = [n for n in column.value_lengths().to_pylist() if n]
-    width = sizes[0] if sizes else 0
-    unit, _ = vectors(column, width)
+    unit, _ = vectors(table.column("embedding"), width)
     # Vectors of that cosine lie so far apart; a random direction sees this share of it.
     band = 0.5 * math.sqrt(max(2 - 2 * similarity, 0.0) / max(width, 1))
     rng = np.random.default_rng(seed)
@@ -224,7 +218,7 @@ def grow_forest(
         tree = Tree(directions / np.maximum(np.linalg.norm(directions, axis=1), 1e-300)[:, None], band)
         tree.grow(0, unit, leaf_rows * len(unit) / max(n_rows, 1))
         forest.append(tree)
-    return forest, width
+    return forest
 
 
 def near_vectors(
@@ -236,7 +230,8 @@ def near_vectors(
     A vector links with every other whose cosine is at least ``similarity``; links of equal
     vectors and of repeated ids count like any other. Vectors that are null, zero, or hold
     null or non-finite components link with nothing. Ids are integers; a row with a null id
-    links with nothing and has a null component. An empty table gives no rows. Other columns
+    links with nothing and has a null component. Vectors meet those of their own width, in a
+    forest of their own. An empty table gives no rows. Other columns
     are not read. Stores equal vectors' classes and what the leaves found while the plan is
     built.
 
@@ -251,17 +246,13 @@ def near_vectors(
             F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
         ), "vector-classes",
     )
-    n_rows = equal.count()
-    forest, width = grow_forest(equal, n_rows, similarity=similarity, trees=trees, leaf_rows=leaf_rows)
-    most = _OVERFULL * leaf_rows
-    while True:
-        sizes = _leaf_sizes(equal, forest, width).where(F.col("n") > most)
-        over = {r.leaf: r.n for r in sizes.orderBy("leaf").limit(_REGROWN).collect()}
-        if not over or not _regrow(equal, forest, width, over, leaf_rows):
-            break
-    chunks = {leaf: -(-n // most) for leaf, n in over.items()}
-    met = _leaf_rows(equal, forest, width, chunks).groupBy("leaf", "i", "k")
-    found = staged(met.applyInArrow(_compare(similarity, width), "id bigint, n bigint, other bigint"), "links")
+    found = None
+    for r in equal.groupBy(F.size("embedding").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy("width").collect():
+        rows_of_width = equal.where(F.size("embedding") == r.width)
+        links = _links(rows_of_width, r.n, r.width, similarity=similarity, trees=trees, leaf_rows=leaf_rows)
+        found = links if found is None else found.unionByName(links)
+    if found is None:
+        found = df.sparkSession.createDataFrame([], "id bigint, n bigint, other bigint")
     counts = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes = (
@@ -281,6 +272,23 @@ def near_vectors(
     )
 
 
+def _links(
+    rows: DataFrame, n_rows: int, width: int, *, similarity: float, trees: int, leaf_rows: int
+) -> DataFrame:
+    """What the leaves of one forest find among vectors of one width: ``id, n, other``."""
+    forest = grow_forest(rows, n_rows, width, similarity=similarity, trees=trees, leaf_rows=leaf_rows)
+    most = _OVERFULL * leaf_rows
+    while True:
+        sizes = _leaf_sizes(rows, forest, width).where(F.col("n") > most)
+        over = {r.leaf: r.n for r in sizes.orderBy("leaf").limit(_REGROWN).collect()}
+        if not over or not _regrow(rows, forest, width, over, leaf_rows):
+            break
+    # All leaves that stay overfull, each of more than ``most`` rows, are compared in blocks.
+    chunks = {r.leaf: -(-r.n // most) for r in sizes.collect()} if over else {}
+    met = _leaf_rows(rows, forest, width, chunks).groupBy("leaf", "i", "k")
+    return staged(met.applyInArrow(_compare(similarity, width), "id bigint, n bigint, other bigint"), "links")
+
+
 def _usable(vector: Column) -> Column:
     sizes = F.transform(vector, lambda x: F.abs(x.cast("double")))
     fine = F.forall(sizes, lambda x: x.isNotNull() & ~F.isnan(x) & (x < F.lit(math.inf)))

@@ -178,6 +178,12 @@ def test_a_tight_cluster_is_compared_in_blocks(spark):
     assert {(r.n_links, r.component_id) for r in found} == {(299, 0)}
 
 
+def test_vectors_of_another_width_do_not_disturb(spark):
+    rows = [(0, [1.0, 2.0])] + [(i, [1.0, 2.0, 3.0 + i * 1e-3]) for i in range(1, 6)] + [(7, [2.0, 4.1])]
+    found = {r.id: (r.n_links, r.component_id) for r in near(vectors_table(spark, rows)).collect()}
+    assert found == {0: (1, 0), 7: (1, 0), **{i: (4, 1) for i in range(1, 6)}}
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     good = [1.0, 2.0, 3.0]
