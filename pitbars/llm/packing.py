@@ -31,12 +31,38 @@ from pitbars.session import scratch, staged
 ROW_TOKENS = 2048
 LOT_TOKENS = 2_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Texts are encoded in pieces of about so many characters.
 _PIECE = 16_384
 
 # Fixed value: how the public byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Places where the pattern always begins a new part: after letters before anything but letters
+#: and spaces, and before one space between two other characters.
+_BORDER = r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\S)(?= \S)"
+
+
+def pieces(text: str, size: int = _PIECE) -> list[str]:
+    """A text cut where the pattern has a border anyway, so its ids are those of the whole.
+
+    Only a stretch of ``2 * size`` characters without any border, one word in effect, is cut
+    inside; merging such a word whole would take time quadratic in its length.
+    """
+    import regex
+
+    border, out, at = regex.compile(_BORDER), [], 0
+    while len(text) - at > size:
+        near = [m.start() for m in border.finditer(text, at + size - size // 8, at + size)]
+        if not near:
+            near = [m.start() for m in border.finditer(text, at + 1, at + size)]
+        ahead = None if near else border.search(text, at + size, at + 2 * size)
+        cut = near[-1] if near else ahead.start() if ahead else at + size
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]] if at < len(text) else out
+
+
 class CapacityTree:
     """Open rows by remaining capacity, with the smallest sufficient one found top-down.
 
@@ -105,11 +131,8 @@ class Tokeniser:
         self.kind = np.dtype(np.uint16 if len(ranks) < 1 << 16 else np.uint32)
 
     def ids(self, text: str) -> np.ndarray:
-        """Ids whose bytes joined are the text's; long texts are encoded in pieces."""
-        parts = [
-            np.asarray(self.coding.encode_ordinary(text[i : i + _PIECE]), dtype=self.kind)
-            for i in range(0, len(text), _PIECE)
-        ]
+        """The text's ids; long texts are encoded in :func:`pieces`."""
+        parts = [np.asarray(self.coding.encode_ordinary(piece), dtype=self.kind) for piece in pieces(text)]
         return np.concatenate(parts) if parts else np.zeros(0, self.kind)
 
     def text(self, ids: np.ndarray) -> str:

@@ -156,3 +156,22 @@ def test_packs_give_back_every_text(documents, awkward, tmp_path):
 
 def test_no_documents_no_packs(empty):
     assert packing.pack(empty).count() == 0
+
+
+@pytest.mark.parametrize("size", [40, 300])
+def test_pieces_keep_the_ids_of_the_whole_text(size):
+    coder = packing.Tokeniser(open(packing.VOCABULARY, "rb").read())
+    rng = random.Random(size)
+    parts = ["it's", "don't", " ", "  ", "\n", "\t \n", "word", "Zürich", "漢字漢字", "。", "12,345.6", "...", "'", "'s", "e-mail", "--", "x1y2", "\u00a0"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", ""]) for _ in range(rng.randrange(1, 400)))
+        cut = packing.pieces(text, size)
+        assert "".join(cut) == text and all(cut)
+        ids = [i for piece in cut for i in coder.coding.encode_ordinary(piece)]
+        if max(map(len, cut)) <= size and all(len(p) < size for p in text.split()):
+            assert ids == coder.coding.encode_ordinary(text)
+
+
+def test_a_word_without_borders_is_cut_and_stays_whole():
+    assert packing.pieces("a" * 100, 16) == ["a" * 16] * 6 + ["a" * 4]
+    assert packing.pieces("", 16) == [] and packing.pieces("a b", 16) == ["a b"]
