@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import differs, instant, time_bucket
@@ -52,6 +52,12 @@ def _cut_array(cuts: DataFrame | Sequence[dt.datetime]):
     return F.array(*[instant(c) for c in cuts])
 
 
+def _full(bars: DataFrame, compute: Compute, cuts: Column) -> DataFrame:
+    """What the full data gives, computed once and listed under every cut it is known at."""
+    once = compute(bars.withColumn("cut", F.timestamp_micros(F.lit(0)))).drop("cut")
+    return once.withColumn("cut", F.explode(cuts)).where(F.col("available_at") <= F.col("cut"))
+
+
 def prefix_violations(
     bars: DataFrame, compute: Compute, cuts, *, rtol: float = 1e-9
 ) -> DataFrame:
@@ -60,17 +66,18 @@ def prefix_violations(
     ``compute`` must treat ``cut`` as a partition key and return ``cut``, ``instrument_id``,
     ``bar_start``, ``available_at`` and the feature columns.
     """
-    listed = bars.withColumn("cut", F.explode(_cut_array(cuts)))
-    full = compute(listed).where(F.col("available_at") <= F.col("cut"))
+    moments = _cut_array(cuts)
+    listed = bars.withColumn("cut", F.explode(moments))
     prefix = compute(listed.where(F.col("available_at") <= F.col("cut")))
-    return _compare(full, prefix, rtol, absent_counts=True)
+    return _compare(_full(bars, compute, moments), prefix, rtol, absent_counts=True)
 
 
 def future_violations(
     bars: DataFrame, compute: Compute, cuts, *, rtol: float = 1e-9
 ) -> DataFrame:
     """Rows that move, in value or availability, when only later bars are corrupted."""
-    listed = bars.withColumn("cut", F.explode(_cut_array(cuts)))
+    moments = _cut_array(cuts)
+    listed = bars.withColumn("cut", F.explode(moments))
     later = F.col("available_at") > F.col("cut")
     kinds = dict(bars.dtypes)
     poison = {c: SENTINEL_PRICE for c in PRICE_COLUMNS if c in kinds}
@@ -78,8 +85,7 @@ def future_violations(
     corrupted = listed.withColumns(
         {c: F.when(later, F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in poison.items()}
     )
-    full = compute(listed).where(F.col("available_at") <= F.col("cut"))
-    return _compare(full, compute(corrupted), rtol, absent_counts=False)
+    return _compare(_full(bars, compute, moments), compute(corrupted), rtol, absent_counts=False)
 
 
 def _compare(full: DataFrame, other: DataFrame, rtol: float, *, absent_counts: bool) -> DataFrame:

@@ -907,7 +907,8 @@ def leak_cut_points(spark, d):
 
 def _leak_report(b, cuts, violations):
     """Per cut: rows the full computation marks available, and how many of them moved."""
-    full = _honest(b.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts]))))
+    full = _honest(b.withColumn("cut", F.lit(cuts[0]))).drop("cut")
+    full = full.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts])))
     checked = full.where(F.col("available_at") <= F.col("cut")).groupBy("cut").agg(
         F.count(F.lit(1)).alias("checked")
     )
