@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitbars.llm.text import Block, _Powers, blocks, grams, grams_at, lists, signed, small_batches
@@ -172,9 +172,10 @@ def contamination(
     array<struct<start, end>>`` with word positions, overlapping windows merged. One row per
     document row, repeated rows and repeated ids included. Null or wordless texts have no
     words and no hits; items without words are left out; an empty benchmark hits nothing.
-    Other columns of either side are not read. Runs jobs while the plan is being built: the
-    benchmark's lengths (at most ``window`` numbers), its bit table and one stored table of
-    fingerprints that passed it.
+    Repeated items count once, and one without an id hits but is not listed. Other columns of
+    either side are not read. Runs jobs while the plan is being built: the benchmark's lengths
+    (at most ``window`` numbers) and its bit table go through the driver; fingerprints that
+    passed it, the benchmark's windows and the hits are stored.
     """
     small_batches(documents.sparkSession)
     counts = _word_counts(benchmark, item_text)
@@ -211,59 +212,70 @@ def contamination(
     )
     # Row numbers are fixed by storing them, so repeated ids stay apart.
     docs = staged(printed.withColumn("row", F.monotonically_increasing_id()), "doc-prints")
-    hits = _extended(docs.select("row", F.explode("prints").alias("p")).select("row", "p.*"), items)
-    per_doc = hits.groupBy("row").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("windows"),
-        F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
-    )
-    spans = F.aggregate(
-        F.coalesce("windows", F.array()),
-        F.array().cast("array<struct<start: int, end: int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    joined = docs.select("row", "id", "n_words").join(per_doc, "row", "left").withColumn("spans", spans)
+    hits, items_of = _extended(docs.select("row", F.explode("prints").alias("p")).select("row", "p.*"), items)
+    joined = docs.select("row", "id", "n_words").join(_merged(hits), "row", "left").join(items_of, "row", "left")
     return joined.select(
         F.col("id").alias(doc_id),
         "n_words",
-        F.aggregate(
-            "spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]
-        ).alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        "spans",
+        F.coalesce("spans", F.array().cast("array<struct<start: int, end: int>>")).alias("spans"),
     )
 
 
-def _extended(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Join fingerprints and compare the windows over them, aligned alike on both sides.
+def _windows(prints: DataFrame) -> DataFrame:
+    """A row for each window over a fingerprint: its place ``frame`` and its two hashes ``a, b``."""
+    rest = [c for c in prints.columns if c != "windows"]
+    placed = prints.select(
+        "*", F.explode(F.sequence(F.lit(0), (F.size("windows") / 2).cast("int") - 1)).alias("frame")
+    )
+    return placed.select(
+        *rest, "frame", F.get("windows", 2 * F.col("frame")).alias("a"), F.get("windows", 2 * F.col("frame") + 1).alias("b")
+    ).where("a <> 0 or b <> 0")
+
 
-    Equal contents of the benchmark are kept once per fingerprint for the comparison.
+def _extended(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Join fingerprints with the windows over them: ``row, start, end`` and ``row, items``.
+
+    A window of the benchmark is matched once, however many items hold it. Windows held by the
+    same items are one set, told by fixed-size sums over the items' hashes; a document meets a
+    set once, whatever the number of windows, and only then the items of the set.
     """
-    sides = docs.withColumnRenamed("windows", "dw").join(
-        items.distinct().withColumnRenamed("windows", "iw"), ["length", "print"]
+    held = staged(_windows(items), "item-windows")
+    known = held.select("length", "print", "frame", "a", "b").distinct()
+    hits = staged(
+        _windows(docs).join(known, ["length", "print", "frame", "a", "b"])
+        .select("row", (F.col("at") - F.col("frame")).alias("start"), "length", "a", "b").distinct(),
+        "hits",
+    )
+    members = held.select("length", "a", "b", "id").distinct()
+    sets = members.groupBy("length", "a", "b").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("x"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+    )
+    sets = staged(sets, "item-sets")
+    window = ["length", "a", "b"]
+    of_set = members.join(sets, window).select("n", "x", "y", F.col("id").cast("string").alias("item")).distinct()
+    met = hits.select("row", *window).join(sets, window).select("row", "n", "x", "y").distinct()
+    items_of = met.join(of_set, ["n", "x", "y"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return hits.select("row", "start", (F.col("start") + F.col("length")).alias("end")), items_of
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """``row, n_hit, spans`` with windows that overlap or touch merged, in one pass over them."""
+    inside = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    runs = hits.distinct().withColumn("opens", opens).withColumn(
+        "span", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     )
-    frames = F.sequence(F.lit(0), (F.size("dw") / 2).cast("int") - 1)
-    same = F.filter(
-        frames,
-        lambda j: (F.get("dw", 2 * j) == F.get("iw", 2 * j))
-        & (F.get("dw", 2 * j + 1) == F.get("iw", 2 * j + 1))
-        & ((F.get("dw", 2 * j) != 0) | (F.get("dw", 2 * j + 1) != 0)),
+    spans = runs.groupBy("row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy("row").agg(
+        F.sum(F.col("end") - F.col("start")).alias("n_hit"),
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
     )
-    return sides.select("row", F.col("id").alias("item"), "length", "at", F.explode(same).alias("j")).select(
-        "row", "item", (F.col("at") - F.col("j")).alias("start"),
-        (F.col("at") - F.col("j") + F.col("length")).alias("end"),
-    ).distinct()
 
 
 def digest(items: list[str]) -> str:

@@ -103,3 +103,12 @@ def test_empty_sides(spark, documents, empty):
     assert contamination(empty, some).count() == 0
     assert [r.n_hit for r in contamination(documents([(1, "a b")]), none).collect()] == [0]
     assert [r.n_hit for r in contamination(documents([(1, "x A  b")]), some).collect()] == [2]
+
+
+def test_items_that_share_lines_repeat_or_lack_an_id(spark, documents):
+    line = " ".join(f"c{i}" for i in range(20))
+    items = [(i, f"{line} own{i} tail{i}") for i in range(40)] + [(7, f"{line} own7 tail7"), (7, "other words"), (None, f"x {line}")]
+    docs = [(i, f"before {line} own{i}") for i in range(30)] + [(50, line), (51, "other words"), (52, " ".join([line] * 400))]
+    table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, print string")
+    found = sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in contamination(documents(docs), table).collect()], key=str)
+    assert found == [(n, words, hit, [i for i in held if i != "None"]) for n, words, hit, held in expected_rows(docs, items)]
