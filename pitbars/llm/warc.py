@@ -27,6 +27,8 @@ from pitbars.session import scratch, staged
 
 ARCHIVE_BYTES = 32 << 20
 PIECE = 1 << 20
+#: A payload is common if more than one row in so many has it.
+COMMON = 1000
 _GZIP = 31  # zlib's window bits for a gzip wrapper
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -325,19 +327,31 @@ def page_records(
     Of equal payloads of at least ``min_bytes`` the row with the largest id is written in
     full; the others refer to it. A null payload is empty. Repeated rows of the largest id are
     all written in full; rows without an id refer to the largest id there is, and are written
-    in full if there is none. One narrow row per payload is aggregated before the join.
+    in full if there is none. One narrow row per payload is aggregated before the join. A
+    payload of more than a thousandth of all rows is joined by broadcast, as there are fewer
+    than a thousand of those; their rows spread over the shuffle of the others.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    full = rows.select("sha", "bytes", "page_id").groupBy("sha", "bytes").agg(
-        F.max("page_id").alias("top"), F.count(F.lit(1)).alias("copies")
-    )
-    repeated = full.where((F.col("copies") > 1) & (F.col("bytes") >= min_bytes)).select("sha", "bytes", "top")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("top")), None).otherwise(F.col("top"))
-    return rows.join(repeated, ["sha", "bytes"], "left").select(
-        "page_id", "url", "payload", _hex_to_base32(F.col("sha")).alias("digest"), refers.alias("refers_to")
+    full = staged(
+        rows.select("sha", "bytes", "page_id").groupBy("sha", "bytes").agg(
+            F.max("page_id").alias("top"), F.count(F.lit(1)).alias("copies")
+        ),
+        "payloads",
     )
+    total = full.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
+    common = F.col("copies") * COMMON > total
+    repeated = full.where((F.col("copies") > 1) & (F.col("bytes") >= min_bytes))
+    hot = repeated.where(common).select("sha", "bytes", F.struct("top").alias("hot"))
+    rest = repeated.where(~common).select(F.col("sha").alias("rest_key"), F.col("bytes").alias("size"), F.col("top").alias("rest"))
+    rows = rows.join(F.broadcast(hot), ["sha", "bytes"], "left")  # fewer than COMMON rows
+    spread = F.hex(F.xxhash64("page_id", "url"))
+    rows = rows.withColumn("key", F.when(F.col("hot").isNotNull(), spread).otherwise(F.col("sha")))
+    rows = rows.join(rest, (F.col("key") == F.col("rest_key")) & (F.col("bytes") == F.col("size")), "left")
+    top = F.when(F.col("hot").isNotNull(), F.col("hot.top")).otherwise(F.col("rest"))
+    refers = F.when(F.col("page_id").eqNullSafe(top), None).otherwise(top)
+    return rows.select("page_id", "url", "payload", _hex_to_base32(F.col("sha")).alias("digest"), refers.alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, **names) -> DataFrame:

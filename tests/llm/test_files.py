@@ -29,9 +29,10 @@ AWKWARD = [
 ]
 
 
-@pytest.mark.parametrize("archive_bytes", [1, 32 << 20])
-def test_pages_survive_the_round_trip(spark, monkeypatch, archive_bytes):
+@pytest.mark.parametrize("archive_bytes, common", [(1, 1000), (32 << 20, 1000), (32 << 20, 1), (32 << 20, 5)])
+def test_pages_survive_the_round_trip(spark, monkeypatch, archive_bytes, common):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", archive_bytes)
+    monkeypatch.setattr(warc, "COMMON", common)
     found = warc.round_trip(pages(spark, AWKWARD)).collect()
     assert len(found) == len(AWKWARD)
     tops = {}
