@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -142,6 +143,38 @@ def test_held_out_texts_are_told_apart(documents):
     assert sum(r.lang_pred == expected[r.id] for r in shouted) >= 190
 
 
+def test_dictionaries_are_the_first_drawn_texts(documents):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["Ba", "KO", "é\u00a0", "ti\t\x1d"]) for _ in range(rng.choice([40, 2000]))), lang)
+            for lang in ("aa", "bb") for i in range(300)]
+    df = documents(rows)
+    ranked = df.select("lang", "text", F.xxhash64("doc_id", F.lit(7)).alias("o"), "doc_id").collect()
+    for lang in ("aa", "bb"):
+        first = sorted((r.o, str(r.doc_id), r.text) for r in ranked if r.lang == lang)[: langid.SAMPLE_TEXTS]
+        whole = b"\n".join(langid.folded(t) for _, _, t in first)
+        assert fitted(df).dictionaries[lang] == whole[: langid.DICTIONARY_BYTES]
+        assert len(whole) > langid.DICTIONARY_BYTES
+
+
+def test_choices_equal_a_plain_compression_of_each_text(documents):
+    model = fitted(documents(sample_texts(60, 4)))
+    rows = [*sample_texts(40, 5), (700, " ".join(t for _, t, _ in sample_texts(80, 6)), None)]
+    for r in told(documents(rows), model):
+        data = " ".join(dict((n, t) for n, t, _ in rows)[r.id].lower().split()).encode()
+        sizes = {}
+        for name, words in model.dictionaries.items():
+            made = 0
+            for i in range(0, len(data), langid.CHUNK_BYTES):
+                coder = zstandard.ZstdCompressor(
+                    level=langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
+                    dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                )
+                made += len(coder.compress(data[i : i + langid.CHUNK_BYTES] + langid.TAIL))
+            sizes[name] = made
+        best, second = sorted((n, k) for k, n in sizes.items())[:2]
+        assert (r.lang_pred, r.score) == (best[1], (second[0] - best[0]) / second[0])
+
+
 def test_awkward_texts_get_a_language_or_none(documents, awkward, empty):
     model = fitted(documents([*sample_texts(30, 3), (900, None, "aa"), (901, "x", None), (902, "tiny", "dd")]))
     assert "dd" in model.dictionaries and None not in model.dictionaries
