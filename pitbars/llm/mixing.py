@@ -20,6 +20,8 @@ from pitbars.session import staged
 
 BLOCK_WORDS = 4096
 MIN_SLOTS = 16384
+#: Sources a catalogue may have.
+MAX_SOURCES = 10_000
 _BITS = 40
 _BUCKET_ROWS = 200_000
 _SLOTS_A_BUCKET = 65536
@@ -77,14 +79,19 @@ def mix(
     is taken more than ``most`` times. ``taken`` in ``docs`` is the sum of a row's pieces.
 
     Rows of size 0 are taken 0 times; rows of one id are told apart; an empty table gives an
-    empty mix. The table of sources (a name and a size each) is read by the driver: it is
-    meant for a catalogue of sources, not for a key with a value per row. Stores a narrow
+    empty mix. The table of sources (a name and a size each) is read by the driver and sent to
+    every task: more than ``MAX_SOURCES`` are refused, as a key with a value per row is no
+    catalogue. Equal ids are taken in the order of their sizes, so that the files' layout does
+    not matter. Stores a narrow
     copy of the rows, without texts, and the pieces.
     """
     spark = df.sparkSession
     rows = df.select(row_id.alias("id"), source.alias("source"), size.cast("bigint").alias("size"))
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    found = staged(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "mix-sources")
+    if (n_sources := found.count()) > MAX_SOURCES:
+        raise ValueError(f"{n_sources} sources; a mix takes a catalogue of at most {MAX_SOURCES}")
+    found = found.collect()
     found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
     sizes = [int(r["size"]) for r in found]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share=share, most=most)
@@ -121,7 +128,7 @@ def _pieces(docs: DataFrame, n_rows: int, block: int, most: int) -> DataFrame:
         "order", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("lap").cast("string")))
     )
     bucket = F.floor(F.conv(F.substring("order", 1, 4), 16, 10).cast("bigint") * buckets / 65536)
-    placed = running(laps, ["src", "lap"], ["order", "id", "row"], bucket, sums={"end": F.col("size")})
+    placed = running(laps, ["src", "lap"], ["order", "id", "size", "row"], bucket, sums={"end": F.col("size")})
     begin = F.col("lap") * F.col("source_size") + F.col("end") - F.col("size")
     placed = placed.withColumn("begin", begin).where("begin < quota")
     stop = F.least(F.col("begin") + F.col("size"), F.col("quota"))

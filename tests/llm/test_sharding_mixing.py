@@ -136,3 +136,16 @@ def test_awkward_rows_are_mixed(documents, awkward, empty):
     assert all(r.taken == 0 for r in docs if r["size"] == 0)
     assert mixed(empty).docs.count() == 0
     assert mixed(documents([(1, None), (2, "")])).docs.count() == 2
+
+
+def test_repeated_ids_do_not_depend_on_the_layout(documents):
+    rows = [(i % 5, " ".join(["w"] * (1 + i * 7 % 50)), None, "ab"[i % 2]) for i in range(60)]
+    one = sorted((r.id, r["size"], r.taken) for r in mixed(documents(rows).coalesce(1)).docs.collect())
+    other = sorted((r.id, r["size"], r.taken) for r in mixed(documents(rows[::-1]).repartition(7)).docs.collect())
+    assert one == other
+
+
+def test_a_key_is_no_catalogue(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    with pytest.raises(ValueError, match="4 sources"):
+        mixed(documents([(i, "w", None, f"s{i}") for i in range(4)]))
