@@ -356,6 +356,24 @@ def _crc(text: str, table: str = "t") -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: {step}), 4294967295)"
 
 
+_OP5 = f"""
+WITH {_CRC_TABLE}, keyed AS (
+  SELECT doc_id, coalesce(text, '') AS body, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents
+), placed AS (
+  SELECT doc_id, body, size,
+         sum(size) OVER (ORDER BY md5(body), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::BIGINT AS reach,
+         row_number() OVER (ORDER BY md5(body), doc_id NULLS FIRST) AS place, sum(size) OVER ()::BIGINT AS total
+  FROM keyed
+), cut AS (
+  SELECT *, least(7, floor((2 * reach - size) * 8 / (2 * total)))::INT AS shard FROM placed
+), crcs AS (
+  SELECT body, {_crc("body")} AS c FROM (SELECT DISTINCT body FROM keyed WHERE body <> ''), crc_table
+)
+SELECT doc_id, size::BIGINT AS size, coalesce(c, 0)::BIGINT AS text_crc32, 'bytes' AS law, shard,
+       place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard
+FROM cut LEFT JOIN crcs USING (body)
+"""
+
 _OP11 = f"""
 WITH RECURSIVE {_CRC_TABLE}, runs AS (
   SELECT doc_id, {_LOWERED.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'))")} AS r FROM documents
@@ -438,6 +456,7 @@ SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
 ORACLES: dict[str, str] = {
+    "op5_sampled_splitters": _OP5,
     "op7_source_schedule": _OP7,
     "op8_host_reputation": _OP8,
     "op9_winnowing": _OP9,
