@@ -24,3 +24,13 @@ def test_stream_findings_of_bars_with_a_zero_price(spark, tmp_path):
     rows = [(i, begin + dt.timedelta(minutes=20 * i), i, "view", 0.0 if i == 4 else 5.0 + i, '{"k": 3}') for i in range(20)]
     events = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
     assert differs(spark, tmp_path, "stream_findings", events=events) is None
+
+
+def test_size_targets_with_a_mark_on_half_a_cent(spark, tmp_path):
+    day = dt.datetime(1996, 1, 1)
+    idle = [(4 + 5 * i, 21, "O", 50_000.0, day, "1-URGENT") for i in range(59)]
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    orders = pd.DataFrame([(1, 8, "O", 77_195.0, day, "1-URGENT"), *idle], columns=columns)
+    assert differs(spark, tmp_path, "size_targets", orders=orders) is None
+    (asked,) = QUERIES["size_targets"](spark, str(tmp_path)).where("instrument_id = '8|1'").collect()
+    assert asked["final_quantity"] == 1378.0
