@@ -193,6 +193,8 @@ def equity_curve(
     total = running(
         frame, list(run) or ["__run"], ["at"], bucket, sums={c: F.col(f"__d_{c}") for c in summed},
     )
+    # Changes that cancel leave a rounding residue, which is no exposure once nothing is held.
+    total = total.withColumns({c: F.when(F.col("count") == 0, 0.0).otherwise(F.col(c)) for c in ("net", "gross")})
     earned = [F.col("realized").alias("realized_pnl"), (F.col("net") - F.col("basis")).alias("unrealized_pnl")]
     cash_now = F.lit(float(initial_cash)) + F.col("cash")
     return total.select(

@@ -15,6 +15,8 @@ from pitbars.types import DAY, MINUTE, micros
 
 # Trading minutes per year of each calendar.
 MINUTES_PER_YEAR = {"24x7": 365.25 * 1440, "XNYS": 252 * 390.0}
+#: A period's return up to this is what running sums leave of nothing, and no gain.
+RESIDUE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,7 @@ def performance(
         F.avg("equity").alias("__mean_equity"),
         F.avg(F.try_divide(F.col("gross_exposure"), F.col("equity"))).alias("avg_gross_exposure"),
         F.avg(F.try_divide(F.col("net_exposure"), F.col("equity"))).alias("avg_net_exposure"),
-        F.avg(F.when(exposed, (F.col("ret") > 0).cast("double"))).alias("period_hit_rate"),
+        F.avg(F.when(exposed, (F.col("ret") > RESIDUE).cast("double"))).alias("period_hit_rate"),
     )
     base = _attach(base, _fill_totals(fills, keys), keys, _FILL_ZEROS)
     base = _attach(base, _count(orders, keys, "order_count"), keys, {"order_count": 0})

@@ -44,14 +44,14 @@ PLAN = splits.WalkForward(
 ORDERING = tt.FILL_ORDER
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles on a grid whose rounding points lie off the decimal halves.
+def rounded(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> DataFrame:
+    """Doubles (or ``only`` these) on a grid whose rounding points lie off the decimal halves.
 
     Prices in cents make exact halves common, and engines settle those differently.
     """
     scale = 10.0**digits
     off = F.lit(0.0137)
-    doubles = [c for c, t in df.dtypes if t == "double"]
+    doubles = only or [c for c, t in df.dtypes if t == "double"]
     grid = {c: F.rint(F.col(c) * scale + off) / scale + F.lit(0.0) for c in doubles}
     return tt.zoneless(df.withColumns(grid) if doubles else df)
 
@@ -1294,7 +1294,8 @@ def _performance(spark, d):
 
 @query()
 def metrics_performance(spark, d):
-    return _performance(spark, d)
+    """Money in cents: the sixth decimal of a large account is beyond what a double's sum holds."""
+    return rounded(_performance(spark, d), 2, ["start_equity", "end_equity", "total_costs"])
 
 
 @query(3)
@@ -1483,8 +1484,8 @@ def backtest_open_loop(spark, d):
     )
     m = _sweep(spark, d, [_axis("threshold", [0.0]), _axis("weight", [0.2])], single)["metrics"]
     # Two days annualised run from -1 to 1e17; the logarithm has digits that mean something.
-    growth = F.ln(F.col("end_equity") / F.col("start_equity")) * F.col("periods_per_year")
-    growth = (growth / F.col("periods")).alias("annualized_log_growth")
+    growth = F.ln(F.try_divide(F.col("end_equity"), F.col("start_equity"))) * F.col("periods_per_year")
+    growth = F.try_divide(growth, F.col("periods")).alias("annualized_log_growth")
     return m.select(*[growth if c == "annualized_return" else c for c in m.columns])
 
 
