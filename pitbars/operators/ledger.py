@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import bucket_of, elapsed, time_bucket
 from pitbars.operators.joins import nearest
-from pitbars.operators.ordered import affine_fold, fold_rows, running, with_position
+from pitbars.operators.ordered import affine_fold, by_key_size, fold_rows, running, with_position
 from pitbars.session import staged
 from pitbars.types import DAY, SECOND, micros
 
@@ -40,10 +40,18 @@ def positions(
     fills: DataFrame, *, keys: Sequence[str] = ("instrument_id",), order: Sequence[str],
     width: int = LEDGER_BUCKET,
 ) -> DataFrame:
-    """Fills with the position before and after each; keys are split into ``width`` of time."""
+    """Fills with the position before and after each; large keys are split into ``width`` of time."""
+    return by_key_size(fills, keys, lambda rows, split: _positions(rows, keys, order, _bucket(order[0], width, split)))
+
+
+def _bucket(at: str, width: int, split: bool) -> Column | None:
+    return time_bucket(at, width) if split else None
+
+
+def _positions(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None) -> DataFrame:
     out = running(
-        fills.withColumn("signed", signed_quantity()), list(keys), list(order),
-        time_bucket(order[0], width), sums={"position": F.col("signed")},
+        fills.withColumn("signed", signed_quantity()), list(keys), list(order), bucket,
+        sums={"position": F.col("signed")},
     )
     return out.withColumns(
         {
@@ -66,7 +74,11 @@ def average_cost(
     ``realized' = realized + c * basis + d``; a stretch of fills is again one such map, which is
     what makes the fold splittable.
     """
-    held = positions(fills, keys=keys, order=order, width=width)
+    return by_key_size(fills, keys, lambda rows, split: _average_cost(rows, keys, order, _bucket(order[0], width, split)))
+
+
+def _average_cost(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None) -> DataFrame:
+    held = _positions(fills, keys, order, bucket)
     before, after = F.col("position_before"), F.col("position")
     adds = (before == 0) | ((before > 0) == (F.col("signed") > 0))
     flips = ~adds & (after != 0) & ((after > 0) != (before > 0))
@@ -91,7 +103,7 @@ def average_cost(
 
     fold = affine_fold(("__a", "__b", "__c", "__d"), (0.0, 0.0), step)
     joined = fold_rows(
-        steps, list(keys), list(order), time_bucket(order[0], width), fold,
+        steps, list(keys), list(order), bucket, fold,
         before=["basis_before", "realized_before"], after=["basis", "realized"],
     )
     cost_before = F.coalesce(F.try_divide(F.col("basis_before"), before), F.lit(0.0))
@@ -327,7 +339,13 @@ def trades(
     A fill that crosses zero is split in two legs with its friction shared by size. An open
     trade is valued at ``marks`` (``keys, price``) or has null P&L.
     """
-    held = positions(fills, keys=keys, order=order, width=width)
+    return by_key_size(fills, keys, lambda rows, split: _trades(rows, keys, order, marks, _bucket(order[0], width, split)))
+
+
+def _trades(
+    fills: DataFrame, keys: Sequence[str], order: Sequence[str], marks: DataFrame | None, bucket: Column | None
+) -> DataFrame:
+    held = _positions(fills, keys, order, bucket)
     before, after, signed = F.col("position_before"), F.col("position"), F.col("signed")
     crosses = (before != 0) & (after != 0) & ((before > 0) != (after > 0))
     legs = F.when(
@@ -351,7 +369,7 @@ def trades(
         F.inline(legs),
     )
     numbered = running(
-        split, list(keys), [*order, "leg"], time_bucket(order[0], width),
+        split, list(keys), [*order, "leg"], bucket,
         sums={"trade_no": (F.col("p0") == 0).cast("bigint")},
     )
     at, applied = F.col(order[0]), F.col("applied")

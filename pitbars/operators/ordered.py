@@ -30,16 +30,38 @@ from pitbars.functions.scalars import bucket_of
 from pitbars.session import staged
 
 CHUNK_ROWS = 8192
+#: A key of more rows is split; at most one key in so many rows of a table is.
+LARGE_KEY = 100_000
 
 _BUCKET = "__bucket"
 _DATA = "__is_data"
 
 
+def by_key_size(
+    df: DataFrame, keys: Sequence[str], build: Callable[[DataFrame, bool], DataFrame],
+    *, counted: DataFrame | None = None,
+) -> DataFrame:
+    """``build(rows, split)`` for the rows of large keys, to be split, and for all others.
+
+    Splitting costs a pre-pass and a carried row per key and bucket, as much as the data itself
+    where keys are short. Short keys are therefore taken whole: one shuffle by key serves all
+    scans and groupings of ``build``. ``counted`` is what to count where that is cheaper than
+    ``df``, a table with rows for every key. The list of large keys is short by definition.
+    """
+    names = [f"__large{i}" for i in range(len(keys))]
+    sizes = (df if counted is None else counted).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    large = sizes.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > LARGE_KEY)
+    large = F.broadcast(large.drop("__n"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    whole = df.join(large, same, "left_anti")
+    return build(whole, False).unionByName(build(df.join(large, same, "left_semi"), True))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None,
     *,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
@@ -52,7 +74,8 @@ def running(
 
     Args:
         order: columns forming a total order within a key (ascending, nulls first).
-        bucket: non-decreasing along ``order`` within a key; decides the split.
+        bucket: non-decreasing along ``order`` within a key; decides the split. None takes
+            keys whole, for those known to be short (:func:`by_key_size`).
         sums: running totals including the row; null counts as zero.
         lasts: last non-null value up to and including the row.
         previous_lasts: last non-null value strictly before the row.
@@ -63,6 +86,8 @@ def running(
     sums, lasts, previous_lasts = dict(sums or {}), dict(lasts or {}), dict(previous_lasts or {})
     maxs, lags, firsts = dict(maxs or {}), dict(lags or {}), dict(firsts or {})
     columns = df.columns
+    if bucket is None:
+        return _running_whole(df, keys, order, sums, lasts, previous_lasts, maxs, lags, firsts)
     work = df.withColumns(
         {
             _BUCKET: bucket,
@@ -127,6 +152,21 @@ def running(
     )
 
 
+def _running_whole(df, keys, order, sums, lasts, previous_lasts, maxs, lags, firsts) -> DataFrame:
+    spot = Window.partitionBy(*keys).orderBy(*order)
+    upto = spot.rowsBetween(Window.unboundedPreceding, 0)
+    before = spot.rowsBetween(Window.unboundedPreceding, -1)
+    made = {
+        **{n: F.coalesce(F.sum(e).over(upto), F.lit(0)) for n, e in sums.items()},
+        **{n: F.last(e, ignorenulls=True).over(upto) for n, e in lasts.items()},
+        **{n: F.last(e, ignorenulls=True).over(before) for n, e in previous_lasts.items()},
+        **{n: F.max(e).over(upto) for n, e in maxs.items()},
+        **{n: F.lag(e, 1).over(spot) for n, e in lags.items()},
+        **{n: F.first(e, ignorenulls=True).over(upto) for n, e in firsts.items()},
+    }
+    return df.select(*df.columns, *[e.alias(n) for n, e in made.items()])
+
+
 def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "__part") -> DataFrame:
     """Store ``df`` range-partitioned by ``(keys, order)``, with its partition's number.
 
@@ -142,7 +182,7 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, name: str = "pos"
 ) -> DataFrame:
     """Exact 0-based row position per key along ``order``."""
     counted = running(df, keys, order, bucket, sums={name: F.lit(1).cast("bigint")})
@@ -274,7 +314,7 @@ def _columns(batch, names: Sequence[str]) -> list[np.ndarray]:
 
 
 def fold_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, fold: Fold,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, fold: Fold,
     *, before: str = "before", after: str = "after",
 ) -> DataFrame:
     """Run a :class:`Fold` along ``order`` and add the state before and after each row.
@@ -282,7 +322,8 @@ def fold_rows(
     For folds that no built-in aggregate expresses. Rows are shuffled and sorted by
     ``(key, bucket)`` and streamed through Arrow batches, so memory does not depend on how
     many rows a key has. A first pass composes each bucket's steps, one small row per bucket
-    is chained per key, and a second pass starts every bucket from its state.
+    is chained per key, and a second pass starts every bucket from its state. Without a
+    ``bucket`` keys are whole and the second pass is the only one.
     """
     columns, kinds = df.columns, dict(df.dtypes)
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -292,7 +333,7 @@ def fold_rows(
     befores = [before] if isinstance(before, str) else list(before)
     afters = [after] if isinstance(after, str) else list(after)
     start = np.array([fold.start], dtype=float)
-    work = df.withColumn(_BUCKET, bucket)
+    work = df if bucket is None else df.withColumn(_BUCKET, bucket)
 
     def summarise(batches):
         last, number = None, 0
@@ -333,6 +374,22 @@ def fold_rows(
                 [*picked.columns, *[pa.array(c) for c in states[rows].T]], names=[*group, *held]
             )
 
+    def trace_whole(batches):
+        last, state = None, start
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, last = _group_starts(batch, list(keys), last)
+            scanned = _scan(fold, fold.step(*_columns(batch, fold.inputs)), starts)
+            carried = np.cumsum(starts) == 0
+            base = np.where(carried[:, None], state, start)
+            entered, left = fold.apply(base, _shifted(fold, scanned, starts)), fold.apply(base, scanned)
+            state = left[-1:]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(columns).columns, *[pa.array(c) for c in (*entered.T, *left.T)]],
+                names=[*columns, *befores, *afters],
+            )
+
     def trace(batches):
         state = start
         for batch in batches:
@@ -354,6 +411,10 @@ def fold_rows(
                 names=[*columns, *befores, *afters],
             )
 
+    schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items())
+    schema += "".join(f", {c} DOUBLE" for c in (*befores, *afters))
+    if bucket is None:
+        return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(trace_whole, schema)
     slim = work.select(*group, *[c for c in order if c not in group], *fold.inputs)
     ordered = slim.repartition(*group).sortWithinPartitions(*group, *order)
     summed = ordered.mapInArrow(
@@ -368,11 +429,10 @@ def fold_rows(
     both = work.withColumn(_DATA, F.lit(1)).unionByName(
         states.withColumn(_DATA, F.lit(0)), allowMissingColumns=True
     )
-    schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items())
     return (
         both.repartition(*group)
         .sortWithinPartitions(*group, _DATA, *order)
-        .mapInArrow(trace, schema + "".join(f", {c} DOUBLE" for c in (*befores, *afters)))
+        .mapInArrow(trace, schema)
     )
 
 
