@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.functions.scalars import bucket_of, elapsed, overlaps, time_bucket
-from pitbars.operators.ordered import running
+from pitbars.operators.ordered import by_key_size, running
 from pitbars.types import DAY, micros, require_columns
 
 
@@ -23,13 +23,15 @@ def nearest(
     forward: bool = False,
     width: int = DAY,
     name: str = "match",
+    short_keys: bool = False,
 ) -> DataFrame:
     """Left rows plus one struct column holding the nearest right row (or null).
 
     Backward: the latest right row at or before the left instant. Forward: the earliest at
     or after it. Equal instants match. Among right rows with equal instants the greatest by
     ``tiebreak`` wins backward, the least forward. Both sides are stacked and scanned once
-    per ``(key, time bucket)``; rows from earlier buckets arrive as carry-in.
+    per ``(key, time bucket)``; rows from earlier buckets arrive as carry-in. With
+    ``short_keys`` only large keys are cut into buckets.
     """
     sign = -1 if forward else 1
     keys = [f"__k{i}" for i in range(len(by))]
@@ -52,13 +54,12 @@ def nearest(
         ties_first = [f"__r{i}" for i in range(len(ties))]
         stacked = _reverse_ties(stacked, ties, ties_first)
         ties = ties_first
-    scanned = running(
-        stacked,
-        keys,
-        ["__at", "__side", *ties],
-        bucket_of(F.col("__at"), width),
-        lasts={"__found": F.col("__right")},
-    )
+
+    def scan(rows: DataFrame, split: bool) -> DataFrame:
+        bucket = bucket_of(F.col("__at"), width) if split else None
+        return running(rows, keys, ["__at", "__side", *ties], bucket, lasts={"__found": F.col("__right")})
+
+    scanned = by_key_size(stacked, keys, scan) if short_keys else scan(stacked, True)
     return scanned.where(F.col("__side") == 1).select(
         "__left.*", F.when(F.col("__at").isNotNull(), F.col("__found")).alias(name)
     )

@@ -240,7 +240,7 @@ def stale_marks(
     """Open positions valued at a mark older than ``limit``."""
     found = nearest(
         held, marks, left_on=F.col(at), right_on=F.col("at"),
-        by=[*run, "instrument_id"], tiebreak=["price"], name="__mark",
+        by=[*run, "instrument_id"], tiebreak=["price"], name="__mark", short_keys=True,
     )
     age = elapsed(F.col(at), F.col("__mark.at"))
     out = found.withColumns({"mark_at": F.col("__mark.at"), "age_us": age}).drop("__mark")
