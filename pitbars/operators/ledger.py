@@ -265,14 +265,30 @@ def stale_spans(
     """
     key, gap = [*run, "instrument_id"], micros(limit)
     last = F.struct(*[F.col(c) for c in (order or [at])], "position")
-    fills = held.groupBy(*key, F.col(at).alias("at")).agg(F.max(last)["position"].alias("position"))
+    fills = held.select(*key, F.col(at).alias("at"), last.alias("__last"))
     priced = marks.select(*[c for c in key if c in marks.columns], "at").distinct()
     shared = [c for c in key if c in priced.columns]
     priced = priced.join(held.select(*key).distinct(), shared).select(*key, "at", F.col("at").alias("mark_at"))
     expired = priced.select(*key, F.timestamp_micros(F.unix_micros("at") + gap).alias("at"))
     events = fills.unionByName(priced, allowMissingColumns=True).unionByName(expired, allowMissingColumns=True)
-    events = events.groupBy(*key, "at").agg(F.max("position").alias("position"), F.max("mark_at").alias("mark_at"))
-    bucket = time_bucket("at", width)
+    events = events.groupBy(*key, "at").agg(F.max("__last")["position"].alias("position"), F.max("mark_at").alias("mark_at"))
+    spans = by_key_size(
+        staged(events, "events"), key, lambda rows, split: _spans(rows, key, gap, _bucket("at", width, split))
+    )
+    spans = staged(spans, "spans")
+    first = F.unix_micros("stale_from") + 1 - F.col("__now")
+    counted = _counted_before(clock, spans.select(first.alias("us")).unionByName(spans.select(F.unix_micros("stale_to").alias("us"))), width)
+    ahead, total = counted.select(F.col("us").alias("__us"), "__n", "__next"), clock.select("at").distinct().count()
+    out = spans.withColumn("__us", first).join(ahead, "__us").withColumnsRenamed({"__n": "__n0", "__next": "first_us"})
+    out = out.drop("__us").withColumn("__us", F.unix_micros("stale_to")).join(ahead.drop("__next"), "__us", "left")
+    number = F.coalesce("__n", F.lit(total)) - F.col("__n0")
+    return out.withColumn("occurrences", number.cast("bigint")).where("occurrences > 0").select(
+        *key, "mark_at", "stale_from", "stale_to", F.timestamp_micros("first_us").alias("first_at"), "occurrences"
+    )
+
+
+def _spans(events: DataFrame, key: Sequence[str], gap: int, bucket: Column | None) -> DataFrame:
+    """Where staleness begins and ends, from the events ``at, position, mark_at`` of each key."""
     seen = running(events, key, ["at"], bucket, lasts={"held": F.col("position"), "mark": F.col("mark_at")})
     open_ = F.coalesce(F.col("held"), F.lit(0.0)) != 0
     age = elapsed("at", "mark")
@@ -286,22 +302,12 @@ def stale_spans(
     # Beginnings and ends alternate, beginning first.
     placed = with_position(turned, key, ["at"], bucket, "__i").withColumn("__span", bucket_of(F.col("__i"), 2))
     begins = F.col("stale")
-    spans = placed.groupBy(*key, "__span").agg(
+    return placed.groupBy(*key, "__span").agg(
         F.max(F.when(begins, F.col("mark_at"))).alias("mark_at"),
         F.max(F.when(begins, F.col("at"))).alias("stale_from"),
         F.max(F.when(~begins, F.col("at"))).alias("stale_to"),
         F.max(F.when(begins, F.col("now").cast("int"))).alias("__now"),
     ).drop("__span")
-    spans = staged(spans, "spans")
-    first = F.unix_micros("stale_from") + 1 - F.col("__now")
-    counted = _counted_before(clock, spans.select(first.alias("us")).unionByName(spans.select(F.unix_micros("stale_to").alias("us"))), width)
-    ahead, total = counted.select(F.col("us").alias("__us"), "__n", "__next"), clock.select("at").distinct().count()
-    out = spans.withColumn("__us", first).join(ahead, "__us").withColumnsRenamed({"__n": "__n0", "__next": "first_us"})
-    out = out.drop("__us").withColumn("__us", F.unix_micros("stale_to")).join(ahead.drop("__next"), "__us", "left")
-    number = F.coalesce("__n", F.lit(total)) - F.col("__n0")
-    return out.withColumn("occurrences", number.cast("bigint")).where("occurrences > 0").select(
-        *key, "mark_at", "stale_from", "stale_to", F.timestamp_micros("first_us").alias("first_at"), "occurrences"
-    )
 
 
 def _counted_before(clock: DataFrame, moments: DataFrame, width: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from instants import at, rows_of
 from pitbars.functions.rules import check_features, condition, referenced, target_weight
 from pitbars.operators import execution as ex
-from pitbars.operators import ledger, metrics, runs, targets
+from pitbars.operators import ledger, metrics, ordered, runs, targets
 from pitbars.operators.sizing import Limits, size_targets
 from pitbars.types import DAY, MINUTE
 
@@ -398,3 +398,39 @@ def test_agreement_and_grid(spark):
     ]
     points = runs.with_grid(a.select("k"), axes).collect()
     assert sorted((r.trial, r.x, r.p, r.q) for r in points) == [(0, 1, 1, 2), (1, 1, 3, 4), (2, 2, 1, 2), (3, 2, 3, 4)]
+
+
+@pytest.mark.parametrize("limit", [3, 10**9])
+def test_large_and_short_keys_give_the_same_ledgers(spark, monkeypatch, limit):
+    """Some keys split, and none, against all."""
+    rows = [(m, i, "buy" if (m * 7 + len(i)) % 3 else "sell", 1 + m % 4, 10 + m % 5, 0.1, 0.2)
+            for i, n in (("X", 40), ("YY", 3), ("ZZZ", 2)) for m in range(n)]
+    f = fills(spark, *rows)
+    marks = spark.createDataFrame([(i, at(m), 9.0 + m) for i in ("X", "YY") for m in (0, 9, 25)],
+                                  "instrument_id STRING, at TIMESTAMP, price DOUBLE")
+
+    def ledgers():
+        held = ledger.positions(f, order=ORD, width=MINUTE)
+        made = [
+            held, ledger.average_cost(f, order=ORD, width=MINUTE), ledger.trades(f, order=ORD, width=MINUTE),
+            ledger.stale_marks(held, marks, at="fill_at", limit="2m"),
+            ledger.stale_spans(held, marks, f.select(F.col("fill_at").alias("at")), limit="2m", order=ORD, width=MINUTE),
+        ]
+        out = []
+        for df in made:
+            digits = {c: F.round(c, 9) for c, t in df.dtypes if t == "double"}
+            out.append(sorted(map(str, df.withColumns(digits).collect())))
+        return out
+
+    monkeypatch.setattr(ordered, "LARGE_KEY", limit)
+    some = ledgers()
+    monkeypatch.setattr(ordered, "LARGE_KEY", -1)
+    assert all(some) and some == ledgers()
+
+
+def test_short_keys_are_shuffled_once(spark):
+    """One exchange for the fills of short keys, however many scans follow."""
+    rows = [(m, "X", "buy" if m % 2 else "sell", 1, 10, 0.1, 0.2) for m in range(6)]
+    made = ledger._trades(fills(spark, *rows), ["instrument_id"], ORD, None, None)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
