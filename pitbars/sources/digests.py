@@ -31,18 +31,26 @@ def digest(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ()) -
     """``rows`` and two sums of 60-bit hash slices: equal for equal row multisets.
 
     A sum does not depend on row order, combines on the map side, and keeps duplicates
-    apart from single rows, which an exclusive-or would not.
+    apart from single rows, which an exclusive-or would not. Slices are summed in parts of 20
+    bits, as plain integers that hold for 2**43 rows, and put together once at the end.
     """
-    h = df.select(*keys, row_hash(df, columns).alias("h"))
+    hashed = df.select(*keys, row_hash(df, columns).alias("h"))
+    slices = {"low": 1, "high": 16}
+    h = hashed.select(*keys, *[F.conv(F.substring("h", s, 15), 16, 10).cast("bigint").alias(n) for n, s in slices.items()])
 
-    def slice_of(start: int) -> Column:
-        return F.conv(F.substring("h", start, 15), 16, 10).cast("decimal(20,0)")
+    def part(name: str, i: int) -> Column:
+        return F.sum(F.shiftright(name, 20 * i).bitwiseAND(F.lit(2**20 - 1))).alias(f"__{name}{i}")
 
-    return h.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(slice_of(1)).cast("decimal(38,0)").alias("low"),
-        F.sum(slice_of(16)).cast("decimal(38,0)").alias("high"),
+    def whole(name: str) -> Column:
+        high, middle, low = (F.col(f"__{name}{i}").cast("decimal(20,0)") for i in (2, 1, 0))
+        step = F.lit(2**20).cast("decimal(10,0)")
+        upper = (high * step + middle).cast("decimal(28,0)")
+        return (upper * step + low).cast("decimal(38,0)").alias(name)
+
+    sums = h.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), *[part(name, i) for name in slices for i in range(3)]
     )
+    return sums.select(*keys, "rows", *[whole(name) for name in slices])
 
 
 def digest_text(df: DataFrame, columns: Sequence[str]) -> str:

@@ -1,6 +1,7 @@
 """Queries against their SQL twins on small tables of the cases the test data lacks."""
 
 import datetime as dt
+import hashlib
 import re
 
 import duckdb
@@ -12,6 +13,7 @@ from pitbars.operators import metrics
 from pitbars.operators.ledger import equity_curve
 from pitbars.plans.oracles import ORACLES, H, performance_sql
 from pitbars.plans.queries import QUERIES, rounded
+from pitbars.sources.digests import digest
 
 
 def differs(spark, folder, name, **tables):
@@ -80,3 +82,13 @@ def test_money_of_the_metric_row_is_in_cents(spark):
     other = spark.createDataFrame([(-127423292.442193, 0.123456789)], made.schema)
     shown = [rounded(rounded(df, 2, ["end_equity"])).first() for df in (made, other)]
     assert shown[0] == shown[1] == (-127423292.44, 0.123457)
+
+
+def test_digest_is_the_exact_sum_of_hash_slices(spark):
+    df = spark.range(500).selectExpr("id % 3 AS k", "id AS v")
+    made = digest(df, ["v"], keys=["k"])
+    for row in made.collect():
+        hashes = [hashlib.sha256(str(v).encode()).hexdigest() for v in range(500) if v % 3 == row["k"]]
+        assert row["rows"] == len(hashes)
+        assert row["low"] == sum(int(h[:15], 16) for h in hashes)
+        assert row["high"] == sum(int(h[15:30], 16) for h in hashes)
